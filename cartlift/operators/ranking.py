@@ -89,9 +89,13 @@ def sample_boundaries(df: DataFrame, cols: OrderSpec, n: int, buckets: int,
 def global_rank(df: DataFrame, order: OrderSpec, tie_col: str | Column | None = None,
                 group_cols: Sequence[str] = (), rank_col: str = "rank",
                 n: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
-                max_buckets: int = MAX_BUCKETS, salt: str = "rank") -> DataFrame:
+                max_buckets: int = MAX_BUCKETS, salt: str = "rank",
+                bounds_from: DataFrame | None = None) -> DataFrame:
     """Add a 1-based ``rank_col`` in ``order`` (ties by ``tie_col``) within groups.
 
+    ``bounds_from`` is a cheaper frame holding the same key rows (e.g. the
+    materialised input of a chain of rankings) to sample boundaries from.
+
     ``group_cols`` must have few distinct values (features, arms); for many
     small groups a plain ``Window.partitionBy`` is already distributed.
     Order columns must be non-NULL.
@@ -104,10 +108,13 @@ def global_rank(df: DataFrame, order: OrderSpec, tie_col: str | Column | None =
     else:
         df = df.withColumn(tie_name, tie_col)
     keys: list[tuple[str, bool]] = [(g, False) for g in group_cols] + list(order) + [(tie_name, False)]
+    src = df
+    if bounds_from is not None:
+        src = bounds_from.withColumn(tie_name, F.col(tie_col) if isinstance(tie_col, str) else tie_col)
     if n is None:
-        n = df.count()
+        n = src.count()
     buckets = choose_buckets(n, rows_per_bucket, max_buckets)
-    bounds = sample_boundaries(df, keys, n, buckets, salt)
+    bounds = sample_boundaries(src, keys, n, buckets, salt)
     bdf = df.withColumn("_bucket", _bucket_expr(keys, bounds) if bounds else F.lit(0))
     w = Window.partitionBy(*group_cols, "_bucket").orderBy(*_sort_cols(keys[len(group_cols):]))
     ranked = bdf.withColumn("_rn", F.row_number().over(w))

@@ -68,3 +68,167 @@ def customer_breadth(c: Context) -> DataFrame:
 def customer_features(c: Context) -> DataFrame:
     """O-05..O-16: the customer feature table."""
     return c.features_lazy()
+
+
+# ---------------------------------------------------------------- product analytics
+from cartlift.operators import product as prod  # noqa: E402
+
+
+@query
+def core_metrics(c: Context) -> DataFrame:
+    """O-18: customers, mean frequency, mean spend, exact median recency."""
+    return prod.core_metrics(c.features, c.config.rank_kw)
+
+
+@query
+def active_months(c: Context) -> DataFrame:
+    """O-20: distinct (customer, month)."""
+    return prod.active_months(c.purchases)
+
+
+@query
+def cohort_activity(c: Context) -> DataFrame:
+    """O-19..O-21: active customers per acquisition cohort and month offset."""
+    return prod.cohort_activity(c.purchases)
+
+
+@query
+def cohort_retention(c: Context) -> DataFrame:
+    """O-22: retained share per cohort and offset (long form)."""
+    return prod.cohort_retention(c.purchases)
+
+
+@query
+def cohort_matrix(c: Context) -> DataFrame:
+    """O-23: latest 6 cohorts by first 6 offsets."""
+    return prod.cohort_matrix(prod.cohort_retention(c.purchases))
+
+
+@query
+def rfm_scores(c: Context) -> DataFrame:
+    """O-24: R, F, M quintiles (NTILE semantics, distributed)."""
+    return prod.rfm_scores(c.features, c.config.rank_kw)
+
+
+@query
+def rfm_segments(c: Context) -> DataFrame:
+    """O-24/O-25: quintiles plus segment label."""
+    return prod.rfm_segments(c.features, c.config.rank_kw)
+
+
+@query
+def rfm_segment_sizes(c: Context) -> DataFrame:
+    """O-27: segment sizes among scored customers."""
+    return prod.segment_sizes(prod.rfm_segments(c.features, c.config.rank_kw))
+
+
+@query
+def segment_sizes(c: Context) -> DataFrame:
+    """O-26/O-27: segment sizes over all experiment customers (with unknown)."""
+    return prod.segment_sizes(c.segmented)
+
+
+# ---------------------------------------------------------------- experiment validity and effects
+from cartlift.operators import effects as eff  # noqa: E402
+from cartlift.operators import validity as val  # noqa: E402
+from cartlift.operators.features import feature_names  # noqa: E402
+
+
+@query
+def experiment_design(c: Context) -> DataFrame:
+    """O-28..O-30: base rate, Cohen's h, required and achievable sizes."""
+    k = c.config
+    return val.experiment_design(c.features, k.window_days, k.mde, k.alpha, k.power)
+
+
+@query
+def experiment_design_by_segment(c: Context) -> DataFrame:
+    """O-29/O-30 per RFM segment."""
+    k = c.config
+    return val.experiment_design(c.segmented, k.window_days, k.mde, k.alpha, k.power, by=["rfm_segment"])
+
+
+@query
+def split_counts(c: Context) -> DataFrame:
+    """O-31: customers and share per arm."""
+    return val.split_counts(c.train)
+
+
+@query
+def srm(c: Context) -> DataFrame:
+    """O-32: chi-square against 50/50 and the p > 0.001 gate."""
+    return val.srm(c.train, c.config.srm_ratio, c.config.srm_alpha)
+
+
+@query
+def srm_test(c: Context) -> DataFrame:
+    """O-32/O-39: SRM with its p-value."""
+    return val.srm_test(c.train, c.config.srm_ratio, c.config.srm_alpha)
+
+
+@query
+def covariate_balance(c: Context) -> DataFrame:
+    """O-33: SMD per numeric feature."""
+    f = c.features
+    return val.covariate_balance(f, feature_names(f), c.config.smd_threshold)
+
+
+@query
+def balance_worst5(c: Context) -> DataFrame:
+    """O-34: five largest |SMD|."""
+    f = c.features
+    return val.worst_balance(val.covariate_balance(f, feature_names(f), c.config.smd_threshold))
+
+
+@query
+def arm_rates(c: Context) -> DataFrame:
+    """O-35: outcome rate per arm."""
+    return val.arm_rates(c.train)
+
+
+@query
+def ate_naive(c: Context) -> DataFrame:
+    """O-36/O-37: difference in rates, unpooled SE, CI."""
+    return eff.ate_naive(c.train, c.config.ci_z)
+
+
+@query
+def two_proportion_z(c: Context) -> DataFrame:
+    """O-38: pooled two-proportion z-test."""
+    return eff.two_proportion_z(c.train, c.config.alpha)
+
+
+@query
+def ate_cuped(c: Context) -> DataFrame:
+    """O-40..O-42: CUPED-adjusted effect."""
+    return eff.ate_cuped(c.features, c.config.window_days)
+
+
+@query
+def ate_by_segment(c: Context) -> DataFrame:
+    """O-48: effect per RFM segment."""
+    return eff.ate_by_group(c.segmented, "rfm_segment", prod.SEGMENTS, c.config.ci_z)
+
+
+@query
+def guardrails(c: Context) -> DataFrame:
+    """O-49/O-50: do-no-harm and champions' incremental share."""
+    seg = eff.ate_by_group(c.segmented, "rfm_segment", prod.SEGMENTS, c.config.ci_z)
+    return eff.guardrails(seg, c.config.champ_incr_max)
+
+
+@query
+def ate_adjusted(c: Context) -> DataFrame:
+    """O-43..O-45: OLS-HC1 coefficient table (arm row = adjusted effect)."""
+    from cartlift.operators.readout import adjusted_effect
+    f = c.features
+    res = adjusted_effect(f, feature_names(f), rank_kw=c.config.rank_kw)
+    return res.to_frame(c.spark)
+
+
+@query
+def launch_readout(c: Context) -> DataFrame:
+    """O-46..O-51: the 18-field readout and LAUNCH/HOLD."""
+    from cartlift.operators.readout import launch_readout as lr
+    s = c.segmented
+    return lr(s, feature_names(s), c.config)
