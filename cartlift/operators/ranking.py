@@ -86,49 +86,65 @@ def sample_boundaries(df: DataFrame, cols: OrderSpec, n: int, buckets: int,
     return bounds
 
 
-def global_rank(df: DataFrame, order: OrderSpec, tie_col: str | Column | None = None,
-                group_cols: Sequence[str] = (), rank_col: str = "rank",
-                n: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
-                max_buckets: int = MAX_BUCKETS, salt: str = "rank",
-                bounds_from: DataFrame | None = None) -> DataFrame:
-    """Add a 1-based ``rank_col`` in ``order`` (ties by ``tie_col``) within groups.
-
-    ``bounds_from`` is a cheaper frame holding the same key rows (e.g. the
-    materialised input of a chain of rankings) to sample boundaries from.
+def global_cumsum(df: DataFrame, order: OrderSpec, measures: dict[str, Column],
+                  tie_col: str | Column | None = None, group_cols: Sequence[str] = (),
+                  n: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
+                  max_buckets: int = MAX_BUCKETS, salt: str = "rank",
+                  bounds_from: DataFrame | None = None) -> DataFrame:
+    """Inclusive running sums of ``measures`` in ``order`` (ties by ``tie_col``)
+    within groups, computed bucket-wise (see module docstring).
 
     ``group_cols`` must have few distinct values (features, arms); for many
     small groups a plain ``Window.partitionBy`` is already distributed.
-    Order columns must be non-NULL.
+    Order columns must be non-NULL.  ``bounds_from`` is a cheaper frame
+    holding the same key rows (e.g. the materialised input of a chain of
+    rankings) to sample boundaries from.
     """
     tie_name = "_tie"
-    if tie_col is None:
-        df = df.withColumn(tie_name, F.xxhash64(*[F.col(c) for c in df.columns]))
-    elif isinstance(tie_col, str):
-        df = df.withColumn(tie_name, F.col(tie_col))
-    else:
-        df = df.withColumn(tie_name, tie_col)
+
+    def with_tie(frame: DataFrame) -> DataFrame:
+        if tie_col is None:
+            return frame.withColumn(tie_name, F.xxhash64(*[F.col(c) for c in frame.columns]))
+        return frame.withColumn(tie_name, F.col(tie_col) if isinstance(tie_col, str) else tie_col)
+
+    df = with_tie(df)
     keys: list[tuple[str, bool]] = [(g, False) for g in group_cols] + list(order) + [(tie_name, False)]
-    src = df
-    if bounds_from is not None:
-        src = bounds_from.withColumn(tie_name, F.col(tie_col) if isinstance(tie_col, str) else tie_col)
+    src = df if bounds_from is None else with_tie(bounds_from)
     if n is None:
         n = src.count()
     buckets = choose_buckets(n, rows_per_bucket, max_buckets)
     bounds = sample_boundaries(src, keys, n, buckets, salt)
     bdf = df.withColumn("_bucket", _bucket_expr(keys, bounds) if bounds else F.lit(0))
-    w = Window.partitionBy(*group_cols, "_bucket").orderBy(*_sort_cols(keys[len(group_cols):]))
-    ranked = bdf.withColumn("_rn", F.row_number().over(w))
-    if not bounds:
-        return ranked.withColumn(rank_col, F.col("_rn").cast("bigint")).drop("_rn", "_bucket", tie_name)
-    counts = bdf.groupBy(*group_cols, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
-    wo = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group_cols, "_bucket",
-                            F.coalesce(F.sum("_cnt").over(wo), F.lit(0)).alias("_off"))
-    if not group_cols:
-        offsets = F.broadcast(offsets)  # at most MAX_BUCKETS rows
-    return (ranked.join(offsets, [*group_cols, "_bucket"])
-            .withColumn(rank_col, (F.col("_rn") + F.col("_off")).cast("bigint"))
-            .drop("_rn", "_off", "_bucket", tie_name))
+    for name, m in measures.items():
+        bdf = bdf.withColumn(f"_m_{name}", m)
+    w = (Window.partitionBy(*group_cols, "_bucket").orderBy(*_sort_cols(keys[len(group_cols):]))
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = bdf
+    for name in measures:
+        out = out.withColumn(f"_c_{name}", F.sum(f"_m_{name}").over(w))
+    if bounds:
+        totals = bdf.groupBy(*group_cols, "_bucket").agg(
+            *[F.sum(f"_m_{name}").alias(f"_t_{name}") for name in measures])
+        wo = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(*group_cols, "_bucket", *[
+            F.coalesce(F.sum(f"_t_{name}").over(wo), F.lit(0)).alias(f"_o_{name}") for name in measures])
+        if not group_cols:
+            offsets = F.broadcast(offsets)  # at most MAX_BUCKETS rows
+        out = out.join(offsets, [*group_cols, "_bucket"])
+        for name in measures:
+            out = out.withColumn(f"_c_{name}", F.col(f"_c_{name}") + F.col(f"_o_{name}"))
+    for name in measures:
+        out = out.withColumn(name, F.col(f"_c_{name}"))
+    drop = ["_bucket", tie_name] + [f"_{p}_{name}" for name in measures for p in "mco"]
+    return out.drop(*drop)
+
+
+def global_rank(df: DataFrame, order: OrderSpec, tie_col: str | Column | None = None,
+                group_cols: Sequence[str] = (), rank_col: str = "rank", **kw) -> DataFrame:
+    """Add a 1-based ``rank_col`` in ``order`` (ties by ``tie_col``) within groups."""
+    out = global_cumsum(df, order, {rank_col: F.lit(1).cast("bigint")}, tie_col=tie_col,
+                        group_cols=group_cols, **kw)
+    return out.withColumn(rank_col, F.col(rank_col).cast("bigint"))
 
 
 def ntile_from_rank(rank: Column, n: Column, k: int) -> Column:
