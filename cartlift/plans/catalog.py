@@ -232,3 +232,136 @@ def launch_readout(c: Context) -> DataFrame:
     from cartlift.operators.readout import launch_readout as lr
     s = c.segmented
     return lr(s, feature_names(s), c.config)
+
+
+# ---------------------------------------------------------------- uplift, evaluation, policy, monitoring
+from cartlift.operators import curves as cur  # noqa: E402
+from cartlift.operators import monitoring as mon  # noqa: E402
+from cartlift.operators import policy as pol  # noqa: E402
+from cartlift.operators import uplift as upl  # noqa: E402
+
+
+@query
+def train_test_split(c: Context) -> DataFrame:
+    """O-52: keyed Bernoulli 70/30 split of experiment customers."""
+    return upl.train_test_split(c.train, c.config.test_share, c.config.split_salt).select(
+        "client_id", "treatment_flg", "split")
+
+
+@query
+def train_test_split_exact(c: Context) -> DataFrame:
+    """O-52 exact-count variant: ceil(30%) per arm by keyed order."""
+    return upl.train_test_split(c.train, c.config.test_share, c.config.split_salt, exact=True,
+                                **c.config.rank_kw).select("client_id", "treatment_flg", "split")
+
+
+@query
+def uplift_scores(c: Context) -> DataFrame:
+    """O-53..O-57: S- and T-learner scores on the test split (GBT)."""
+    return c.scored_model
+
+
+@query
+def qini_curve(c: Context) -> DataFrame:
+    """O-58: Qini curve points of the fixed score."""
+    return cur.curve_points(c.scored_fixed, "score", "qini", c.config.rank_kw)
+
+
+@query
+def uplift_curve(c: Context) -> DataFrame:
+    """O-58: uplift curve points of the fixed score."""
+    return cur.curve_points(c.scored_fixed, "score", "uplift", c.config.rank_kw)
+
+
+@query
+def qini_auc(c: Context) -> DataFrame:
+    """O-59: normalised Qini AUC."""
+    return cur.normalized_auc(c.scored_fixed, "score", "qini", c.config.rank_kw)
+
+
+@query
+def uplift_auc(c: Context) -> DataFrame:
+    """O-60: normalised uplift AUC."""
+    return cur.normalized_auc(c.scored_fixed, "score", "uplift", c.config.rank_kw)
+
+
+@query
+def uplift_deciles(c: Context) -> DataFrame:
+    """O-61/O-62: decile table of the fixed score."""
+    return cur.decile_table(c.scored_fixed, "score", c.config.rank_kw)
+
+
+@query
+def decile_concentration(c: Context) -> DataFrame:
+    """O-63: D8-D9 uplift against the weighted overall."""
+    return cur.decile_concentration(cur.decile_table(c.scored_fixed, "score", c.config.rank_kw))
+
+
+@query
+def uplift_at_k(c: Context) -> DataFrame:
+    """O-64: uplift within the top 30%."""
+    return pol.uplift_at_k(pol.targeting_policy(c.scored_fixed, "score", c.config.k_percent,
+                                                c.config.rank_kw), c.config.k_percent)
+
+
+@query
+def targeting_policy(c: Context) -> DataFrame:
+    """O-65: cutoff and per-customer targeting flag."""
+    return pol.targeting_policy(c.scored_fixed, "score", c.config.k_percent, c.config.rank_kw).select(
+        "client_id", "score", "cutoff", "targeted")
+
+
+@query
+def policy_value(c: Context) -> DataFrame:
+    """O-66/O-67: uplift in/out of target, separation, captured share."""
+    t = pol.targeting_policy(c.scored_fixed, "score", c.config.k_percent, c.config.rank_kw)
+    return pol.policy_value(t, c.config.k_percent)
+
+
+@query
+def policy_guardrails(c: Context) -> DataFrame:
+    """O-68: champions share and separation guardrails."""
+    t = pol.targeting_policy(c.scored_fixed, "score", c.config.k_percent, c.config.rank_kw)
+    return pol.policy_guardrails(t)
+
+
+@query
+def psi_drift(c: Context) -> DataFrame:
+    """O-69a..c: PSI of the score and key features, reference vs recent half."""
+    s = mon.period_halves(c.scored_fixed.join(c.features.select("client_id", "recency_days", "spend_total"),
+                                              "client_id"), c.config.period_salt)
+    return mon.psi(s, ["score", "recency_days", "spend_total"], bins=c.config.psi_bins,
+                   rank_kw=c.config.rank_kw)
+
+
+@query
+def epsilon_assignment(c: Context) -> DataFrame:
+    """O-69d: epsilon-greedy action per customer."""
+    k = c.config
+    return mon.epsilon_assignment(c.scored_fixed, "score", k.epsilon, k.k_percent, k.cycle, k.rank_kw).select(
+        "client_id", "score", "cutoff", "action")
+
+
+@query
+def epsilon_buckets(c: Context) -> DataFrame:
+    """O-69e: customers per action."""
+    k = c.config
+    return mon.epsilon_buckets(mon.epsilon_assignment(c.scored_fixed, "score", k.epsilon, k.k_percent,
+                                                      k.cycle, k.rank_kw))
+
+
+@query
+def explore_revalidation(c: Context) -> DataFrame:
+    """O-69f: effect on the randomised explore slice."""
+    k = c.config
+    return mon.explore_revalidation(mon.epsilon_assignment(c.scored_fixed, "score", k.epsilon, k.k_percent,
+                                                           k.cycle, k.rank_kw))
+
+
+@query
+def model_policy_readout(c: Context) -> DataFrame:
+    """O-61..O-68 on the T-learner score: decile table joined with policy value."""
+    k = c.config
+    t = pol.targeting_policy(c.scored_model, "t_score", k.k_percent, k.rank_kw)
+    return pol.policy_value(t, k.k_percent).crossJoin(pol.policy_guardrails(t)).crossJoin(
+        cur.decile_concentration(cur.decile_table(c.scored_model, "t_score", k.rank_kw)))

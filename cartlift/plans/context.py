@@ -46,3 +46,23 @@ class Context:
     def segmented(self) -> DataFrame:
         from cartlift.operators.product import attach_segments
         return materialize(attach_segments(self.features, rank_kw=self.config.rank_kw))
+
+    @cached_property
+    def scored_fixed(self) -> DataFrame:
+        """Test split scored by a fixed heuristic (purchase count) instead of a
+        model, so curves, deciles, policy and monitoring have an exact oracle."""
+        from pyspark.sql import functions as F
+        from cartlift.operators.uplift import train_test_split
+        s = train_test_split(self.segmented, self.config.test_share, self.config.split_salt)
+        s = s.where(F.col("split") == "test").select(
+            "client_id", "treatment_flg", "target", "rfm_segment",
+            F.coalesce(F.col("n_tx"), F.lit(0)).cast("double").alias("score"))
+        return materialize(s)
+
+    @cached_property
+    def scored_model(self) -> DataFrame:
+        """Test split scored by the T-learner (the pre-specified primary score)."""
+        from cartlift.operators.features import feature_names
+        from cartlift.operators.uplift import uplift_scores
+        s = self.segmented
+        return materialize(uplift_scores(s, feature_names(s), self.config))
