@@ -24,8 +24,8 @@ class AnalysisConfig:
     cycle: str = "0"
     psi_bins: int = 10
     period_salt: str = "period"
-    learner_iters: int = 50
-    learner_step: float = 0.1
+    learner_iters: int = 25
+    learner_step: float = 0.2
     learner_depth: int = 3
     learner_min_leaf: int = 30
     learner_subset: str = "0.8"

@@ -1,19 +1,16 @@
 """Scalar statistics evaluated on the driver (a handful of numbers per call)
-plus one vectorised helper for p-values on few-row readouts.
+plus a JVM-side p-value column.
 
-Spark SQL has no ``erf``; p-values are computed from ``math.erfc`` either on
-the driver (scalars) or in an Arrow-batched pandas UDF over readout rows.
+Spark SQL has no ``erf``; p-values come from ``math.erfc`` on the driver
+(scalars) or from commons-math3's ``Erf.erfc`` via ``reflect`` (columns).
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def norm_cdf(x: float) -> float:
@@ -73,16 +70,14 @@ def chi2_df1_critical(alpha: float) -> float:
     return z * z
 
 
-@F.pandas_udf(T.DoubleType())
-def _p_two_sided_udf(z: pd.Series) -> pd.Series:
-    out = np.full(len(z), np.nan)
-    vals = z.to_numpy(dtype=float, na_value=np.nan)
-    for i, v in enumerate(vals):
-        if not np.isnan(v):
-            out[i] = math.erfc(abs(v) / math.sqrt(2.0))
-    return pd.Series(out)
+def erfc_col(x: Column) -> Column:
+    """JVM-side erfc through the commons-math3 library bundled with Spark
+    (``reflect``), so readout p-values need no Python worker."""
+    return F.call_function("reflect", F.lit("org.apache.commons.math3.special.Erf"),
+                           F.lit("erfc"), x.cast("double")).cast("double")
 
 
 def p_value_col(z: Column | str) -> Column:
-    """Two-sided normal p-value of a z column (readout rows only)."""
-    return _p_two_sided_udf(F.col(z) if isinstance(z, str) else z)
+    """Two-sided normal p-value of a z column: erfc(|z| / sqrt 2)."""
+    zc = F.col(z) if isinstance(z, str) else z
+    return erfc_col(F.abs(zc) / F.lit(math.sqrt(2.0)))

@@ -8,8 +8,12 @@ map-side, one tiny shuffle):
    :func:`cartlift.operators.ranking.exact_quantiles`) for imputation;
 1. mean and SD of every imputed column (for standardisation: amounts run to
    1e6 while dummies are 0/1, and the Gram matrix squares the conditioning);
-2. Gram matrix Z'Z and Z'y of the standardised design (k(k+1)/2 sums);
-3. the HC1 meat  sum e_i^2 z_i z_i'  with the fitted coefficients as literals.
+2. Gram matrix Z'Z and Z'y of the standardised design;
+3. the HC1 meat  sum e_i^2 z_i z_i'  with the fitted coefficients.
+
+Passes 2 and 3 fold Arrow batches into one k-by-k numpy partial per
+partition (``mapInPandas``) and sum the partials with a small group-by; a
+k(k+1)/2-wide SQL aggregate would compile to a very large generated method.
 
 Only k-by-k matrices reach the driver.  The solve uses an eigen
 decomposition with a relative cut-off, so constant or collinear columns
@@ -24,6 +28,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +36,9 @@ from cartlift.functions.stats import norm_ppf, two_sided_p
 from cartlift.operators.ranking import exact_quantiles
 
 
+EIGEN_RCOND = 1e-11
+
+
 @dataclass
 class OLSResult:
     terms: list[str]
@@ -55,16 +63,28 @@ class OLSResult:
             rows, "term string, coef double, se double, z double, p_value double, ci_lo double, ci_hi double")
 
 
+def column_moments(df: DataFrame, cols: Sequence[str]) -> dict[str, dict]:
+    """Per column: rows, NULLs, mean and SD of the non-NULL values (one long-form pass)."""
+    from cartlift.operators.validity import long_features
+    long = long_features(df, cols)
+    rows = long.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("value").isNull().cast("long")).alias("nulls"),
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")).collect()  # one row per column
+    return {r["feature"]: r.asDict() for r in rows}
+
+
 def impute_medians(df: DataFrame, cols: Sequence[str], tie_col: str | None = None,
-                   approximate: bool = False, **rank_kw) -> dict[str, float | None]:
+                   approximate: bool = False, moments: dict[str, dict] | None = None,
+                   **rank_kw) -> dict[str, float | None]:
     """Median of every column that has NULLs (others need no fill value).
 
-    Exact by default: the columns are unpivoted to (feature, value) and ranked
-    per feature without a single-task buffer.  ``approximate=True`` uses
-    ``percentile_approx`` sketches instead.
+    Exact by default (see :func:`exact_quantiles`: one ``percentile``
+    aggregate when the values fit one task, a distributed ranking above).
+    ``approximate=True`` uses ``percentile_approx`` sketches instead.
     """
-    nulls = df.agg(*[F.sum(F.col(c).isNull().cast("int")).alias(c) for c in cols]).first().asDict()
-    need = [c for c in cols if nulls[c]]
+    from cartlift.operators.validity import long_features
+    moments = moments or column_moments(df, cols)
+    need = [c for c in cols if moments[c]["nulls"]]
     if not need:
         return {}
     if approximate:
@@ -72,16 +92,53 @@ def impute_medians(df: DataFrame, cols: Sequence[str], tie_col: str | None = Non
                        for c in need]).first().asDict()
         return {c: row[c] for c in need}
     keep = [tie_col] if tie_col else []
-    long = df.select(*keep, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in need])).alias("r")
-    ).select(*keep, "r.feature", "r.v")
-    med = exact_quantiles(long, "v", [0.5], group_cols=["feature"], tie_col=tie_col, **rank_kw)
-    got = {r["feature"]: r["value"] for r in med.collect()}  # one row per feature
+    long = long_features(df, need, keep=keep).drop("feature_pos")
+    n_values = sum(moments[c]["n"] - moments[c]["nulls"] for c in need)
+    med = exact_quantiles(long, "value", [0.5], group_cols=["feature"], tie_col=tie_col,
+                          n=n_values, **rank_kw)
+    got = {r["feature"]: r["value"] for r in med.collect()}  # one row per column
     return {c: got.get(c) for c in need}
 
 
-def ols_hc1(df: DataFrame, y: str, x_cols: Sequence[str], fill: dict[str, float | None] | None = None
-            ) -> OLSResult:
+def _cross_products(df: DataFrame, z_cols: list, y_col, beta: np.ndarray | None = None
+                    ) -> tuple[np.ndarray, np.ndarray]:
+    """Sum over rows of z z' (and z y), or of e^2 z z' when ``beta`` is given.
+
+    ``z_cols`` excludes the intercept, which is added in numpy.  Each
+    partition folds its Arrow batches into one k-by-k partial (BLAS), emits it
+    as (position, value) rows, and a small group-by sums the partials, so the
+    driver receives only k^2 + k numbers.
+    """
+    k = len(z_cols) + 1
+    proj = df.select(*[c.alias(f"z{i}") for i, c in enumerate(z_cols)], y_col.alias("y"))
+    names = [f"z{i}" for i in range(k - 1)]
+    b = None if beta is None else np.asarray(beta, dtype=float)
+
+    def fold(batches):
+        G = np.zeros((k, k))
+        v = np.zeros(k)
+        for pdf in batches:
+            Z = np.empty((len(pdf), k))
+            Z[:, 0] = 1.0
+            if names:
+                Z[:, 1:] = pdf[names].to_numpy(dtype=float)
+            yy = pdf["y"].to_numpy(dtype=float)
+            if b is None:
+                G += Z.T @ Z
+                v += Z.T @ yy
+            else:
+                e = yy - Z @ b
+                G += (Z * (e * e)[:, None]).T @ Z
+        yield pd.DataFrame({"pos": np.arange(k * k + k, dtype=np.int32), "v": np.concatenate([G.ravel(), v])})
+
+    parts = proj.mapInPandas(fold, "pos int, v double")
+    got = dict((r["pos"], r["v"]) for r in parts.groupBy("pos").agg(F.sum("v").alias("v")).collect())
+    flat = np.array([got.get(i, 0.0) for i in range(k * k + k)])
+    return flat[:k * k].reshape(k, k), flat[k * k:]
+
+
+def ols_hc1(df: DataFrame, y: str, x_cols: Sequence[str], fill: dict[str, float | None] | None = None,
+            moments: dict[str, dict] | None = None) -> OLSResult:
     """OLS of ``y`` on an intercept and ``x_cols`` with HC1 covariance."""
     fill = fill or {}
     xs = {}
@@ -91,41 +148,31 @@ def ols_hc1(df: DataFrame, y: str, x_cols: Sequence[str], fill: dict[str, float
             col = F.coalesce(col, F.lit(float(fill[c])))
         xs[c] = col
     yy = F.col(y).cast("double")
-    # pass 1: moments
-    mom = df.agg(F.count(F.lit(1)).alias("n"),
-                 *[F.avg(v).alias(f"m{i}") for i, v in enumerate(xs.values())],
-                 *[F.stddev_samp(v).alias(f"s{i}") for i, v in enumerate(xs.values())]).first()
-    n = int(mom["n"])
+    # pass 1: per-column moments of the observed values set the standardisation
+    # (any centre and positive scale give the same fit; results are mapped back)
+    mom = moments or column_moments(df, list(x_cols))
     names = list(xs)
-    means = [mom[f"m{i}"] for i in range(len(names))]
-    sds = [mom[f"s{i}"] for i in range(len(names))]
-    live = [i for i in range(len(names)) if sds[i] is not None and sds[i] > 0 and means[i] is not None]
-    z = [F.lit(1.0)] + [(xs[names[i]] - F.lit(means[i])) / F.lit(sds[i]) for i in live]
-    k = len(z)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    # pass 2: Gram and cross-products
-    g = df.agg(*[F.sum(z[i] * z[j]).alias(f"g{i}_{j}") for i, j in pairs],
-               *[F.sum(z[i] * yy).alias(f"b{i}") for i in range(k)]).first()
-    G = np.zeros((k, k))
-    for i, j in pairs:
-        G[i, j] = G[j, i] = g[f"g{i}_{j}"]
-    zy = np.array([g[f"b{i}"] for i in range(k)])
+    n = int(next(iter(mom.values()))["n"]) if mom else df.count()
+    means = [mom[c]["mean"] for c in names]
+    sds = [mom[c]["sd"] for c in names]
+    # a column is live if it varies among observed values (imputing the
+    # median cannot make a constant column vary)
+    live = [i for i in range(len(names)) if sds[i] is not None and sds[i] > 0 and means[i] is not None
+            and (fill.get(names[i]) is not None or not mom[names[i]]["nulls"])]
+    z = [(xs[names[i]] - F.lit(means[i])) / F.lit(sds[i]) for i in live]
+    k = len(z) + 1
+    # pass 2: Gram matrix and cross-products of the standardised design
+    G, zy = _cross_products(df, z, yy)
     w, V = np.linalg.eigh(G)
+    # Gram eigenvalues carry ~eps * w_max absolute error, so the cut-off is
+    # relative on eigenvalues (condition number 1e11 of the standardised Gram)
     wmax = max(w.max(), 0.0)
-    tol = math.sqrt(wmax) * max(n, k) * np.finfo(float).eps
-    keep = np.sqrt(np.clip(w, 0, None)) > tol
+    keep = w > wmax * EIGEN_RCOND
     rank = int(keep.sum())
     Ginv = (V[:, keep] / w[keep]) @ V[:, keep].T
     beta = Ginv @ zy
-    # pass 3: HC1 meat with residuals from literal coefficients
-    fitted = z[0] * F.lit(float(beta[0]))
-    for i in range(1, k):
-        fitted = fitted + z[i] * F.lit(float(beta[i]))
-    e2 = F.pow(yy - fitted, 2)
-    m = df.agg(*[F.sum(e2 * z[i] * z[j]).alias(f"h{i}_{j}") for i, j in pairs]).first()
-    M = np.zeros((k, k))
-    for i, j in pairs:
-        M[i, j] = M[j, i] = m[f"h{i}_{j}"]
+    # pass 3: HC1 meat from residuals of the fitted coefficients
+    M, _ = _cross_products(df, z, yy, beta)
     cov = Ginv @ M @ Ginv * (n / (n - rank) if n > rank else float("nan"))
     # back to original units: beta = T beta_std
     T = np.zeros((k, k))

@@ -169,19 +169,37 @@ def decile_from_rank(rank: Column, n: Column, k: int = 10) -> Column:
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     group_cols: Sequence[str] = (), tie_col: str | None = None,
                     **rank_kw) -> DataFrame:
-    """Exact linear-interpolation quantiles, distributed (no single-task buffer).
+    """Exact linear-interpolation quantiles without an unbounded single-task buffer.
 
     Returns ``group_cols + (prob, value)``; ``value`` is NULL when a group has no
     non-NULL values.  Same definition as numpy ``quantile`` (linear), Spark
     ``percentile`` and DuckDB ``quantile_cont``.
+
+    Size-gated: when all values fit one ranking bucket (at most
+    ``rows_per_bucket`` rows, where the rank window would be a single task
+    anyway) one exact ``percentile`` aggregate is used; above that, values are
+    ranked with :func:`global_rank` and the two neighbouring order statistics
+    of each quantile are picked by a join.
     """
     data = df.select(*group_cols, F.col(value_col).cast("double").alias("_v"),
-                     *( [F.col(tie_col).alias("_id")] if tie_col else []))
+                     *([F.col(tie_col).alias("_id")] if tie_col else []))
     data = data.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    ranked = global_rank(data, [("_v", False)], tie_col="_id" if tie_col else None,
-                         group_cols=group_cols, rank_col="_r", **rank_kw)
     spark = df.sparkSession
     pdf = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "_pi int, prob double")
+    kw = dict(rank_kw)
+    n = kw.pop("n", None)
+    if n is None:
+        n = data.count()
+    if choose_buckets(n, kw.get("rows_per_bucket", ROWS_PER_BUCKET), kw.get("max_buckets", MAX_BUCKETS)) == 1:
+        arr = F.percentile(F.col("_v"), F.array(*[F.lit(float(p)) for p in probs]))
+        g = data.groupBy(*group_cols) if group_cols else data.groupBy()
+        res = g.agg(arr.alias("_q")).select(
+            *group_cols, F.posexplode("_q").alias("_pi", "value"))
+        if not group_cols:
+            return pdf.join(res, "_pi", "left").drop("_pi")
+        return res.join(F.broadcast(pdf), "_pi").select(*group_cols, "prob", "value")
+    ranked = global_rank(data, [("_v", False)], tie_col="_id" if tie_col else None,
+                         group_cols=group_cols, rank_col="_r", n=n, **kw)
     sizes = data.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
     h = (F.col("_n") - 1) * F.col("prob")
     want = (sizes.crossJoin(F.broadcast(pdf))
@@ -199,6 +217,6 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     value = F.when(F.col("_frac") == 0, F.col("_vlo")).otherwise(value)
     out = vals.select(*group_cols, "_pi", "prob", value.alias("value"))
     if not group_cols:
-        # groups with no rows at all still report NULL quantiles
+        # no rows at all still reports NULL quantiles
         out = pdf.join(out.drop("prob"), "_pi", "left")
     return out.drop("_pi")

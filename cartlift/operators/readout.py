@@ -18,8 +18,10 @@ def adjusted_effect(df: DataFrame, feature_cols: Sequence[str], approximate_medi
                     rank_kw: dict | None = None) -> ols.OLSResult:
     """ANCOVA: outcome on arm plus median-imputed covariates, HC1 errors (O-43/O-44)."""
     cols = [ARM, *feature_cols]
-    fill = ols.impute_medians(df, cols, tie_col=ID, approximate=approximate_medians, **(rank_kw or {}))
-    return ols.ols_hc1(df, OUTCOME, cols, fill)
+    mom = ols.column_moments(df, cols)
+    fill = ols.impute_medians(df, cols, tie_col=ID, approximate=approximate_medians, moments=mom,
+                              **(rank_kw or {}))
+    return ols.ols_hc1(df, OUTCOME, cols, fill, moments=mom)
 
 
 READOUT_SCHEMA = T.StructType([T.StructField(n, t) for n, t in [
@@ -40,11 +42,14 @@ def launch_readout(segmented: DataFrame, feature_cols: Sequence[str], cfg: Analy
     above 0) and practical (effect >= practical MDE).  LAUNCH needs the
     primary check and both guardrails.
     """
-    naive = effects.ate_naive(segmented, cfg.ci_z).first()
-    ztest = effects.two_proportion_z(segmented, cfg.alpha).first()
-    cuped = effects.ate_cuped(segmented, cfg.window_days).first()
+    # four one-row aggregates collected by a single job
     seg = effects.ate_by_group(segmented, "rfm_segment", SEGMENTS, cfg.ci_z)
-    guard = effects.guardrails(seg, cfg.champ_incr_max).first()
+    one = (effects.ate_naive(segmented, cfg.ci_z).select("ate", "se")
+           .crossJoin(effects.two_proportion_z(segmented, cfg.alpha).select("z"))
+           .crossJoin(effects.ate_cuped(segmented, cfg.window_days).select("cuped_ate", "cuped_se", "cuped_z"))
+           .crossJoin(effects.guardrails(seg, cfg.champ_incr_max).select(
+               "g1_pass", "g2_pass", "champions_incr_share"))).first()
+    naive = ztest = cuped = guard = one
     res = adjusted_effect(segmented, feature_cols, approximate_medians, cfg.rank_kw)
     adj_ate, adj_se = res.row(ARM)
     zq = norm_ppf(1 - cfg.alpha / 2)

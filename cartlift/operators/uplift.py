@@ -74,44 +74,68 @@ def _score(df: DataFrame, model: PipelineModel, name: str) -> DataFrame:
     return out.drop(*[c for c in out.columns if c not in before and c != name])
 
 
-def s_learner(train: DataFrame, test: DataFrame, feature_cols: Sequence[str],
-              cfg: AnalysisConfig) -> DataFrame:
-    """One model with the arm as a feature; score = p(x, 1) - p(x, 0) (O-55).
-
-    Both counterfactual predictions are appended to the same frame, so
-    scoring adds no shuffle.
-    """
+def fit_s_model(train: DataFrame, feature_cols: Sequence[str], cfg: AnalysisConfig) -> PipelineModel:
+    """S-learner: one model with the arm as a feature (O-55)."""
     tr = _with_indicators(train, feature_cols).withColumn("_arm", F.col(ARM).cast("double"))
-    model = Pipeline(stages=[*_prep_stages(feature_cols, extra=["_arm"]), _base_learner(cfg)]).fit(tr)
+    return Pipeline(stages=[*_prep_stages(feature_cols, extra=["_arm"]), _base_learner(cfg)]).fit(tr)
+
+
+def fit_arm_model(train: DataFrame, feature_cols: Sequence[str], cfg: AnalysisConfig,
+                  arm: int) -> PipelineModel:
+    """T-learner half: a model fitted on one arm only (O-56)."""
+    tr = _with_indicators(train, feature_cols).where(F.col(ARM) == arm)
+    return Pipeline(stages=[*_prep_stages(feature_cols), _base_learner(cfg)]).fit(tr)
+
+
+def score_s(test: DataFrame, model: PipelineModel, feature_cols: Sequence[str]) -> DataFrame:
+    """s_score = p(x, 1) - p(x, 0); both counterfactual predictions are appended
+    to the same frame, so scoring adds no shuffle."""
     te = _with_indicators(test, feature_cols)
     te = _score(te.withColumn("_arm", F.lit(1.0)), model, "_p1")
     te = _score(te.withColumn("_arm", F.lit(0.0)), model, "_p0")
     return te.withColumn("s_score", F.col("_p1") - F.col("_p0")).drop("_p1", "_p0", "_arm")
 
 
-def t_learner(train: DataFrame, test: DataFrame, feature_cols: Sequence[str],
-              cfg: AnalysisConfig) -> DataFrame:
-    """Separate treated and control models; score = difference (O-56)."""
-    tr = _with_indicators(train, feature_cols)
+def score_t(test: DataFrame, treated: PipelineModel, control: PipelineModel,
+            feature_cols: Sequence[str]) -> DataFrame:
+    """t_score = p_treated(x) - p_control(x)."""
     te = _with_indicators(test, feature_cols)
-    for arm, name in ((1, "_pt"), (0, "_pc")):
-        model = Pipeline(stages=[*_prep_stages(feature_cols), _base_learner(cfg)]).fit(
-            tr.where(F.col(ARM) == arm))
-        te = _score(te, model, name)
+    te = _score(te, treated, "_pt")
+    te = _score(te, control, "_pc")
     return te.withColumn("t_score", F.col("_pt") - F.col("_pc")).drop("_pt", "_pc")
 
 
+def s_learner(train: DataFrame, test: DataFrame, feature_cols: Sequence[str],
+              cfg: AnalysisConfig) -> DataFrame:
+    return score_s(test, fit_s_model(train, feature_cols, cfg), feature_cols)
+
+
+def t_learner(train: DataFrame, test: DataFrame, feature_cols: Sequence[str],
+              cfg: AnalysisConfig) -> DataFrame:
+    return score_t(test, fit_arm_model(train, feature_cols, cfg, 1),
+                   fit_arm_model(train, feature_cols, cfg, 0), feature_cols)
+
+
 def uplift_scores(segmented: DataFrame, feature_cols: Sequence[str], cfg: AnalysisConfig) -> DataFrame:
-    """Scored test table (client_id, arm, outcome, rfm_segment, s_score, t_score, split) (O-57).
+    """Scored test table (client_id, arm, outcome, rfm_segment, split, s_score, t_score) (O-57).
 
-    The training split is checkpointed first: boosting makes one pass per
-    round, and a checkpoint keeps those passes off the feature lineage.
+    The split is checkpointed first (boosting makes one pass per round; the
+    checkpoint keeps those passes off the feature lineage), and the three
+    independent fits run as concurrent Spark jobs so small-data stages do not
+    leave cores idle.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     from cartlift.session import materialize
     split = train_test_split(segmented, cfg.test_share, cfg.split_salt)
     cols = [ID, ARM, OUTCOME, "rfm_segment", "split", *feature_cols]
     split = materialize(split.select(*cols))
     train, test = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
-    scored = s_learner(train, test, feature_cols, cfg)
-    scored = t_learner(train, scored, feature_cols, cfg)
+    fits = [lambda: fit_s_model(train, feature_cols, cfg),
+            lambda: fit_arm_model(train, feature_cols, cfg, 1),
+            lambda: fit_arm_model(train, feature_cols, cfg, 0)]
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        s_model, t_model, c_model = [f.result() for f in [pool.submit(fn) for fn in fits]]
+    scored = score_s(test, s_model, feature_cols)
+    scored = score_t(scored, t_model, c_model, feature_cols)
     return scored.select(ID, ARM, OUTCOME, "rfm_segment", "split", "s_score", "t_score")

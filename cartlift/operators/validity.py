@@ -82,28 +82,31 @@ def srm_test(df: DataFrame, ratio: float = 0.5, alpha: float = 0.001) -> DataFra
     return s.withColumn("p_value", p_value_col(F.sqrt(F.col("chi2"))))
 
 
+def long_features(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Unpivot numeric columns to (``keep``..., feature, feature_pos, value)."""
+    return df.select(*keep, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.lit(i).alias("feature_pos"), F.col(c).cast("double").alias("value"))
+        for i, c in enumerate(cols)])).alias("_r")).select(*keep, "_r.feature", "_r.feature_pos", "_r.value")
+
+
 def covariate_balance(df: DataFrame, feature_cols: Sequence[str], threshold: float = 0.1) -> DataFrame:
     """Standardised mean difference per numeric feature (O-33).
 
-    One wide aggregate (mean and sample variance per arm and feature; NULLs
-    skipped per feature) then an unpivot of the single result row.  Features
-    with zero or undefined pooled SD are left out.
+    Long form: the features are unpivoted and one group-by on the feature
+    computes mean and sample variance per arm (NULLs skipped per feature);
+    partial aggregation keeps the shuffle at one row per feature and task.
+    (A single 92-aggregate row would exceed the whole-stage codegen field
+    limit and run interpreted.)  Features with zero or undefined pooled SD
+    are left out.
     """
-    aggs = []
-    for i, c in enumerate(feature_cols):
-        x = F.col(c).cast("double")
-        aggs += [F.avg(F.when(_arm(1), x)).alias(f"mt{i}"), F.avg(F.when(_arm(0), x)).alias(f"mc{i}"),
-                 F.var_samp(F.when(_arm(1), x)).alias(f"vt{i}"), F.var_samp(F.when(_arm(0), x)).alias(f"vc{i}")]
-    wide = df.agg(*aggs)
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.lit(i).alias("feature_pos"),
-                 F.col(f"mt{i}").alias("mean_treat"), F.col(f"mc{i}").alias("mean_control"),
-                 F.col(f"vt{i}").alias("vt"), F.col(f"vc{i}").alias("vc"))
-        for i, c in enumerate(feature_cols)]))
-    long = wide.select(rows.alias("r")).select("r.*")
+    x = F.col("value")
+    long = long_features(df, feature_cols, keep=[ARM])
+    agg = long.groupBy("feature", "feature_pos").agg(
+        F.avg(F.when(_arm(1), x)).alias("mean_treat"), F.avg(F.when(_arm(0), x)).alias("mean_control"),
+        F.var_samp(F.when(_arm(1), x)).alias("vt"), F.var_samp(F.when(_arm(0), x)).alias("vc"))
     sd = F.sqrt((F.col("vt") + F.col("vc")) / 2)
     smd = (F.col("mean_treat") - F.col("mean_control")) / F.col("sd_pooled")
-    return (long.withColumn("sd_pooled", sd).where(F.col("sd_pooled") > 0)
+    return (agg.withColumn("sd_pooled", sd).where(F.col("sd_pooled") > 0)
             .select("feature", "feature_pos", "mean_treat", "mean_control", "sd_pooled",
                     smd.alias("smd"), F.abs(smd).alias("abs_smd"),
                     (F.abs(smd) >= F.lit(threshold)).alias("imbalanced")))

@@ -62,12 +62,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def materialize(df, eager: bool = True):
-    """Cut lineage with a reliable checkpoint in the shared folder.
+def materialize(df, name: str | None = None):
+    """Cut lineage: write ``df`` as a Parquet table in the shared checkpoint
+    folder and read it back.
 
-    Used for tables that many later jobs read (the customer table) so that a
-    lost executor re-reads the checkpoint instead of re-running the scan,
-    joins and shuffles behind it.
+    Used for tables that many later jobs read (the customer table, the scored
+    split).  Compared with ``Dataset.checkpoint`` the table is columnar, so
+    later jobs prune columns and push filters into the scan; a lost executor
+    re-reads files instead of re-running the purchase scan and shuffles.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    import uuid
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/tables/{name or 'table'}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
