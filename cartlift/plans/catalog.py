@@ -365,3 +365,55 @@ def model_policy_readout(c: Context) -> DataFrame:
     t = pol.targeting_policy(c.scored_model, "t_score", k.k_percent, k.rank_kw)
     return pol.policy_value(t, k.k_percent).crossJoin(pol.policy_guardrails(t)).crossJoin(
         cur.decile_concentration(cur.decile_table(c.scored_model, "t_score", k.rank_kw)))
+
+
+# ---------------------------------------------------------------- streaming duties (batch form of the same code)
+from pyspark.sql import functions as _F  # noqa: E402
+
+from cartlift.streaming import jobs as stream  # noqa: E402
+
+EVENTS_REFERENCE_END = "2024-01-08"  # fixture: first week of events is the reference slice
+
+
+def _events(c: Context) -> tuple[DataFrame, DataFrame]:
+    ev = c.spark.read.parquet(f"{c.sf_dir.rstrip('/')}/events.parquet")
+    cut = _F.expr(f"timestamp_ntz'{EVENTS_REFERENCE_END}'")
+    return ev.where(_F.col("ts") < cut), ev.where(_F.col("ts") >= cut)
+
+
+@query
+def stream_arm_rates(c: Context) -> DataFrame:
+    """E-2: events, purchases and purchase rate per day and arm."""
+    ev = c.spark.read.parquet(f"{c.sf_dir.rstrip('/')}/events.parquet")
+    return stream.windowed_arm_counts(ev)
+
+
+@query
+def stream_srm(c: Context) -> DataFrame:
+    """E-2: SRM chi-square per daily window."""
+    ev = c.spark.read.parquet(f"{c.sf_dir.rstrip('/')}/events.parquet")
+    return stream.window_srm(stream.windowed_arm_counts(ev))
+
+
+@query
+def stream_psi(c: Context) -> DataFrame:
+    """E-1: daily PSI of the incoming value against first-week reference edges."""
+    ref, cur = _events(c)
+    edges = stream.reference_edges(ref, "value")
+    return stream.windowed_psi(stream.windowed_bins(cur, edges), stream.reference_shares(ref, edges))
+
+
+@query
+def stream_assignment(c: Context) -> DataFrame:
+    """E-3: epsilon-greedy action at arrival with a reference top-30% cutoff."""
+    ref, cur = _events(c)
+    from cartlift.operators.ranking import exact_quantiles
+    cutoff = exact_quantiles(ref, "value", [1.0 - c.config.k_percent]).first()["value"]
+    return stream.assign_at_arrival(cur, cutoff, c.config.epsilon, c.config.cycle).select(
+        "event_id", "user_id", "action")
+
+
+@query
+def aa_test(c: Context) -> DataFrame:
+    """E-4: naive effect between two keyed halves of the control arm."""
+    return stream.aa_test(c.train)
