@@ -188,4 +188,4 @@ def ols_hc1(df: DataFrame, y: str, x_cols: Sequence[str], fill: dict[str, float
     for pos, i in enumerate(live, start=1):
         coef[i + 1] = float(b_orig[pos])
         se[i + 1] = float(math.sqrt(max(cov_orig[pos, pos], 0.0)))
-    return OLSResult(["const", *names], coef, se, n, rank)
+    return OLSResult(["intercept", *names], coef, se, n, rank)
