@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartlift.functions.scalars import first_value
 from cartlift.operators.ranking import decile_from_rank, global_cumsum, global_rank
 from cartlift.sources.raw import ARM, ID, OUTCOME
 
@@ -74,20 +75,22 @@ def normalized_auc(scored: DataFrame, score_col: str, kind: str = "qini",
     tot = scored.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(t).alias("nt"),
                      F.sum(y * t).alias("yt"), F.sum(y * (1 - t)).alias("yc"),
                      F.sum(y * (1 - t)).alias("cr"), F.sum((1 - y) * t).alias("tn"))
+    t_row = tot.select("*", (F.col("n") * curve_value(kind, F.col("n"), F.col("nt"), F.col("yt"), F.col("yc"))
+                             / 2).alias("auc_random")).first()
     if kind == "qini":
         perfect = y * t - y * (1 - t)
-        src = scored
     else:
-        flags = tot.select((F.col("cr") > F.col("tn")).alias("_use_y"))
-        src = scored.crossJoin(F.broadcast(flags))  # one row
-        perfect = 2 * (y == t).cast("double") + F.when(F.col("_use_y"), y).otherwise(t)
-    actual = _auc(scored, F.col(score_col).cast("double"), kind, rank_kw).select(F.col("auc").alias("auc_actual"))
-    best = _auc(src, perfect, kind, rank_kw).select(F.col("auc").alias("auc_perfect"))
-    rnd = tot.select((F.col("n") * curve_value(kind, F.col("n"), F.col("nt"), F.col("yt"), F.col("yc")) / 2)
-                     .alias("auc_random"))
-    out = actual.crossJoin(best).crossJoin(rnd)
-    norm = F.try_divide(F.col("auc_actual") - F.col("auc_random"), F.col("auc_perfect") - F.col("auc_random"))
-    return out.select(norm.alias(f"{kind}_auc"), "auc_actual", "auc_perfect", "auc_random")
+        use_y = t_row["cr"] is not None and t_row["tn"] is not None and t_row["cr"] > t_row["tn"]
+        perfect = 2 * (y == t).cast("double") + (y if use_y else t)
+    actual = first_value(_auc(scored, F.col(score_col).cast("double"), kind, rank_kw))
+    best = first_value(_auc(scored, perfect, kind, rank_kw))
+    rnd = t_row["auc_random"]
+    norm = None
+    if None not in (actual, best, rnd) and best != rnd:
+        norm = (actual - rnd) / (best - rnd)
+    return scored.sparkSession.createDataFrame(
+        [(norm, actual, best, rnd)],
+        f"{kind}_auc double, auc_actual double, auc_perfect double, auc_random double")
 
 
 def with_deciles(scored: DataFrame, score_col: str, rank_kw: dict | None = None) -> DataFrame:

@@ -39,53 +39,64 @@ def _unpooled_se() -> Column:
                   + F.try_divide(F.col("var_control"), F.col("n_control").cast("double")))
 
 
+def effect_moments(df: DataFrame, window_days: int | None = None) -> DataFrame:
+    """One aggregate with every moment the average-effect readouts need.
+
+    Per arm: n, successes, mean and sample variance of the outcome; with
+    ``window_days``, also the CUPED covariate X (bought in the pre-period):
+    pooled Cov(Y, X), Var(X), E[X] and per-arm mean, variance and covariance.
+    :func:`ate_naive`, :func:`two_proportion_z` and :func:`ate_cuped` are
+    projections of this single row, so a readout scans the table once.
+    """
+    y = _y()
+    aggs = [*_arm_moments(y),
+            F.sum(F.when(_arm(1), F.col(OUTCOME).cast("bigint"))).alias("x_treat"),
+            F.sum(F.when(_arm(0), F.col(OUTCOME).cast("bigint"))).alias("x_control")]
+    if window_days is not None:
+        x = recent_flag(window_days)
+        aggs += [F.covar_samp(y, x).alias("cov_all"), F.var_samp(x).alias("varx_all"), F.avg(x).alias("ex")]
+        for arm, tag in ((1, "t"), (0, "c")):
+            aggs += [F.avg(F.when(_arm(arm), x)).alias(f"mx_{tag}"),
+                     F.var_samp(F.when(_arm(arm), x)).alias(f"vx_{tag}"),
+                     F.covar_samp(F.when(_arm(arm), y), F.when(_arm(arm), x)).alias(f"cxy_{tag}")]
+    return df.agg(*aggs)
+
+
+def naive_from(m: DataFrame, z: float = 1.96) -> DataFrame:
+    ate = F.col("rate_treat") - F.col("rate_control")
+    return (m.select("n_treat", "n_control", "rate_treat", "rate_control", ate.alias("ate"),
+                     _unpooled_se().alias("se"))
+            .withColumn("ci_lo", F.col("ate") - F.lit(z) * F.col("se"))
+            .withColumn("ci_hi", F.col("ate") + F.lit(z) * F.col("se")))
+
+
 def ate_naive(df: DataFrame, z: float = 1.96) -> DataFrame:
     """Difference in rates with unpooled SE and a fixed-z 95% CI (O-36/O-37).
 
     ``rate_control`` is the control-arm baseline (the North-Star reading).
     """
-    ate = F.col("rate_treat") - F.col("rate_control")
-    return (df.agg(*_arm_moments(_y()))
-            .select("n_treat", "n_control", "rate_treat", "rate_control", ate.alias("ate"),
-                    _unpooled_se().alias("se"))
-            .withColumn("ci_lo", F.col("ate") - F.lit(z) * F.col("se"))
-            .withColumn("ci_hi", F.col("ate") + F.lit(z) * F.col("se")))
+    return naive_from(effect_moments(df), z)
 
 
-def two_proportion_z(df: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Pooled-variance two-proportion z-test, two-sided (O-38)."""
-    y = F.col(OUTCOME).cast("bigint")
-    agg = df.agg(F.sum(F.when(_arm(1), y)).alias("x_treat"), F.sum(F.when(_arm(0), y)).alias("x_control"),
-                 F.sum(F.when(_arm(1), 1).otherwise(0)).cast("bigint").alias("n_treat"),
-                 F.sum(F.when(_arm(0), 1).otherwise(0)).cast("bigint").alias("n_control"))
+def z_from(m: DataFrame, alpha: float = 0.05) -> DataFrame:
     nt, nc = F.col("n_treat").cast("double"), F.col("n_control").cast("double")
     pt, pc = F.try_divide(F.col("x_treat"), nt), F.try_divide(F.col("x_control"), nc)
     pool = F.try_divide(F.col("x_treat") + F.col("x_control"), nt + nc)
     se0 = F.sqrt(pool * (1 - pool) * (F.try_divide(F.lit(1.0), nt) + F.try_divide(F.lit(1.0), nc)))
     zc = F.try_divide(pt - pc, se0)
     crit = norm_ppf(1 - alpha / 2)
-    return agg.select("x_treat", "x_control", "n_treat", "n_control", pool.alias("p_pool"),
-                      zc.alias("z"), (F.abs(zc) > F.lit(crit)).alias("reject_h0"))
+    return m.select("x_treat", "x_control", "n_treat", "n_control", pool.alias("p_pool"),
+                    zc.alias("z"), (F.abs(zc) > F.lit(crit)).alias("reject_h0"))
 
 
-def ate_cuped(df: DataFrame, window_days: int = 7) -> DataFrame:
-    """CUPED with X = bought in the pre-period window (O-40..O-42), one pass.
+def two_proportion_z(df: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Pooled-variance two-proportion z-test, two-sided (O-38)."""
+    return z_from(effect_moments(df), alpha)
 
-    theta = Cov(Y, X) / Var(X) pooled over both arms (0 when Var(X) = 0, which
-    makes CUPED equal the naive estimate).  Per arm, with Y' = Y - theta (X - E[X]):
-    mean Y' = mean Y - theta (mean X_arm - E[X]) and
-    var Y' = var Y + theta^2 var X - 2 theta cov(Y, X), all sample moments.
-    """
-    y, x = _y(), recent_flag(window_days)
-    aggs = [F.covar_samp(y, x).alias("cov_all"), F.var_samp(x).alias("varx_all"), F.avg(x).alias("ex"),
-            *_arm_moments(y)]
-    for arm, tag in ((1, "t"), (0, "c")):
-        aggs += [F.avg(F.when(_arm(arm), x)).alias(f"mx_{tag}"),
-                 F.var_samp(F.when(_arm(arm), x)).alias(f"vx_{tag}"),
-                 F.covar_samp(F.when(_arm(arm), y), F.when(_arm(arm), x)).alias(f"cxy_{tag}")]
-    a = df.agg(*aggs)
+
+def cuped_from(m: DataFrame) -> DataFrame:
     theta = F.coalesce(F.try_divide(F.col("cov_all"), F.col("varx_all")), F.lit(0.0))
-    a = a.withColumn("theta", theta)
+    a = m.withColumn("theta", theta)
     th = F.col("theta")
     out = a.select(
         "theta", "n_treat", "n_control", _unpooled_se().alias("se_naive"),
@@ -100,6 +111,17 @@ def ate_cuped(df: DataFrame, window_days: int = 7) -> DataFrame:
         (F.lit(1.0) - F.try_divide(cse, F.col("se_naive"))).alias("se_reduction"))
 
 
+def ate_cuped(df: DataFrame, window_days: int = 7) -> DataFrame:
+    """CUPED with X = bought in the pre-period window (O-40..O-42), one pass.
+
+    theta = Cov(Y, X) / Var(X) pooled over both arms (0 when Var(X) = 0, which
+    makes CUPED equal the naive estimate).  Per arm, with Y' = Y - theta (X - E[X]):
+    mean Y' = mean Y - theta (mean X_arm - E[X]) and
+    var Y' = var Y + theta^2 var X - 2 theta cov(Y, X), all sample moments.
+    """
+    return cuped_from(effect_moments(df, window_days))
+
+
 def ate_by_group(df: DataFrame, by: str, groups: Sequence[str] | None = None,
                  z: float = 1.96, min_per_arm: int = 2) -> DataFrame:
     """Effect per group with CI (O-48); groups with fewer than ``min_per_arm``

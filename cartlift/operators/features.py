@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartlift.functions.dates import floor_days
+from cartlift.functions.scalars import first_value, ntz_lit
 from cartlift.sources.raw import ARM, ID, OUTCOME, reference_time
 
 TX_MAX_COLS = (("purchase_sum", "tx_sum"), ("transaction_datetime", "tx_time"),
@@ -86,18 +87,26 @@ class approximate_breadth:  # noqa: N801 - module-level switch
     rsd = 0.01
 
 
-def purchase_features(purchases: DataFrame, ref: DataFrame) -> DataFrame:
-    """Rollups joined, plus floored ``recency_days``/``tenure_days`` (O-11, O-12)."""
+def purchase_features(purchases: DataFrame, ref_time) -> DataFrame:
+    """Rollups joined, plus floored ``recency_days``/``tenure_days`` (O-11, O-12).
+
+    ``ref_time`` is a TIMESTAMP_NTZ literal column (see :func:`reference_time_value`).
+    """
     cust = customer_rollup(transaction_rollup(purchases))
     feats = cust.join(customer_breadth(purchases), ID, "left")
-    feats = feats.crossJoin(F.broadcast(ref))  # one row
     return feats.select(
         ID, *PURCHASE_FEATURES[:13],
-        floor_days("ref_time", "last_tx").alias("recency_days"),
+        floor_days(ref_time, "last_tx").alias("recency_days"),
         floor_days("last_tx", "first_tx").alias("tenure_days"))
 
 
-def client_features(clients: DataFrame, ref: DataFrame, null_future_dates: bool = False) -> DataFrame:
+def reference_time_value(purchases: DataFrame, as_of=None):
+    """The reference ("campaign start") time as a driver scalar (O-06):
+    ``as_of`` if given, else the latest purchase time (a one-column scan)."""
+    return as_of if as_of is not None else first_value(reference_time(purchases))
+
+
+def client_features(clients: DataFrame, ref_time, null_future_dates: bool = False) -> DataFrame:
     """Demographics and loyalty-card date features (O-13).
 
     Each derived column exists only when its source column exists.
@@ -108,17 +117,15 @@ def client_features(clients: DataFrame, ref: DataFrame, null_future_dates: bool
     demo = [c for c in ("age", "gender") if c in cols]
     dates = [c for c in ("first_issue_date", "first_redeem_date") if c in cols]
     cl = clients.select(ID, *demo, *dates)
-    if dates:
-        cl = cl.crossJoin(F.broadcast(ref))
-        if null_future_dates:
-            for c in dates:
-                cl = cl.withColumn(c, F.when(F.col(c) <= F.col("ref_time"), F.col(c)))
+    if null_future_dates:
+        for c in dates:
+            cl = cl.withColumn(c, F.when(F.col(c) <= ref_time, F.col(c)))
     out = [F.col(ID), *[F.col(c) for c in demo]]
     if "first_issue_date" in dates:
-        out.append(floor_days("ref_time", "first_issue_date").alias("issue_tenure_days"))
+        out.append(floor_days(ref_time, "first_issue_date").alias("issue_tenure_days"))
     if "first_redeem_date" in dates:
         out.append(F.col("first_redeem_date").isNotNull().cast("double").alias("has_redeemed"))
-        out.append(floor_days("ref_time", "first_redeem_date").alias("redeem_recency_days"))
+        out.append(floor_days(ref_time, "first_redeem_date").alias("redeem_recency_days"))
         if "first_issue_date" in dates:
             out.append(floor_days("first_redeem_date", "first_issue_date").alias("issue_to_redeem_days"))
     return cl.select(*out)
@@ -152,7 +159,7 @@ def customer_features(train: DataFrame, clients: DataFrame, purchases: DataFrame
     purchase features, customers without a client row have NULL client
     features.  Row order is not defined (ties are broken by id downstream).
     """
-    ref = reference_time(purchases, as_of)
+    ref = ntz_lit(reference_time_value(purchases, as_of))
     feats = purchase_features(purchases, ref)
     cl = client_features(clients, ref, null_future_dates)
     df = (train.select(ID, OUTCOME, ARM).join(feats, ID, "left").join(cl, ID, "left"))

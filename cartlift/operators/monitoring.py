@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlift.functions.hashing import keyed_uniform
+from cartlift.functions.scalars import double_lit, first_value
 from cartlift.operators.effects import ate_naive
 from cartlift.operators.ranking import exact_quantiles
 from cartlift.sources.raw import ID
@@ -74,21 +75,19 @@ def epsilon_assignment(scored: DataFrame, score_col: str, epsilon: float = 0.05,
     coin = keyed_uniform(ID, f"coin:{cycle}") < F.lit(0.5)
     marked = scored.withColumn("_explore", explore).withColumn("_coin", coin)
     q = exact_quantiles(marked.where(~F.col("_explore")), score_col, [1.0 - k], tie_col=ID, **(rank_kw or {}))
-    cut = q.select(F.col("value").alias("cutoff"))
+    marked = marked.withColumn("cutoff", double_lit(first_value(q, "value")))
     action = (F.when(F.col("_explore") & F.col("_coin"), "explore_treat")
               .when(F.col("_explore"), "explore_control")
               .when(F.col(score_col) >= F.col("cutoff"), "exploit_treat")
               .otherwise("exploit_skip"))
-    return (marked.crossJoin(F.broadcast(cut))  # one row
-            .withColumn("action", action).drop("_explore", "_coin"))
+    return marked.withColumn("action", action).drop("_explore", "_coin")
 
 
 def epsilon_buckets(assigned: DataFrame) -> DataFrame:
     """Rows per action and share of all rows (O-69e)."""
     counts = assigned.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
-    total = assigned.agg(F.count(F.lit(1)).alias("_t"))
-    return counts.crossJoin(F.broadcast(total)).select(  # one row
-        "action", "n", (F.col("n") / F.col("_t")).alias("share"))
+    total = F.sum("n").over(Window.partitionBy())  # over at most four action rows
+    return counts.select("action", "n", (F.col("n") / total).alias("share"))
 
 
 def explore_share(assigned: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartlift.functions.scalars import double_lit, first_value
 from cartlift.operators.ranking import exact_quantiles
 from cartlift.sources.raw import ARM, ID, OUTCOME
 
@@ -18,8 +19,8 @@ def score_cutoff(scored: DataFrame, score_col: str, k: float, rank_kw: dict | No
 def targeting_policy(scored: DataFrame, score_col: str, k: float = 0.30,
                      rank_kw: dict | None = None) -> DataFrame:
     """``targeted`` = score >= cutoff; every tie at the cutoff is included (O-65)."""
-    cut = score_cutoff(scored, score_col, k, rank_kw)
-    return (scored.crossJoin(F.broadcast(cut))  # one row
+    cut = first_value(score_cutoff(scored, score_col, k, rank_kw), "cutoff")
+    return (scored.withColumn("cutoff", double_lit(cut))
             .withColumn("targeted", F.col(score_col) >= F.col("cutoff")))
 
 

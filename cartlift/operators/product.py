@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlift.functions.dates import month_diff, month_start
+from cartlift.functions.scalars import double_lit, first_value
 from cartlift.operators.ranking import exact_quantiles, global_rank, ntile_from_rank
 from cartlift.sources.raw import ID
 
@@ -18,8 +19,8 @@ def core_metrics(features: DataFrame, rank_kw: dict | None = None) -> DataFrame:
     agg = features.agg(F.count(F.lit(1)).alias("customers"),
                        F.round(F.avg("n_tx"), 2).alias("avg_purchase_frequency"),
                        F.round(F.avg("spend_total"), 2).alias("avg_monetary_per_customer"))
-    med = exact_quantiles(features, "recency_days", [0.5], tie_col=ID, **(rank_kw or {}))
-    return agg.crossJoin(med.select(F.col("value").alias("median_recency_days")))
+    med = first_value(exact_quantiles(features, "recency_days", [0.5], tie_col=ID, **(rank_kw or {})), "value")
+    return agg.withColumn("median_recency_days", double_lit(med))
 
 
 def active_months(purchases: DataFrame) -> DataFrame:

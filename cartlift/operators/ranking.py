@@ -202,7 +202,9 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                          group_cols=group_cols, rank_col="_r", n=n, **kw)
     sizes = data.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
     h = (F.col("_n") - 1) * F.col("prob")
-    want = (sizes.crossJoin(F.broadcast(pdf))
+    prob_rows = F.explode(F.array(*[F.struct(F.lit(i).alias("_pi"), F.lit(float(p)).alias("prob"))
+                                    for i, p in enumerate(probs)]))
+    want = (sizes.select(*group_cols, "_n", prob_rows.alias("_p")).select(*group_cols, "_n", "_p._pi", "_p.prob")
             .withColumn("_h", h)
             .withColumn("_lo", F.floor("_h").cast("bigint") + 1)
             .withColumn("_hi", F.ceil("_h").cast("bigint") + 1)

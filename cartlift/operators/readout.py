@@ -42,14 +42,15 @@ def launch_readout(segmented: DataFrame, feature_cols: Sequence[str], cfg: Analy
     above 0) and practical (effect >= practical MDE).  LAUNCH needs the
     primary check and both guardrails.
     """
-    # four one-row aggregates collected by a single job
+    # one scan for naive, z-test and CUPED (projections of one moments row)
+    m = effects.effect_moments(segmented, cfg.window_days)
+    mrow = m.first()
+    one = segmented.sparkSession.createDataFrame([mrow], m.schema)
+    naive = effects.naive_from(one, cfg.ci_z).first()
+    ztest = effects.z_from(one, cfg.alpha).first()
+    cuped = effects.cuped_from(one).first()
     seg = effects.ate_by_group(segmented, "rfm_segment", SEGMENTS, cfg.ci_z)
-    one = (effects.ate_naive(segmented, cfg.ci_z).select("ate", "se")
-           .crossJoin(effects.two_proportion_z(segmented, cfg.alpha).select("z"))
-           .crossJoin(effects.ate_cuped(segmented, cfg.window_days).select("cuped_ate", "cuped_se", "cuped_z"))
-           .crossJoin(effects.guardrails(seg, cfg.champ_incr_max).select(
-               "g1_pass", "g2_pass", "champions_incr_share"))).first()
-    naive = ztest = cuped = guard = one
+    guard = effects.guardrails(seg, cfg.champ_incr_max).first()
     res = adjusted_effect(segmented, feature_cols, approximate_medians, cfg.rank_kw)
     adj_ate, adj_se = res.row(ARM)
     zq = norm_ppf(1 - cfg.alpha / 2)

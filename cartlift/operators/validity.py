@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlift.functions.stats import chi2_df1_critical, power_delta
@@ -55,9 +55,8 @@ def experiment_design(features: DataFrame, window_days: int = 7, mde: float = 0.
 def split_counts(df: DataFrame) -> DataFrame:
     """Customers and share per arm (O-31)."""
     counts = df.groupBy(ARM).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    return (counts.crossJoin(F.broadcast(total))  # one row
-            .select(ARM, "n", (F.col("n") / F.col("_total")).alias("share")))
+    total = F.sum("n").over(Window.partitionBy())  # over one row per arm
+    return counts.select(ARM, "n", (F.col("n") / total).alias("share"))
 
 
 def srm(df: DataFrame, ratio: float = 0.5, alpha: float = 0.001) -> DataFrame:

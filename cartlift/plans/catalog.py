@@ -363,8 +363,15 @@ def model_policy_readout(c: Context) -> DataFrame:
     """O-61..O-68 on the T-learner score: decile table joined with policy value."""
     k = c.config
     t = pol.targeting_policy(c.scored_model, "t_score", k.k_percent, k.rank_kw)
-    return pol.policy_value(t, k.k_percent).crossJoin(pol.policy_guardrails(t)).crossJoin(
-        cur.decile_concentration(cur.decile_table(c.scored_model, "t_score", k.rank_kw)))
+    parts = [pol.policy_value(t, k.k_percent), pol.policy_guardrails(t),
+             cur.decile_concentration(cur.decile_table(c.scored_model, "t_score", k.rank_kw))]
+    row, fields = {}, []
+    for p in parts:  # three one-row readouts side by side
+        r = p.first()
+        row.update(r.asDict())
+        fields += p.schema.fields
+    from pyspark.sql import types as T
+    return c.spark.createDataFrame([tuple(row[f.name] for f in fields)], T.StructType(fields))
 
 
 # ---------------------------------------------------------------- streaming duties (batch form of the same code)

@@ -101,8 +101,8 @@ def reference_shares(reference: DataFrame, edges: Sequence[float], value: str =
     """Share of reference rows per PSI bin (at most ``len(edges) + 1`` rows)."""
     ref = reference.where(F.col(value).isNotNull())
     c = ref.groupBy(bin_of(F.col(value), edges).alias("bin")).agg(F.count(F.lit(1)).alias("cnt"))
-    tot = ref.agg(F.count(F.lit(1)).alias("_tot"))
-    return c.crossJoin(F.broadcast(tot)).select("bin", (F.col("cnt") / F.col("_tot")).alias("e"))  # one row
+    from pyspark.sql import Window
+    return c.select("bin", (F.col("cnt") / F.sum("cnt").over(Window.partitionBy())).alias("e"))  # <= bins rows
 
 
 def windowed_psi(bin_counts: DataFrame, ref_shares: DataFrame, bins: int = 10) -> DataFrame:
