@@ -119,17 +119,17 @@ def t_learner(train: DataFrame, test: DataFrame, feature_cols: Sequence[str],
 def uplift_scores(segmented: DataFrame, feature_cols: Sequence[str], cfg: AnalysisConfig) -> DataFrame:
     """Scored test table (client_id, arm, outcome, rfm_segment, split, s_score, t_score) (O-57).
 
-    The split is checkpointed first (boosting makes one pass per round; the
-    checkpoint keeps those passes off the feature lineage), and the three
-    independent fits run as concurrent Spark jobs so small-data stages do not
-    leave cores idle.
+    ``segmented`` should be a materialised table (the pipeline passes the
+    checkpointed customer table): each learner caches its own binned copy of
+    the training rows, and the split is a keyed-hash projection of that table.
+    The three independent fits run as concurrent Spark jobs so small-data
+    stages do not leave cores idle.
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    from cartlift.session import materialize
     split = train_test_split(segmented, cfg.test_share, cfg.split_salt)
     cols = [ID, ARM, OUTCOME, "rfm_segment", "split", *feature_cols]
-    split = materialize(split.select(*cols))
+    split = split.select(*cols)
     train, test = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
     fits = [lambda: fit_s_model(train, feature_cols, cfg),
             lambda: fit_arm_model(train, feature_cols, cfg, 1),
