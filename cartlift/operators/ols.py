@@ -94,8 +94,9 @@ def impute_medians(df: DataFrame, cols: Sequence[str], tie_col: str | None = Non
     keep = [tie_col] if tie_col else []
     long = long_features(df, need, keep=keep).drop("feature_pos")
     n_values = sum(moments[c]["n"] - moments[c]["nulls"] for c in need)
+    largest = max(moments[c]["n"] - moments[c]["nulls"] for c in need)
     med = exact_quantiles(long, "value", [0.5], group_cols=["feature"], tie_col=tie_col,
-                          n=n_values, **rank_kw)
+                          n=n_values, max_group_rows=largest, **rank_kw)
     got = {r["feature"]: r["value"] for r in med.collect()}  # one row per column
     return {c: got.get(c) for c in need}
 

@@ -168,18 +168,20 @@ def decile_from_rank(rank: Column, n: Column, k: int = 10) -> Column:
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     group_cols: Sequence[str] = (), tie_col: str | None = None,
-                    **rank_kw) -> DataFrame:
+                    max_group_rows: int | None = None, **rank_kw) -> DataFrame:
     """Exact linear-interpolation quantiles without an unbounded single-task buffer.
 
     Returns ``group_cols + (prob, value)``; ``value`` is NULL when a group has no
     non-NULL values.  Same definition as numpy ``quantile`` (linear), Spark
     ``percentile`` and DuckDB ``quantile_cont``.
 
-    Size-gated: when all values fit one ranking bucket (at most
-    ``rows_per_bucket`` rows, where the rank window would be a single task
-    anyway) one exact ``percentile`` aggregate is used; above that, values are
-    ranked with :func:`global_rank` and the two neighbouring order statistics
-    of each quantile are picked by a join.
+    Size-gated: when the largest group fits one ranking bucket (at most
+    ``rows_per_bucket`` values, where a rank window would be a single task
+    anyway) one exact ``percentile`` aggregate is used - each group's buffer
+    lives in one task; above that, values are ranked with :func:`global_rank`
+    and the two neighbouring order statistics of each quantile are picked by
+    a join.  ``max_group_rows`` (the largest group's non-NULL count) skips the
+    counting job when the caller knows it.
     """
     data = df.select(*group_cols, F.col(value_col).cast("double").alias("_v"),
                      *([F.col(tie_col).alias("_id")] if tie_col else []))
@@ -188,9 +190,16 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     pdf = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "_pi int, prob double")
     kw = dict(rank_kw)
     n = kw.pop("n", None)
-    if n is None:
-        n = data.count()
-    if choose_buckets(n, kw.get("rows_per_bucket", ROWS_PER_BUCKET), kw.get("max_buckets", MAX_BUCKETS)) == 1:
+    if max_group_rows is None:
+        if group_cols:
+            sizes_row = (data.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_c"))
+                         .agg(F.max("_c").alias("_m"), F.sum("_c").alias("_t")).first())
+            max_group_rows, n = int(sizes_row["_m"] or 0), int(sizes_row["_t"] or 0)
+        else:
+            n = n if n is not None else data.count()
+            max_group_rows = n
+    if choose_buckets(max_group_rows, kw.get("rows_per_bucket", ROWS_PER_BUCKET),
+                      kw.get("max_buckets", MAX_BUCKETS)) == 1:
         arr = F.percentile(F.col("_v"), F.array(*[F.lit(float(p)) for p in probs]))
         g = data.groupBy(*group_cols) if group_cols else data.groupBy()
         res = g.agg(arr.alias("_q")).select(
@@ -199,7 +208,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
             return pdf.join(res, "_pi", "left").drop("_pi")
         return res.join(F.broadcast(pdf), "_pi").select(*group_cols, "prob", "value")
     ranked = global_rank(data, [("_v", False)], tie_col="_id" if tie_col else None,
-                         group_cols=group_cols, rank_col="_r", n=n, **kw)
+                         group_cols=group_cols, rank_col="_r", n=n, **kw)  # n None -> counted
     sizes = data.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
     h = (F.col("_n") - 1) * F.col("prob")
     prob_rows = F.explode(F.array(*[F.struct(F.lit(i).alias("_pi"), F.lit(float(p)).alias("prob"))
