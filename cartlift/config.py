@@ -24,6 +24,7 @@ class AnalysisConfig:
     cycle: str = "0"
     psi_bins: int = 10
     period_salt: str = "period"
+    learner: str = "gbt"            # gbt | rf | logistic
     learner_iters: int = 25
     learner_step: float = 0.2
     learner_depth: int = 3

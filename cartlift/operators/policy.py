@@ -67,3 +67,14 @@ def policy_guardrails(targeted: DataFrame) -> DataFrame:
                     (F.col("champions_share") <= F.col("champions_base")).alias("champions_ok"),
                     F.coalesce((F.col("_up_top") > 0) & (F.col("_up_top") > F.col("_up_rest")),
                                F.lit(False)).alias("separation_ok"))
+
+
+def policy_economics(value: DataFrame, unit_value: float, unit_cost: float) -> DataFrame:
+    """Optional money view of :func:`policy_value` (O-67): incremental
+    responses times a unit value minus sends times a unit cost, for the top-k%
+    policy and for treating everyone."""
+    n_all = F.col("n_top") + F.col("n_rest")
+    net_top = F.col("incr_top") * F.lit(unit_value) - F.col("n_top") * F.lit(unit_cost)
+    net_all = F.col("incr_all") * F.lit(unit_value) - n_all * F.lit(unit_cost)
+    return value.select("k_percent", net_top.alias("net_value_top"), net_all.alias("net_value_all"),
+                        (net_top - net_all).alias("net_gain_vs_all"))

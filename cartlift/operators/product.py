@@ -23,6 +23,15 @@ def core_metrics(features: DataFrame, rank_kw: dict | None = None) -> DataFrame:
     return agg.withColumn("median_recency_days", double_lit(med))
 
 
+def time_quality(purchases: DataFrame) -> DataFrame:
+    """Lines and transactions whose purchase time did not parse (O-05/O-22);
+    they count in the feature rollups but are left out of cohorts."""
+    bad = F.col("transaction_datetime").isNull()
+    return purchases.agg(F.count(F.lit(1)).alias("lines"),
+                         F.sum(bad.cast("long")).alias("lines_without_time"),
+                         F.countDistinct(F.when(bad, F.struct(ID, "transaction_id"))).alias("transactions_without_time"))
+
+
 def active_months(purchases: DataFrame) -> DataFrame:
     """Distinct (customer, month) with a purchase (O-20); NULL times left out."""
     return (purchases.where(F.col("transaction_datetime").isNotNull())

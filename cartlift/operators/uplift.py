@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -42,8 +42,19 @@ def train_test_split(df: DataFrame, test_share: float = 0.3, salt: str = "split"
             .drop("_u", "_r", "_k"))
 
 
-def _base_learner(cfg: AnalysisConfig, features_col: str = "features") -> GBTClassifier:
-    """Boosted depth-limited trees (O-53).  No L2 term exists in Spark GBT."""
+def _base_learner(cfg: AnalysisConfig, features_col: str = "features"):
+    """Base classifier (O-53): boosted depth-limited trees by default (no L2 term
+    exists in Spark GBT); ``rf`` (all trees grown level by level in the same
+    passes) and ``logistic`` are the pluggable alternatives."""
+    if cfg.learner == "rf":
+        return RandomForestClassifier(featuresCol=features_col, labelCol="_label", maxDepth=cfg.learner_depth,
+                                      numTrees=cfg.learner_iters, minInstancesPerNode=cfg.learner_min_leaf,
+                                      featureSubsetStrategy=cfg.learner_subset, seed=cfg.seed)
+    if cfg.learner == "logistic":
+        return LogisticRegression(featuresCol=features_col, labelCol="_label", maxIter=100, regParam=0.01,
+                                  standardization=True)
+    if cfg.learner != "gbt":
+        raise ValueError(f"unknown learner {cfg.learner!r}")
     return GBTClassifier(featuresCol=features_col, labelCol="_label", maxDepth=cfg.learner_depth,
                          maxIter=cfg.learner_iters, stepSize=cfg.learner_step,
                          minInstancesPerNode=cfg.learner_min_leaf,

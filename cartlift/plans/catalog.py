@@ -80,6 +80,12 @@ def core_metrics(c: Context) -> DataFrame:
     return prod.core_metrics(c.features, c.config.rank_kw)
 
 
+@query
+def time_quality(c: Context) -> DataFrame:
+    """O-05/O-22: purchase lines and transactions without a parsable time."""
+    return prod.time_quality(c.purchases)
+
+
 @query
 def active_months(c: Context) -> DataFrame:
     """O-20: distinct (customer, month)."""
@@ -318,6 +324,14 @@ def policy_value(c: Context) -> DataFrame:
     return pol.policy_value(t, c.config.k_percent)
 
 
+@query
+def policy_economics(c: Context) -> DataFrame:
+    """O-67 option: net value of the top-30% policy and of treating all
+    (unit value 1.0 per incremental response, unit cost 0.01 per send)."""
+    t = pol.targeting_policy(c.scored_fixed, "score", c.config.k_percent, c.config.rank_kw)
+    return pol.policy_economics(pol.policy_value(t, c.config.k_percent), 1.0, 0.01)
+
+
 @query
 def policy_guardrails(c: Context) -> DataFrame:
     """O-68: champions share and separation guardrails."""
