@@ -127,26 +127,38 @@ def t_learner(train: DataFrame, test: DataFrame, feature_cols: Sequence[str],
                    fit_arm_model(train, feature_cols, cfg, 0), feature_cols)
 
 
-def uplift_scores(segmented: DataFrame, feature_cols: Sequence[str], cfg: AnalysisConfig) -> DataFrame:
+def uplift_scores(segmented: DataFrame, feature_cols: Sequence[str], cfg: AnalysisConfig,
+                  fit_source: DataFrame | None = None) -> DataFrame:
     """Scored test table (client_id, arm, outcome, rfm_segment, split, s_score, t_score) (O-57).
 
     ``segmented`` should be a materialised table (the pipeline passes the
     checkpointed customer table): each learner caches its own binned copy of
     the training rows, and the split is a keyed-hash projection of that table.
-    The three independent fits run as concurrent Spark jobs so small-data
-    stages do not leave cores idle.
+    ``fit_source`` (the customer table without segments) lets the fits start
+    before segmentation finishes: the split depends on ``client_id`` only, so
+    both sources give the same training rows; ``segmented`` may then be a
+    callable that is evaluated only after the fits.  The three independent
+    fits run as concurrent Spark jobs so small-data stages do not leave cores
+    idle.
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    split = train_test_split(segmented, cfg.test_share, cfg.split_salt)
-    cols = [ID, ARM, OUTCOME, "rfm_segment", "split", *feature_cols]
-    split = split.select(*cols)
-    train, test = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
+    def split_of(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+        return (train_test_split(df, cfg.test_share, cfg.split_salt)
+                .select(ID, ARM, OUTCOME, *extra, "split", *feature_cols))
+
+    fit_df = split_of(fit_source) if fit_source is not None else None
+    if fit_df is None:
+        seg_df = segmented() if callable(segmented) else segmented
+        fit_df = split_of(seg_df, ["rfm_segment"])
+    train = fit_df.where(F.col("split") == "train")
     fits = [lambda: fit_s_model(train, feature_cols, cfg),
             lambda: fit_arm_model(train, feature_cols, cfg, 1),
             lambda: fit_arm_model(train, feature_cols, cfg, 0)]
     with ThreadPoolExecutor(max_workers=3) as pool:
         s_model, t_model, c_model = [f.result() for f in [pool.submit(fn) for fn in fits]]
+    seg_df = segmented() if callable(segmented) else segmented
+    test = split_of(seg_df, ["rfm_segment"]).where(F.col("split") == "test")
     scored = score_s(test, s_model, feature_cols)
     scored = score_t(scored, t_model, c_model, feature_cols)
     return scored.select(ID, ARM, OUTCOME, "rfm_segment", "split", "s_score", "t_score")

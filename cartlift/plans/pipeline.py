@@ -64,7 +64,7 @@ class Run:
     def outputs(self) -> dict[str, Callable[[], DataFrame]]:
         c, seg = self.cfg, self.segmented
         scored = lambda: self._get("uplift_scores", lambda: materialize(
-            uplift_scores(seg(), self.feature_cols(), c)))
+            uplift_scores(seg, self.feature_cols(), c, fit_source=self.features())))
         targeted = lambda: self._get("targeted", lambda: policy.targeting_policy(
             scored(), self.score_col, c.k_percent, c.rank_kw))
         assigned = lambda: monitoring.epsilon_assignment(
