@@ -24,7 +24,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     parallel = int(os.environ.get("BENCH_PARALLEL", "6"))
-    land = os.environ.get("BENCH_LAND", "0") == "1"
+    land = {"0": False, "1": "parquet", "parquet": "parquet", "cache": "cache"}[os.environ.get("BENCH_LAND", "0")]
     spark = build_session(f"local[{cpus}]", shuffle_partitions=max(cpus, 8), driver_memory="16g")
     from cartlift.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)

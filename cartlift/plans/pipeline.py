@@ -27,13 +27,20 @@ class Run:
     """Lazily built, memoised pipeline outputs."""
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], config: AnalysisConfig,
-                 as_of=None, gender_cats=None, score_col: str = "t_score", land_sources: bool = False):
-        """``land_sources=True`` writes the three inputs once as Parquet in the
-        shared checkpoint folder; use it when they are derived views (joins)
-        rather than plain table scans, since the purchases are read by four
-        branches (transaction rollup, breadth, reference time, cohorts)."""
-        if land_sources:
+                 as_of=None, gender_cats=None, score_col: str = "t_score",
+                 land_sources: bool | str = False):
+        """``land_sources`` is for inputs that are derived views (joins) rather
+        than plain table scans - the purchases are read by four branches
+        (transaction rollup, breadth, reference time, cohorts):
+        ``True``/``"parquet"`` writes them once as Parquet in the shared
+        checkpoint folder (a lineage cut); ``"cache"`` keeps them in Spark's
+        columnar cache (memory, spilling to disk; a lost block is recomputed
+        from the view)."""
+        if land_sources in (True, "parquet"):
             tables = {k: materialize(v, name=k) for k, v in tables.items()}
+        elif land_sources == "cache":
+            from pyspark import StorageLevel
+            tables = {k: v.persist(StorageLevel.MEMORY_AND_DISK) for k, v in tables.items()}
         self.spark, self.t, self.cfg = spark, tables, config
         self.as_of, self.gender_cats, self.score_col = as_of, gender_cats, score_col
         self._memo: dict[str, DataFrame] = {}

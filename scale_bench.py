@@ -48,7 +48,7 @@ def main() -> None:
     r = int(sys.argv[2]) if len(sys.argv) > 2 else 12
     src = sys.argv[3] if len(sys.argv) > 3 else "/root/testdata/sf0.1"
     parallel = int(os.environ.get("BENCH_PARALLEL", "6"))
-    land = os.environ.get("BENCH_LAND", "1") == "1"
+    land = {"0": False, "1": "parquet", "parquet": "parquet", "cache": "cache"}[os.environ.get("BENCH_LAND", "0")]
     spark = build_session("local[8]", shuffle_partitions=32, driver_memory="20g")
     ensure_checkpoint_dir(spark)
     data = f"{scratch}/data"
