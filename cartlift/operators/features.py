@@ -66,34 +66,29 @@ def customer_rollup(tx: DataFrame) -> DataFrame:
     )
 
 
-def customer_breadth(purchases: DataFrame) -> DataFrame:
+def customer_breadth(purchases: DataFrame, approximate: bool = False, rsd: float = 0.01) -> DataFrame:
     """Distinct products and stores per customer (O-10).
 
     Two exact distinct counts in one aggregate: Catalyst expands each row
     once per distinct column and de-duplicates (client, value) map-side.
-    ``approximate=True`` uses HyperLogLog++ sketches instead (bounded state).
+    ``approximate=True`` uses HyperLogLog++ sketches instead (bounded state,
+    relative SD ``rsd``).
     """
-    if approximate_breadth.enabled:
+    if approximate:
         return purchases.groupBy(ID).agg(
-            F.approx_count_distinct("product_id", approximate_breadth.rsd).alias("n_products"),
-            F.approx_count_distinct("store_id", approximate_breadth.rsd).alias("n_stores"))
+            F.approx_count_distinct("product_id", rsd).alias("n_products"),
+            F.approx_count_distinct("store_id", rsd).alias("n_stores"))
     return purchases.groupBy(ID).agg(F.countDistinct("product_id").alias("n_products"),
                                      F.countDistinct("store_id").alias("n_stores"))
 
 
-class approximate_breadth:  # noqa: N801 - module-level switch
-    """Opt-in HyperLogLog breadth counts for very large purchase tables."""
-    enabled = False
-    rsd = 0.01
-
-
-def purchase_features(purchases: DataFrame, ref_time) -> DataFrame:
+def purchase_features(purchases: DataFrame, ref_time, approximate_breadth: bool = False) -> DataFrame:
     """Rollups joined, plus floored ``recency_days``/``tenure_days`` (O-11, O-12).
 
     ``ref_time`` is a TIMESTAMP_NTZ literal column (see :func:`reference_time_value`).
     """
     cust = customer_rollup(transaction_rollup(purchases))
-    feats = cust.join(customer_breadth(purchases), ID, "left")
+    feats = cust.join(customer_breadth(purchases, approximate_breadth), ID, "left")
     return feats.select(
         ID, *PURCHASE_FEATURES[:13],
         floor_days(ref_time, "last_tx").alias("recency_days"),
@@ -152,7 +147,7 @@ def one_hot(df: DataFrame, col: str, categories: Sequence[str]) -> DataFrame:
 
 def customer_features(train: DataFrame, clients: DataFrame, purchases: DataFrame,
                       as_of=None, gender_cats: Sequence[str] | None = None,
-                      null_future_dates: bool = False) -> DataFrame:
+                      null_future_dates: bool = False, approximate_breadth: bool = False) -> DataFrame:
     """One feature row per experiment customer (O-05..O-16).
 
     Every ``train`` customer is kept; customers without purchases have NULL
@@ -160,7 +155,7 @@ def customer_features(train: DataFrame, clients: DataFrame, purchases: DataFrame
     features.  Row order is not defined (ties are broken by id downstream).
     """
     ref = ntz_lit(reference_time_value(purchases, as_of))
-    feats = purchase_features(purchases, ref)
+    feats = purchase_features(purchases, ref, approximate_breadth)
     cl = client_features(clients, ref, null_future_dates)
     df = (train.select(ID, OUTCOME, ARM).join(feats, ID, "left").join(cl, ID, "left"))
     if "gender" in df.columns:
