@@ -10,8 +10,9 @@
    binary-search CASE tree (log2 B comparisons per row, JVM codegen);
 4. ``row_number`` over ``partitionBy(group, bucket)``: each task sorts about
    n / B rows;
-5. rank = row_number + rows of the same group in earlier buckets (a
-   bucket-count table of at most B + G rows, broadcast).
+5. rank = row_number + rows of the same group in earlier buckets: the
+   bucket totals (at most B + G rows) are prefix-summed on the driver and
+   joined back as a broadcast table - no single-partition window.
 
 The unique tie key (the entity id) is part of every comparison, so a value
 held by a third of all rows is still split across buckets.  Boundaries are
@@ -26,6 +27,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 512
@@ -90,7 +92,7 @@ def global_cumsum(df: DataFrame, order: OrderSpec, measures: dict[str, Column],
                   tie_col: str | Column | None = None, group_cols: Sequence[str] = (),
                   n: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
                   max_buckets: int = MAX_BUCKETS, salt: str = "rank",
-                  bounds_from: DataFrame | None = None) -> DataFrame:
+                  bounds_from: DataFrame | None = None, counts_only: bool = False) -> DataFrame:
     """Inclusive running sums of ``measures`` in ``order`` (ties by ``tie_col``)
     within groups, computed bucket-wise (see module docstring).
 
@@ -123,14 +125,34 @@ def global_cumsum(df: DataFrame, order: OrderSpec, measures: dict[str, Column],
     for name in measures:
         out = out.withColumn(f"_c_{name}", F.sum(f"_m_{name}").over(w))
     if bounds:
-        totals = bdf.groupBy(*group_cols, "_bucket").agg(
-            *[F.sum(f"_m_{name}").alias(f"_t_{name}") for name in measures])
-        wo = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select(*group_cols, "_bucket", *[
-            F.coalesce(F.sum(f"_t_{name}").over(wo), F.lit(0)).alias(f"_o_{name}") for name in measures])
-        if not group_cols:
-            offsets = F.broadcast(offsets)  # at most MAX_BUCKETS rows
-        out = out.join(offsets, [*group_cols, "_bucket"])
+        # bucket totals: from the (materialised) boundary source when the
+        # measures are row counts, so chained rankings do not recompute
+        # earlier windows; at most B + G rows reach the driver
+        tot_src = bdf
+        if counts_only and bounds_from is not None:
+            tot_src = src.withColumn("_bucket", _bucket_expr(keys, bounds))
+            for name, m in measures.items():
+                tot_src = tot_src.withColumn(f"_m_{name}", m)
+        rows = (tot_src.groupBy(*group_cols, "_bucket")
+                .agg(*[F.sum(f"_m_{name}").alias(f"_t_{name}") for name in measures]).collect())
+        rows.sort(key=lambda r: (tuple(r[g] for g in group_cols), r["_bucket"]))
+        mtypes = {name: bdf.schema[f"_m_{name}"].dataType for name in measures}
+        as_py = {name: (float if isinstance(t, (T.DoubleType, T.FloatType)) else int) for name, t in mtypes.items()}
+        offs, run, last = [], {}, None
+        for r in rows:
+            g = tuple(r[g] for g in group_cols)
+            if g != last:
+                run, last = {name: 0 for name in measures}, g
+            offs.append((*g, r["_bucket"], *[as_py[name](run[name]) for name in measures]))
+            for name in measures:
+                run[name] += r[f"_t_{name}"] or 0
+        gtypes = [f for f in df.schema.fields if f.name in group_cols]
+        otype = {name: (T.DoubleType() if as_py[name] is float else T.LongType()) for name in measures}
+        schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in gtypes],
+                               T.StructField("_bucket", T.IntegerType()),
+                               *[T.StructField(f"_o_{name}", otype[name]) for name in measures]])
+        offsets = df.sparkSession.createDataFrame(offs, schema)
+        out = out.join(F.broadcast(offsets), [*group_cols, "_bucket"])  # <= B + G rows
         for name in measures:
             out = out.withColumn(f"_c_{name}", F.col(f"_c_{name}") + F.col(f"_o_{name}"))
     for name in measures:
@@ -143,7 +165,7 @@ def global_rank(df: DataFrame, order: OrderSpec, tie_col: str | Column | None =
                 group_cols: Sequence[str] = (), rank_col: str = "rank", **kw) -> DataFrame:
     """Add a 1-based ``rank_col`` in ``order`` (ties by ``tie_col``) within groups."""
     out = global_cumsum(df, order, {rank_col: F.lit(1).cast("bigint")}, tie_col=tie_col,
-                        group_cols=group_cols, **kw)
+                        group_cols=group_cols, counts_only=True, **kw)
     return out.withColumn(rank_col, F.col(rank_col).cast("bigint"))
 
 
