@@ -243,3 +243,27 @@ def test_decile_table_matches_qcut(spark):
     assert got.n.tolist() == sizes.tolist()
     tr = r[r.treatment_flg == 1].groupby("decile").target.mean()
     assert np.allclose(got.treat.to_numpy(), tr.to_numpy())
+
+
+@pytest.mark.parametrize("parts", [1, 7, 64])
+def test_results_unchanged_by_repartitioning(spark, parts):
+    """Ranks, segments, deciles and cutoffs depend on keys, not on partitioning."""
+    from cartlift.plans.context import Context
+    from cartlift.sources.fixtures import fixture_tables
+    from cartlift.operators.uplift import train_test_split
+    c = Context(spark, "/root/testdata/sf0.001")
+    base = c.features
+    kw = {"rows_per_bucket": 20}
+    ref_seg = {tuple(r) for r in product.rfm_segments(base, kw).collect()}
+    moved = base.repartition(parts)
+    assert {tuple(r) for r in product.rfm_segments(moved, kw).collect()} == ref_seg
+    scored = train_test_split(base, 0.5).withColumn("score", F.coalesce(F.col("n_tx"), F.lit(0)).cast("double"))
+    d0 = {tuple(r) for r in curves.decile_table(scored, "score", kw).collect()}
+    d1 = {tuple(r) for r in curves.decile_table(scored.repartition(parts), "score", kw).collect()}
+    assert d0 == d1
+    p0 = policy.targeting_policy(scored, "score", 0.3, kw).select("client_id", "targeted").collect()
+    p1 = policy.targeting_policy(scored.repartition(parts), "score", 0.3, kw).select("client_id", "targeted").collect()
+    assert set(map(tuple, p0)) == set(map(tuple, p1))
+    t = fixture_tables(spark, "/root/testdata/sf0.001")["purchases"]
+    r0 = {tuple(r) for r in product.cohort_retention(t).collect()}
+    assert {tuple(r) for r in product.cohort_retention(t.repartition(parts)).collect()} == r0
