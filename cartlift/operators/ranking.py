@@ -96,9 +96,9 @@ def global_cumsum(df: DataFrame, order: OrderSpec, measures: dict[str, Column],
     """Inclusive running sums of ``measures`` in ``order`` (ties by ``tie_col``)
     within groups, computed bucket-wise (see module docstring).
 
-    ``group_cols`` must have few distinct values (features, arms); for many
-    small groups a plain ``Window.partitionBy`` is already distributed.
-    Order columns must be non-NULL.  ``bounds_from`` is a cheaper frame
+    ``group_cols`` must have few distinct, non-NULL values (features, arms);
+    for many small groups a plain ``Window.partitionBy`` is already
+    distributed.  Order columns must be non-NULL.  ``bounds_from`` is a cheaper frame
     holding the same key rows (e.g. the materialised input of a chain of
     rankings) to sample boundaries from.
     """
@@ -126,10 +126,11 @@ def global_cumsum(df: DataFrame, order: OrderSpec, measures: dict[str, Column],
         out = out.withColumn(f"_c_{name}", F.sum(f"_m_{name}").over(w))
     if bounds:
         # bucket totals: from the (materialised) boundary source when the
-        # measures are row counts, so chained rankings do not recompute
-        # earlier windows; at most B + G rows reach the driver
+        # measures are row counts and the tie key is an explicit column (so a
+        # row lands in the same bucket in both frames), so chained rankings do
+        # not recompute earlier windows; at most B + G rows reach the driver
         tot_src = bdf
-        if counts_only and bounds_from is not None:
+        if counts_only and bounds_from is not None and tie_col is not None:
             tot_src = src.withColumn("_bucket", _bucket_expr(keys, bounds))
             for name, m in measures.items():
                 tot_src = tot_src.withColumn(f"_m_{name}", m)
