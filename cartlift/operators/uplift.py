@@ -152,9 +152,18 @@ def uplift_scores(segmented: DataFrame, feature_cols: Sequence[str], cfg: Analys
         seg_df = segmented() if callable(segmented) else segmented
         fit_df = split_of(seg_df, ["rfm_segment"])
     train = fit_df.where(F.col("split") == "train")
-    fits = [lambda: fit_s_model(train, feature_cols, cfg),
-            lambda: fit_arm_model(train, feature_cols, cfg, 1),
-            lambda: fit_arm_model(train, feature_cols, cfg, 0)]
+    sc = train.sparkSession.sparkContext
+
+    def in_pool(fit):
+        def run():
+            from cartlift.session import LEARNER_POOL
+            sc.setLocalProperty("spark.scheduler.pool", LEARNER_POOL)
+            return fit()
+        return run
+
+    fits = [in_pool(lambda: fit_s_model(train, feature_cols, cfg)),
+            in_pool(lambda: fit_arm_model(train, feature_cols, cfg, 1)),
+            in_pool(lambda: fit_arm_model(train, feature_cols, cfg, 0))]
     with ThreadPoolExecutor(max_workers=3) as pool:
         s_model, t_model, c_model = [f.result() for f in [pool.submit(fn) for fn in fits]]
     seg_df = segmented() if callable(segmented) else segmented

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -38,6 +39,7 @@ def build_session(master: str | None = "local[8]", app: str = "cartlift",
             conf["spark.driver.host"] = "127.0.0.1"
             conf["spark.driver.bindAddress"] = "127.0.0.1"
             conf["spark.driver.memory"] = driver_memory
+            conf["spark.scheduler.allocation.file"] = _pool_file()
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -46,6 +48,23 @@ def build_session(master: str | None = "local[8]", app: str = "cartlift",
     return spark
 
 
+LEARNER_POOL = "learners"
+
+
+def _pool_file() -> str:
+    """FAIR pool definitions read by the (local) driver: the learner fits are the
+    longest chain of a run, so their pool gets a larger weight and a minimum
+    share.  On a cluster pass ``spark.scheduler.allocation.file`` explicitly."""
+    path = os.path.join(tempfile.gettempdir(), "cartlift-pools.xml")
+    with open(path, "w") as fh:
+        fh.write(f"""<?xml version="1.0"?>
+<allocations>
+  <pool name="{LEARNER_POOL}"><schedulingMode>FAIR</schedulingMode><weight>3</weight><minShare>4</minShare></pool>
+</allocations>
+""")
+    return path
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting it from the session.
 
