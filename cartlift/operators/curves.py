@@ -82,8 +82,12 @@ def normalized_auc(scored: DataFrame, score_col: str, kind: str = "qini",
     else:
         use_y = t_row["cr"] is not None and t_row["tn"] is not None and t_row["cr"] > t_row["tn"]
         perfect = 2 * (y == t).cast("double") + (y if use_y else t)
-    actual = first_value(_auc(scored, F.col(score_col).cast("double"), kind, rank_kw))
-    best = first_value(_auc(scored, perfect, kind, rank_kw))
+    # the row count bounds the number of distinct scores: it sizes the
+    # ranking buckets without another counting job
+    kw = dict(rank_kw or {})
+    kw.setdefault("n", int(t_row["n"] or 0))
+    actual = first_value(_auc(scored, F.col(score_col).cast("double"), kind, kw))
+    best = first_value(_auc(scored, perfect, kind, kw))
     rnd = t_row["auc_random"]
     norm = None
     if None not in (actual, best, rnd) and best != rnd:
