@@ -1,7 +1,8 @@
 """Presentation of result tables for cross-engine comparison.
 
 Floats are rounded to 6 decimals (distributed float sums differ from serial
-ones in the last bits) and dates/timestamps are rendered as text.
+ones in the last bits) and dates/timestamps are rendered as text without a
+session-zone conversion (NTZ values are wall-clock times).
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ def present(df: DataFrame, digits: int = 6) -> DataFrame:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.round(c, digits)
         elif isinstance(f.dataType, T.DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
-        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            c = c.cast("string")  # zone-free
+        elif isinstance(f.dataType, T.TimestampNTZType):
+            c = F.substring(c.cast("string"), 1, 19)  # zone-free, whole seconds
+        elif isinstance(f.dataType, T.TimestampType):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         cols.append(c.alias(f.name))
     return df.select(*cols)
