@@ -267,3 +267,21 @@ def test_results_unchanged_by_repartitioning(spark, parts):
     t = fixture_tables(spark, "/root/testdata/sf0.001")["purchases"]
     r0 = {tuple(r) for r in product.cohort_retention(t).collect()}
     assert {tuple(r) for r in product.cohort_retention(t.repartition(parts)).collect()} == r0
+
+
+def test_day_arithmetic_is_zone_free(spark):
+    """A wall-clock time inside a daylight-saving gap must not move."""
+    from cartlift.functions.dates import floor_days
+    from cartlift.plans.present import present
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("1995-04-02 02:19:24", "2000-09-01 02:30:04"),
+                                    ("2000-06-01 00:30:00", "2000-06-01 01:00:00"),
+                                    ("2000-06-01 01:00:00", "2000-06-01 00:00:01")], "a string, b string") \
+            .select(F.col("a").cast("timestamp_ntz").alias("a"), F.col("b").cast("timestamp_ntz").alias("b"))
+        out = present(df.select("a", floor_days("b", "a").alias("d"))).collect()
+        assert [r.d for r in out] == [1979, 0, -1]
+        assert out[0].a == "1995-04-02 02:19:24"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
