@@ -29,3 +29,13 @@ def test_rfm_in_scale_mode_has_no_single_partition(spark):
     assert "SinglePartition" not in plan
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert len(windows) == 3 and all("windowspecdefinition(_bucket" in w for w in windows)
+
+
+def test_no_registered_query_plans_a_cross_join(spark):
+    import __spark_entry__ as E
+    slow = {"uplift_scores", "model_policy_readout", "launch_readout", "ate_adjusted"}
+    for name, fn in E.queries().items():
+        if name in slow:
+            continue
+        plan = _plan(fn(spark, "/root/testdata/sf0.001"))
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
