@@ -79,3 +79,14 @@ def test_pluggable_learners(spark, learner):
     half = s.where(keyed_uniform("client_id", "fit") < 0.5)
     out = t_learner(half, s, fc, c.config).select("t_score").collect()
     assert len(out) == s.count() and all(-1.0 <= r.t_score <= 1.0 and not math.isnan(r.t_score) for r in out)
+
+
+def test_pipeline_run_builds_every_output(spark):
+    from cartlift.plans.pipeline import run
+    from cartlift.sources.fixtures import fixture_tables
+    out = run(spark, fixture_tables(spark, "/root/testdata/sf0.001"),
+              AnalysisConfig.fixture().with_(learner_iters=5), gender_cats=("F", "M", "U"))
+    assert {"customer_features", "launch_readout", "uplift_scores", "policy_value", "psi_drift"} <= set(out)
+    assert out["launch_readout"].first().decision in ("LAUNCH", "HOLD")
+    assert out["uplift_deciles"].count() == 10
+    assert out["customer_features"].count() == 112
