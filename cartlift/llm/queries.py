@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlift.llm.common import LOWER, UPPER, read_table
+from cartlift.llm import langid, quality, toxicity
+from cartlift.llm.common import LOWER, UPPER, crc_mod, read_table
 from cartlift.llm.exact_dedup import exact_dedup
+from cartlift.llm.secrets import digest_spans, scan_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +41,38 @@ with d as (
 select d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id as kept, d.text_sha256
 from d join g using (text_sha256)
 """
+
+
+@query
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document; ``owned`` spans by corpus-wide ownership."""
+    return digest_spans(scan_secrets(read_table(spark, sf_dir, "documents")))
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learnt from the documents outside fold 2 of 4."""
+    docs = read_table(spark, sf_dir, "documents")
+    fold = crc_mod("doc_id", 4)
+    model = langid.fit(docs.where(fold != 2))
+    return langid.identify(docs.select("doc_id", (fold == 2).alias("held_out"), "text"), model).drop("text")
+
+
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; labels learnt outside fold 1 of 3."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    fold = crc_mod("doc_id", 3)
+    model = quality.fit(docs.where(fold != 1), labels.where(fold != 1))
+    scored = quality.score(docs.select("doc_id", (fold == 1).alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels learnt outside fold 2 of 4."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    fold = crc_mod("doc_id", 4)
+    model = toxicity.fit(docs.where(fold != 2), labels.where(fold != 2))
+    scored = toxicity.score(docs.select("doc_id", (fold == 2).alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
