@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlift.llm import langid, quality, toxicity
+from cartlift.llm import bpe, langid, quality, toxicity
 from cartlift.llm.common import LOWER, UPPER, crc_mod, read_table
 from cartlift.llm.exact_dedup import exact_dedup
 from cartlift.llm.secrets import digest_spans, scan_secrets
@@ -76,3 +77,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs.where(fold != 2), labels.where(fold != 2))
     scored = toxicity.score(docs.select("doc_id", (fold == 2).alias("held_out"), "text"), model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and their decoding, as digests."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digest_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")

@@ -1,7 +1,7 @@
 """Toxicity classifier with counterfactual regularisation.
 
-A logistic scorer over the words of a text and their prefixes (present or not,
-hashed) is fitted with the penalty
+A logistic scorer over the words of a text and their prefixes (hashed; present,
+or shared by several distinct words) is fitted with the penalty
 
     strength * mean over swaps (f(x) - f(x'))^2
 
@@ -35,8 +35,10 @@ from pyspark.sql import types as T
 from cartlift.llm.common import row_chunks
 from cartlift.llm.linear import adam, hash_sample, sigmoid
 
-SPACE = 1 << 22
-PREFIXES = (4, 5)
+SPACE = 1 << 30
+PREFIXES = (4, 5, 6, 7)
+#: A feature that this many distinct words of a text share is a further feature, under the masked hash.
+LEVELS = ((2, 0x15555555), (4, 0x2AAAAAAA))
 #: Neutral group mentions that are swapped for one another (a parameter of ``fit``).
 IDENTITY_TERMS = ("women", "men", "girls", "boys", "muslims", "christians", "jews", "hindus", "gay", "lesbian",
                   "transgender", "straight", "black", "white", "asian", "african", "latino", "immigrants",
@@ -57,10 +59,10 @@ class Hashes(dict):
 
 
 def text_features(text: str | None, hashes: Hashes) -> set[int]:
-    out: set[int] = set()
+    seen: Counter = Counter()
     for w in set(_WORD.findall(text.lower())) if text else ():
-        out.update(hashes[w])
-    return out
+        seen.update(hashes[w])
+    return set(seen).union(*({h ^ mask for h, n in seen.items() if n >= least} for least, mask in LEVELS))
 
 
 def counterfactual(text: str, terms: tuple[str, ...], hashes: Hashes) -> tuple[list[int], list[int]]:
@@ -106,8 +108,8 @@ def sample_rows(rows: DataFrame, terms: tuple[str, ...]) -> DataFrame:
 
 
 def regularised_fit(y: np.ndarray, feats: list[np.ndarray], swaps: list[tuple[list[int], list[int]]], share: float,
-                    strength: float = 10.0, ridge: float = 2e-4, max_features: int = 20_000, min_docs: int = 3,
-                    steps: int = 400, rate: float = 0.05) -> ToxicityModel:
+                    strength: float = 10.0, ridge: float = 2e-4, max_features: int = 8_000, min_docs: int = 3,
+                    steps: int = 500, rate: float = 0.05) -> ToxicityModel:
     """Logistic fit with the squared score change over the swaps as penalty.
 
     ``share`` is the toxic share of all labelled rows; the sample's classes are
@@ -181,7 +183,8 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_c
         def __missing__(self, word):
             if len(self) >= 300_000:
                 self.clear()
-            v = self[word] = tuple(h for h in self.hashes[word] if h in self.table)
+            v = self[word] = tuple(h for h in self.hashes[word]
+                                   if h in self.table or any(h ^ mask in self.table for _, mask in LEVELS))
             return v
 
     def run(batches):
@@ -190,10 +193,11 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_c
         for b in batches:
             z = []
             for (text,) in (r for rows in row_chunks([b], [text_col]) for r in rows):
-                hit: set[int] = set()
+                seen: Counter = Counter()
                 for w in set(_WORD.findall(text.lower())) if text else ():
-                    hit.update(known[w])
-                z.append(model.bias + sum(table[h] for h in hit))
+                    seen.update(known[w])
+                z.append(model.bias + sum(table.get(h, 0.0) + sum(table.get(h ^ mask, 0.0) for least, mask in LEVELS
+                                                                  if n >= least) for h, n in seen.items()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sigmoid(np.array(z, dtype=float)), pa.float64())],
                                              names=[*b.schema.names, score_col])
 
