@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from cartlift.llm import bpe, langid, quality, toxicity
 from cartlift.llm.common import LOWER, UPPER, crc_mod, read_table
 from cartlift.llm.exact_dedup import exact_dedup
+from cartlift.llm.packing import pack
 from cartlift.llm.secrets import digest_spans, scan_secrets
+from cartlift.llm.topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +86,31 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and their decoding, as digests."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digest_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of every vector whose id is divisible by 50."""
+    return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op10_top_k"] = """
+with v as (
+  select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings
+  where embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score,
+         row_number() over (partition by q.row order by list_dot_product(q.e, c.e) desc, c.vec_id) as rank
+  from v q join v c on q.row <> c.row
+  where q.vec_id % 50 = 0
+)
+select query_id, rank::int as rank, vec_id, score from s where rank <= 5
+"""
