@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cartlift.llm import bpe, langid, quality, toxicity
 from cartlift.llm.common import LOWER, UPPER, crc_mod, read_table
 from cartlift.llm.exact_dedup import exact_dedup
+from cartlift.llm.near_dup import near_duplicates
 from cartlift.llm.packing import pack
 from cartlift.llm.secrets import digest_spans, scan_secrets
 from cartlift.llm.topk import top_k
@@ -114,3 +115,9 @@ with v as (
 )
 select query_id, rank::int as rank, vec_id, score from s where rank <= 5
 """
+
+
+@query
+def op2_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 2-word shingle sets are 0.8 similar."""
+    return near_duplicates(read_table(spark, sf_dir, "documents"), width=2, percent=80)
