@@ -18,6 +18,7 @@ from cartlift.llm.exact_dedup import exact_dedup
 from cartlift.llm.near_dup import near_duplicates
 from cartlift.llm.packing import pack
 from cartlift.llm.secrets import digest_spans, scan_secrets
+from cartlift.llm.substring import substring_dedup
 from cartlift.llm.topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +122,34 @@ select query_id, rank::int as rank, vec_id, score from s where rank <= 5
 def op2_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 2-word shingle sets are 0.8 similar."""
     return near_duplicates(read_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left after removing all 35-word stretches that also stand elsewhere."""
+    return substring_dedup(read_table(spark, sf_dir, "documents"), window=35).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op3_substring_dedup"] = r"""
+with d as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents
+), w as (
+  select doc_id, unnest(ws) as word, unnest(range(len(ws))) as at from d
+), k as (
+  select doc_id, at, md5(string_agg(word, ' ') over follow) as seq, count(*) over follow as n
+  from w window follow as (partition by doc_id order by at rows between current row and 34 following)
+), twice as (
+  select seq from k where n = 35 group by seq having count(*) > 1
+), hit as (
+  select doc_id, at from k where n = 35 and seq in (select seq from twice)
+), gone as (
+  select distinct doc_id, at + o.i as at from hit, (select unnest(range(35)) as i) o
+), kept as (
+  select w.doc_id, count(gone.at) as n_removed,
+         coalesce(string_agg(w.word, ' ' order by w.at) filter (where gone.at is null), '') as t
+  from w left join gone on gone.doc_id = w.doc_id and gone.at = w.at group by w.doc_id
+)
+select d.doc_id, len(ws) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (doc_id)
+"""
