@@ -135,20 +135,20 @@ ORACLES["op3_substring_dedup"] = r"""
 with d as (
   select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents
 ), w as (
-  select doc_id, unnest(ws) as word, unnest(range(len(ws))) as at from d
+  select doc_id, unnest(ws) as word, unnest(range(len(ws))) as pos from d
 ), k as (
-  select doc_id, at, md5(string_agg(word, ' ') over follow) as seq, count(*) over follow as n
-  from w window follow as (partition by doc_id order by at rows between current row and 34 following)
+  select doc_id, pos, md5(string_agg(word, ' ') over follow) as seq, count(*) over follow as n
+  from w window follow as (partition by doc_id order by pos rows between current row and 34 following)
 ), twice as (
   select seq from k where n = 35 group by seq having count(*) > 1
 ), hit as (
-  select doc_id, at from k where n = 35 and seq in (select seq from twice)
+  select doc_id, pos from k where n = 35 and seq in (select seq from twice)
 ), gone as (
-  select distinct doc_id, at + o.i as at from hit, (select unnest(range(35)) as i) o
+  select distinct doc_id, pos + o.i as pos from hit, (select unnest(range(35)) as i) o
 ), kept as (
-  select w.doc_id, count(gone.at) as n_removed,
-         coalesce(string_agg(w.word, ' ' order by w.at) filter (where gone.at is null), '') as t
-  from w left join gone on gone.doc_id = w.doc_id and gone.at = w.at group by w.doc_id
+  select w.doc_id, count(gone.pos) as n_removed,
+         coalesce(string_agg(w.word, ' ' order by w.pos) filter (where gone.pos is null), '') as t
+  from w left join gone on gone.doc_id = w.doc_id and gone.pos = w.pos group by w.doc_id
 )
 select d.doc_id, len(ws) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
 from d left join kept using (doc_id)

@@ -120,7 +120,7 @@ def classified(found: DataFrame, repo_col: str, max_owners: int) -> DataFrame:
             .select("rid", "repo", owner_of(F.col("repo")).alias("owner"), "s.*",
                     F.sha2(F.col("s.value").cast("binary"), 256).alias("value_hash")))
     counts = ownership(flat.select("rid", "repo", "owner", "value_hash").distinct())
-    random_like = F.udf(looks_random, "boolean")  # on candidates only, a few rows per thousand documents
+    random_like = F.udf(lambda v: looks_random(v), "boolean")  # on candidates only, a few rows per thousand documents
     return (flat.join(counts, "value_hash")
             .withColumn("status", F.when(F.col("n_owners") > max_owners, F.lit("copied"))
                         .when(random_like("value"), F.lit("owned")).otherwise(F.lit("other"))))
