@@ -32,6 +32,7 @@ from functools import cache
 
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -291,6 +292,7 @@ class Tokenizer:
 
     def __init__(self, content: str, remembered: int = 400_000):
         spec = json.loads(content)
+        self.content, self.library = content, None
         model = spec["model"]
         if model.get("type", "BPE") != "BPE" or model.get("continuing_subword_prefix") or model.get("dropout"):
             raise ValueError("only plain BPE models are supported")
@@ -342,8 +344,12 @@ class Tokenizer:
         return tuple(self.encoder.word("".join(map(self.alphabet.__getitem__, data))))
 
     def _word(self, word: str) -> tuple[int, ...]:
+        """Ids of a white-space separated piece of raw text.  White space
+        separates normalisation too, so words can be remembered as they stand."""
+        if not word.isascii() and any(unicodedata.category(c) == "Cn" for c in word):
+            return self._newer_word(word)
         out: list[int] = []
-        for part in self.split.findall(word):
+        for part in self.split.findall(self._normal(word)):
             known = self.parts.get(part)
             if known is None:
                 known = self._part(part)
@@ -354,11 +360,24 @@ class Tokenizer:
             out += known
         return tuple(out)
 
+    def _newer_word(self, word: str) -> tuple[int, ...]:
+        """A word with characters newer than Python's Unicode tables: the
+        library's own tables fold and split it, the merges are as above."""
+        if self.library is None:
+            self.library = tokenizers.Tokenizer.from_str(self.content)
+        folded = self.library.normalizer.normalize_str(word) if self.library.normalizer else word
+        out: list[int] = []
+        for symbols, _ in self.library.pre_tokenizer.pre_tokenize_str(folded):
+            for s in symbols[:-1]:
+                out += self.encoder.push(s)
+            out += self.encoder.finish(symbols[-1])
+        return tuple(out)
+
     def _normal(self, text: str) -> str:
         if self.nfc and not text.isascii():
             text = unicodedata.normalize("NFC", text)
         if self.lower:  # letter by letter: no final-sigma rule
-            text = (text.replace("Σ", "σ") if not text.isascii() else text).lower()
+            text = (text.replace("\u03a3", "\u03c3") if not text.isascii() else text).lower()
         return text
 
     def pieces(self, text: str | None) -> Iterator[tuple[int, ...]]:
@@ -372,7 +391,6 @@ class Tokenizer:
             yield from self._segment(text[at:] if at else text)
 
     def _segment(self, text: str) -> Iterator[tuple[int, ...]]:
-        text = self._normal(text)
         words = _SPACES.split(text) if _ODD_SPACES.search(text) else text.split()
         known = self.words
         for w in words:
