@@ -126,12 +126,16 @@ def client_features(clients: DataFrame, ref_time, null_future_dates: bool = Fals
     return cl.select(*out)
 
 
-def gender_categories(clients: DataFrame, limit: int = 1000) -> list[str]:
-    """Sorted distinct non-NULL genders (a tiny, capped collect)."""
-    rows = (clients.where(F.col("gender").isNotNull()).select("gender").distinct()
-            .limit(limit + 1).collect())
-    if len(rows) > limit:
-        raise ValueError("gender has too many categories for one-hot encoding")
+def gender_categories(train: DataFrame, clients: DataFrame) -> list[str]:
+    """Sorted distinct non-NULL genders of the experiment customers.
+
+    Only categories that occur in the joined table get a column: one found
+    outside ``train`` alone would add a constant column or become the dropped
+    base.  Each category becomes a feature column, so the list is as short as
+    the feature table is narrow; pass ``gender_cats`` to skip this scan.
+    """
+    known = clients.where(F.col("gender").isNotNull()).select(ID, "gender")
+    rows = known.join(train.select(ID), ID, "left_semi").select("gender").distinct().collect()
     return sorted(r[0] for r in rows)
 
 
@@ -159,7 +163,7 @@ def customer_features(train: DataFrame, clients: DataFrame, purchases: DataFrame
     cl = client_features(clients, ref, null_future_dates)
     df = (train.select(ID, OUTCOME, ARM).join(feats, ID, "left").join(cl, ID, "left"))
     if "gender" in df.columns:
-        cats = gender_cats if gender_cats is not None else gender_categories(clients)
+        cats = gender_cats if gender_cats is not None else gender_categories(train, clients)
         df = one_hot(df, "gender", cats)
     return df
 

@@ -74,7 +74,7 @@ def epsilon_assignment(scored: DataFrame, score_col: str, epsilon: float = 0.05,
     explore = keyed_uniform(ID, f"explore:{cycle}") < F.lit(epsilon)
     coin = keyed_uniform(ID, f"coin:{cycle}") < F.lit(0.5)
     marked = scored.withColumn("_explore", explore).withColumn("_coin", coin)
-    q = exact_quantiles(marked.where(~F.col("_explore")), score_col, [1.0 - k], tie_col=ID, **(rank_kw or {}))
+    q = exact_quantiles(marked.where(~F.col("_explore")), score_col, [1.0 - k], **(rank_kw or {}))
     marked = marked.withColumn("cutoff", double_lit(first_value(q, "value")))
     action = (F.when(F.col("_explore") & F.col("_coin"), "explore_treat")
               .when(F.col("_explore"), "explore_control")

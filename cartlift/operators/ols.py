@@ -73,13 +73,12 @@ def column_moments(df: DataFrame, cols: Sequence[str]) -> dict[str, dict]:
     return {r["feature"]: r.asDict() for r in rows}
 
 
-def impute_medians(df: DataFrame, cols: Sequence[str], tie_col: str | None = None,
+def impute_medians(df: DataFrame, cols: Sequence[str],
                    approximate: bool = False, moments: dict[str, dict] | None = None,
                    **rank_kw) -> dict[str, float | None]:
     """Median of every column that has NULLs (others need no fill value).
 
-    Exact by default (see :func:`exact_quantiles`: one ``percentile``
-    aggregate when the values fit one task, a distributed ranking above).
+    Exact by default (see :func:`exact_quantiles`).
     ``approximate=True`` uses ``percentile_approx`` sketches instead.
     """
     from cartlift.operators.validity import long_features
@@ -91,12 +90,8 @@ def impute_medians(df: DataFrame, cols: Sequence[str], tie_col: str | None = Non
         row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 100000).alias(c)
                        for c in need]).first().asDict()
         return {c: row[c] for c in need}
-    keep = [tie_col] if tie_col else []
-    long = long_features(df, need, keep=keep).drop("feature_pos")
-    n_values = sum(moments[c]["n"] - moments[c]["nulls"] for c in need)
-    largest = max(moments[c]["n"] - moments[c]["nulls"] for c in need)
-    med = exact_quantiles(long, "value", [0.5], group_cols=["feature"], tie_col=tie_col,
-                          n=n_values, max_group_rows=largest, **rank_kw)
+    long = long_features(df, need).drop("feature_pos")
+    med = exact_quantiles(long, "value", [0.5], group_cols=["feature"], **rank_kw)
     got = {r["feature"]: r["value"] for r in med.collect()}  # one row per column
     return {c: got.get(c) for c in need}
 

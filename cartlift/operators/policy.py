@@ -12,7 +12,7 @@ from cartlift.sources.raw import ARM, ID, OUTCOME
 
 def score_cutoff(scored: DataFrame, score_col: str, k: float, rank_kw: dict | None = None) -> DataFrame:
     """One row ``cutoff``: the (1-k) quantile of scores, linear interpolation."""
-    q = exact_quantiles(scored, score_col, [1.0 - k], tie_col=ID, **(rank_kw or {}))
+    q = exact_quantiles(scored, score_col, [1.0 - k], **(rank_kw or {}))
     return q.select(F.col("value").alias("cutoff"))
 
 

@@ -19,7 +19,7 @@ def core_metrics(features: DataFrame, rank_kw: dict | None = None) -> DataFrame:
     agg = features.agg(F.count(F.lit(1)).alias("customers"),
                        F.round(F.avg("n_tx"), 2).alias("avg_purchase_frequency"),
                        F.round(F.avg("spend_total"), 2).alias("avg_monetary_per_customer"))
-    med = first_value(exact_quantiles(features, "recency_days", [0.5], tie_col=ID, **(rank_kw or {})), "value")
+    med = first_value(exact_quantiles(features, "recency_days", [0.5], **(rank_kw or {})), "value")
     return agg.withColumn("median_recency_days", double_lit(med))
 
 
@@ -84,8 +84,7 @@ def rfm_scores(features: DataFrame, rank_kw: dict | None = None) -> DataFrame:
         n = rfm_in.count()
     ranked = rfm_in
     for name, col, desc in (("R", "recency_days", True), ("F", "n_tx", False), ("M", "spend_total", False)):
-        ranked = global_rank(ranked, [(col, desc)], tie_col=ID, rank_col=f"_r{name}", n=n,
-                             bounds_from=rfm_in, salt=f"rfm{name}", **kw)
+        ranked = global_rank(ranked, [(col, desc)], tie_col=ID, rank_col=f"_r{name}", n=n, **kw)
     nn = F.lit(n)
     return ranked.select(ID, *[ntile_from_rank(F.col(f"_r{k}"), nn, 5).alias(k) for k in "RFM"])
 

@@ -1,23 +1,20 @@
-"""Global order without a single partition.
+"""Global order without a single partition, one path for every size.
 
 ``Window.orderBy`` without ``partitionBy`` moves every row into one task.
-:func:`global_rank` gives the same 1-based ranks distributed:
-
-1. count rows (one cheap job on a materialised input);
-2. take a keyed-hash sample of the sort keys (bounded: about 48 keys per
-   bucket), sort it, keep every (m / B)-th key as a literal boundary;
-3. bucket = number of boundaries at or before the row key, evaluated by a
-   binary-search CASE tree (log2 B comparisons per row, JVM codegen);
-4. ``row_number`` over ``partitionBy(group, bucket)``: each task sorts about
-   n / B rows;
-5. rank = row_number + rows of the same group in earlier buckets: the
-   bucket totals (at most B + G rows) are prefix-summed on the driver and
-   joined back as a broadcast table - no single-partition window.
-
-The unique tie key (the entity id) is part of every comparison, so a value
-held by a third of all rows is still split across buckets.  Boundaries are
-literals and the sample is a function of the keys, so recomputation after an
-executor loss yields the same buckets.
+Here rows are dealt by Spark's range partitioner instead:
+
+1. ``repartitionByRange`` on (groups, order, tie key) into B buckets, B from
+   the row count and the session's parallelism; each bucket is sorted;
+2. bucket number and position in the bucket are written with the rows to the
+   shared folder, so a recomputation can't see other bucket borders;
+3. the rows of each (group, bucket) are counted; these counts, at most B + G
+   rows, are summed up in order and joined back;
+4. rank = rows of the group in earlier buckets + position in the bucket.
+   Running sums add one window over (group, bucket), ordered by position.
+
+The tie key (the entity id) is part of the range key, so a value that a third
+of all rows hold is split like any other.  Quantiles first aggregate to
+(group, value, count), combined map-side, and so never hold a repeated value.
 """
 
 from __future__ import annotations
@@ -29,145 +26,94 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartlift.session import materialize
+
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 512
-SAMPLES_PER_BUCKET = 48
+POSITION_BITS = (1 << 33) - 1  # monotonically_increasing_id: position in the partition
 
 OrderSpec = Sequence[tuple[str, bool]]  # (column, descending)
 
 
-def _after_or_equal(cols: OrderSpec, values: Sequence) -> Column:
-    """Row key is at or after the literal key ``values`` in the given order."""
-    expr = None
-    for (name, desc), v in reversed(list(zip(cols, values))):
-        c, lit = F.col(name), F.lit(v)
-        strictly = (c < lit) if desc else (c > lit)
-        if expr is None:
-            expr = strictly | (c == lit)
-        else:
-            expr = strictly | ((c == lit) & expr)
-    return expr
-
-
-def _bucket_expr(cols: OrderSpec, bounds: list[tuple]) -> Column:
-    def rec(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(_after_or_equal(cols, bounds[mid - 1]), rec(mid, hi)).otherwise(rec(lo, mid - 1))
-    return rec(0, len(bounds))
-
-
 def _sort_cols(cols: OrderSpec) -> list[Column]:
     return [F.col(c).desc() if d else F.col(c).asc() for c, d in cols]
 
 
-def choose_buckets(n: int, rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS) -> int:
-    return max(1, min(max_buckets, math.ceil(n / max(rows_per_bucket, 1))))
-
-
-def sample_boundaries(df: DataFrame, cols: OrderSpec, n: int, buckets: int,
-                      salt: str = "rank") -> list[tuple]:
-    """Sorted literal boundaries from a keyed-hash sample (the only collect)."""
-    if buckets <= 1 or n <= 1:
-        return []
-    frac = min(1.0, buckets * SAMPLES_PER_BUCKET / n)
-    names = [c for c, _ in cols]
-    h = F.abs(F.xxhash64(*[F.col(c) for c in names], F.lit(salt))) % 1_000_000_007
-    sample = (df.select(*names).where(h < F.lit(int(frac * 1_000_000_007)))
-              .orderBy(*_sort_cols(cols)).collect())
-    m = len(sample)
-    if m == 0:
-        return []
-    bounds, seen = [], set()
-    for j in range(1, buckets):
-        t = tuple(sample[min(m - 1, (j * m) // buckets)])
-        if t not in seen:
-            seen.add(t)
-            bounds.append(t)
-    return bounds
+def choose_buckets(n: int, parallelism: int = 1, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """At least one bucket for each core, and none of more than about ``rows_per_bucket`` rows."""
+    return max(1, parallelism, math.ceil(n / max(rows_per_bucket, 1)))
+
+
+def _placed(df: DataFrame, order: OrderSpec, tie_col: str | Column | None, group_cols: Sequence[str],
+            n: int | None, rows_per_bucket: int) -> DataFrame:
+    """Rows with ``_bucket`` and ``_pos`` (position in the sorted bucket), written once."""
+    tie = (F.monotonically_increasing_id() if tie_col is None
+           else F.col(tie_col) if isinstance(tie_col, str) else tie_col)
+    df = df.withColumn("_tie", tie)
+    if n is None:
+        n = df.count()
+    keys = _sort_cols([*[(g, False) for g in group_cols], *order, ("_tie", False)])
+    buckets = choose_buckets(n, df.sparkSession.sparkContext.defaultParallelism, rows_per_bucket)
+    return materialize(df.repartitionByRange(buckets, *keys).sortWithinPartitions(*keys).drop("_tie")
+                       .withColumn("_bucket", F.spark_partition_id())
+                       .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(POSITION_BITS))), "ranked")
+
+
+def _offsets(placed: DataFrame, group_cols: Sequence[str], totals: dict[str, Column]) -> DataFrame:
+    """Per (group, bucket): first position, and ``_o_<name>``, the totals of
+    the group's earlier buckets (at most B + G rows reach the driver)."""
+    aggs = [F.min("_pos").alias("_first"), *[F.sum(c).alias(f"_t_{k}") for k, c in totals.items()]]
+    small = placed.groupBy(*group_cols, "_bucket").agg(*aggs)
+    rows = sorted(small.collect(), key=lambda r: (tuple(r[g] for g in group_cols), r["_bucket"]))
+    real = {k: isinstance(small.schema[f"_t_{k}"].dataType, (T.DoubleType, T.FloatType)) for k in totals}
+    out, run, last = [], {}, None
+    for r in rows:
+        group = tuple(r[g] for g in group_cols)
+        if group != last:
+            run, last = {k: 0.0 if real[k] else 0 for k in totals}, group
+        out.append((*group, r["_bucket"], r["_first"], *[run[k] for k in totals]))
+        for k in totals:
+            add = r[f"_t_{k}"] or 0
+            run[k] += float(add) if real[k] else int(add)
+    schema = T.StructType([*[placed.schema[g] for g in group_cols], T.StructField("_bucket", T.IntegerType()),
+                           T.StructField("_first", T.LongType()),
+                           *[T.StructField(f"_o_{k}", T.DoubleType() if real[k] else T.LongType()) for k in totals]])
+    return placed.sparkSession.createDataFrame(out, schema)
 
 
 def global_cumsum(df: DataFrame, order: OrderSpec, measures: dict[str, Column],
                   tie_col: str | Column | None = None, group_cols: Sequence[str] = (),
-                  n: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
-                  max_buckets: int = MAX_BUCKETS, salt: str = "rank",
-                  bounds_from: DataFrame | None = None, counts_only: bool = False) -> DataFrame:
-    """Inclusive running sums of ``measures`` in ``order`` (ties by ``tie_col``)
-    within groups, computed bucket-wise (see module docstring).
+                  n: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Inclusive running sums of ``measures`` in ``order`` (ties by ``tie_col``) within groups.
 
     ``group_cols`` must have few distinct, non-NULL values (features, arms);
     for many small groups a plain ``Window.partitionBy`` is already
-    distributed.  Order columns must be non-NULL.  ``bounds_from`` is a cheaper frame
-    holding the same key rows (e.g. the materialised input of a chain of
-    rankings) to sample boundaries from.
+    distributed.  Order columns must be non-NULL.  Without ``tie_col`` ties
+    fall in either order.  ``n`` (rows, or a bound on them) saves the count.
+    Builds eagerly: the placed rows are written before this returns.
     """
-    tie_name = "_tie"
-
-    def with_tie(frame: DataFrame) -> DataFrame:
-        if tie_col is None:
-            return frame.withColumn(tie_name, F.xxhash64(*[F.col(c) for c in frame.columns]))
-        return frame.withColumn(tie_name, F.col(tie_col) if isinstance(tie_col, str) else tie_col)
-
-    df = with_tie(df)
-    keys: list[tuple[str, bool]] = [(g, False) for g in group_cols] + list(order) + [(tie_name, False)]
-    src = df if bounds_from is None else with_tie(bounds_from)
-    if n is None:
-        n = src.count()
-    buckets = choose_buckets(n, rows_per_bucket, max_buckets)
-    bounds = sample_boundaries(src, keys, n, buckets, salt)
-    bdf = df.withColumn("_bucket", _bucket_expr(keys, bounds) if bounds else F.lit(0))
     for name, m in measures.items():
-        bdf = bdf.withColumn(f"_m_{name}", m)
-    w = (Window.partitionBy(*group_cols, "_bucket").orderBy(*_sort_cols(keys[len(group_cols):]))
+        df = df.withColumn(f"_m_{name}", m)
+    placed = _placed(df, order, tie_col, group_cols, n, rows_per_bucket)
+    offsets = _offsets(placed, group_cols, {name: F.col(f"_m_{name}") for name in measures})
+    w = (Window.partitionBy(*group_cols, "_bucket").orderBy("_pos")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = bdf
-    for name in measures:
-        out = out.withColumn(f"_c_{name}", F.sum(f"_m_{name}").over(w))
-    if bounds:
-        # bucket totals: from the (materialised) boundary source when the
-        # measures are row counts and the tie key is an explicit column (so a
-        # row lands in the same bucket in both frames), so chained rankings do
-        # not recompute earlier windows; at most B + G rows reach the driver
-        tot_src = bdf
-        if counts_only and bounds_from is not None and tie_col is not None:
-            tot_src = src.withColumn("_bucket", _bucket_expr(keys, bounds))
-            for name, m in measures.items():
-                tot_src = tot_src.withColumn(f"_m_{name}", m)
-        rows = (tot_src.groupBy(*group_cols, "_bucket")
-                .agg(*[F.sum(f"_m_{name}").alias(f"_t_{name}") for name in measures]).collect())
-        rows.sort(key=lambda r: (tuple(r[g] for g in group_cols), r["_bucket"]))
-        mtypes = {name: bdf.schema[f"_m_{name}"].dataType for name in measures}
-        as_py = {name: (float if isinstance(t, (T.DoubleType, T.FloatType)) else int) for name, t in mtypes.items()}
-        offs, run, last = [], {}, None
-        for r in rows:
-            g = tuple(r[g] for g in group_cols)
-            if g != last:
-                run, last = {name: 0 for name in measures}, g
-            offs.append((*g, r["_bucket"], *[as_py[name](run[name]) for name in measures]))
-            for name in measures:
-                run[name] += r[f"_t_{name}"] or 0
-        gtypes = [f for f in df.schema.fields if f.name in group_cols]
-        otype = {name: (T.DoubleType() if as_py[name] is float else T.LongType()) for name in measures}
-        schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in gtypes],
-                               T.StructField("_bucket", T.IntegerType()),
-                               *[T.StructField(f"_o_{name}", otype[name]) for name in measures]])
-        offsets = df.sparkSession.createDataFrame(offs, schema)
-        out = out.join(F.broadcast(offsets), [*group_cols, "_bucket"])  # <= B + G rows
-        for name in measures:
-            out = out.withColumn(f"_c_{name}", F.col(f"_c_{name}") + F.col(f"_o_{name}"))
+    out = placed.select("*", *[F.sum(f"_m_{name}").over(w).alias(f"_c_{name}") for name in measures])
+    out = out.join(F.broadcast(offsets), [*group_cols, "_bucket"])  # <= B + G rows
     for name in measures:
-        out = out.withColumn(name, F.col(f"_c_{name}"))
-    drop = ["_bucket", tie_name] + [f"_{p}_{name}" for name in measures for p in "mco"]
-    return out.drop(*drop)
+        out = out.withColumn(name, F.col(f"_c_{name}") + F.col(f"_o_{name}"))
+    return out.drop("_bucket", "_pos", "_first", *[f"_{p}_{name}" for name in measures for p in "mco"])
 
 
 def global_rank(df: DataFrame, order: OrderSpec, tie_col: str | Column | None = None,
-                group_cols: Sequence[str] = (), rank_col: str = "rank", **kw) -> DataFrame:
-    """Add a 1-based ``rank_col`` in ``order`` (ties by ``tie_col``) within groups."""
-    out = global_cumsum(df, order, {rank_col: F.lit(1).cast("bigint")}, tie_col=tie_col,
-                        group_cols=group_cols, counts_only=True, **kw)
-    return out.withColumn(rank_col, F.col(rank_col).cast("bigint"))
+                group_cols: Sequence[str] = (), rank_col: str = "rank", n: int | None = None,
+                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Add a 1-based ``rank_col`` in ``order`` (ties by ``tie_col``) within
+    groups; the position in the sorted bucket gives it without any window."""
+    placed = _placed(df, order, tie_col, group_cols, n, rows_per_bucket)
+    offsets = _offsets(placed, group_cols, {"n": F.lit(1)})
+    out = placed.join(F.broadcast(offsets), [*group_cols, "_bucket"])  # <= B + G rows
+    rank = (F.col("_o_n") + F.col("_pos") - F.col("_first") + 1).cast("bigint")
+    return out.withColumn(rank_col, rank).drop("_bucket", "_pos", "_first", "_o_n")
 
 
 def ntile_from_rank(rank: Column, n: Column, k: int) -> Column:
@@ -190,67 +136,43 @@ def decile_from_rank(rank: Column, n: Column, k: int = 10) -> Column:
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
-                    group_cols: Sequence[str] = (), tie_col: str | None = None,
-                    max_group_rows: int | None = None, **rank_kw) -> DataFrame:
-    """Exact linear-interpolation quantiles without an unbounded single-task buffer.
+                    group_cols: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Exact linear-interpolation quantiles, distributed at every size.
 
-    Returns ``group_cols + (prob, value)``; ``value`` is NULL when a group has no
+    Returns ``group_cols + (prob, value)``; ``value`` is NULL when there are no
     non-NULL values.  Same definition as numpy ``quantile`` (linear), Spark
     ``percentile`` and DuckDB ``quantile_cont``.
 
-    Size-gated: when the largest group fits one ranking bucket (at most
-    ``rows_per_bucket`` values, where a rank window would be a single task
-    anyway) one exact ``percentile`` aggregate is used - each group's buffer
-    lives in one task; above that, values are ranked with :func:`global_rank`
-    and the two neighbouring order statistics of each quantile are picked by
-    a join.  ``max_group_rows`` (the largest group's non-NULL count) skips the
-    counting job when the caller knows it.
+    Values are first counted per (group, value), which splits hot values and
+    leaves unique sort keys.  With the running counts, the k-th smallest value
+    is the smallest one whose count reaches k: one more aggregate for all
+    probabilities, combined map-side.
     """
-    data = df.select(*group_cols, F.col(value_col).cast("double").alias("_v"),
-                     *([F.col(tie_col).alias("_id")] if tie_col else []))
-    data = data.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    spark = df.sparkSession
-    pdf = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "_pi int, prob double")
-    kw = dict(rank_kw)
-    n = kw.pop("n", None)
-    if max_group_rows is None:
-        if group_cols:
-            sizes_row = (data.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_c"))
-                         .agg(F.max("_c").alias("_m"), F.sum("_c").alias("_t")).first())
-            max_group_rows, n = int(sizes_row["_m"] or 0), int(sizes_row["_t"] or 0)
-        else:
-            n = n if n is not None else data.count()
-            max_group_rows = n
-    if choose_buckets(max_group_rows, kw.get("rows_per_bucket", ROWS_PER_BUCKET),
-                      kw.get("max_buckets", MAX_BUCKETS)) == 1:
-        arr = F.percentile(F.col("_v"), F.array(*[F.lit(float(p)) for p in probs]))
-        g = data.groupBy(*group_cols) if group_cols else data.groupBy()
-        res = g.agg(arr.alias("_q")).select(
-            *group_cols, F.posexplode("_q").alias("_pi", "value"))
-        if not group_cols:
-            return pdf.join(res, "_pi", "left").drop("_pi")
-        return res.join(F.broadcast(pdf), "_pi").select(*group_cols, "prob", "value")
-    ranked = global_rank(data, [("_v", False)], tie_col="_id" if tie_col else None,
-                         group_cols=group_cols, rank_col="_r", n=n, **kw)  # n None -> counted
-    sizes = data.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    h = (F.col("_n") - 1) * F.col("prob")
-    prob_rows = F.explode(F.array(*[F.struct(F.lit(i).alias("_pi"), F.lit(float(p)).alias("prob"))
-                                    for i, p in enumerate(probs)]))
-    want = (sizes.select(*group_cols, "_n", prob_rows.alias("_p")).select(*group_cols, "_n", "_p._pi", "_p.prob")
-            .withColumn("_h", h)
-            .withColumn("_lo", F.floor("_h").cast("bigint") + 1)
-            .withColumn("_hi", F.ceil("_h").cast("bigint") + 1)
-            .withColumn("_frac", F.col("_h") - F.floor("_h")))
-    picks = want.select(*group_cols, "_pi", F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
-    hit = ranked.join(picks, [*group_cols, "_r"]).select(*group_cols, "_pi", "_r", "_v")
-    vals = (want.join(hit, [*group_cols, "_pi"], "left")
-            .groupBy(*group_cols, "_pi", "prob", "_frac")
-            .agg(F.max(F.when(F.col("_r") == F.col("_lo"), F.col("_v"))).alias("_vlo"),
-                 F.max(F.when(F.col("_r") == F.col("_hi"), F.col("_v"))).alias("_vhi")))
-    value = F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))
-    value = F.when(F.col("_frac") == 0, F.col("_vlo")).otherwise(value)
-    out = vals.select(*group_cols, "_pi", "prob", value.alias("value"))
-    if not group_cols:
-        # no rows at all still reports NULL quantiles
-        out = pdf.join(out.drop("prob"), "_pi", "left")
-    return out.drop("_pi")
+    value = F.col(value_col).cast("double")
+    counts = (df.where(value.isNotNull() & ~F.isnan(value)).groupBy(*group_cols, value.alias("_v"))
+              .agg(F.count(F.lit(1)).alias("_k")))
+    run = global_cumsum(counts, [("_v", False)], {"_upto": F.col("_k")}, tie_col="_v", group_cols=group_cols,
+                        rows_per_bucket=rows_per_bucket)
+    sizes = run.groupBy(*group_cols).agg(F.max("_upto").alias("_n"))  # one row per group
+    if group_cols:
+        sized = run.join(F.broadcast(sizes), list(group_cols))
+    else:
+        sized = run.withColumn("_n", F.lit(sizes.first()["_n"]).cast("bigint"))
+
+    def at(p: float, up: bool) -> Column:
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        k = (F.ceil(h) if up else F.floor(h)).cast("bigint") + 1
+        return F.min(F.when(F.col("_upto") >= k, F.col("_v")))
+
+    picked = sized.groupBy(*group_cols).agg(
+        F.max("_n").alias("_n"), *[x for i, p in enumerate(probs)
+                                   for x in (at(p, False).alias(f"_lo{i}"), at(p, True).alias(f"_hi{i}"))])
+
+    def interpolated(i: int, p: float) -> Column:
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        frac = h - F.floor(h)
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        return F.struct(F.lit(float(p)).alias("prob"), F.when(frac == 0, lo).otherwise(lo + frac * (hi - lo)).alias("value"))
+
+    rows = F.explode(F.array(*[interpolated(i, p) for i, p in enumerate(probs)]))
+    return picked.select(*group_cols, rows.alias("_q")).select(*group_cols, "_q.prob", "_q.value")

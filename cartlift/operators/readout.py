@@ -19,7 +19,7 @@ def adjusted_effect(df: DataFrame, feature_cols: Sequence[str], approximate_medi
     """ANCOVA: outcome on arm plus median-imputed covariates, HC1 errors (O-43/O-44)."""
     cols = [ARM, *feature_cols]
     mom = ols.column_moments(df, cols)
-    fill = ols.impute_medians(df, cols, tie_col=ID, approximate=approximate_medians, moments=mom,
+    fill = ols.impute_medians(df, cols, approximate=approximate_medians, moments=mom,
                               **(rank_kw or {}))
     return ols.ols_hc1(df, OUTCOME, cols, fill, moments=mom)
 

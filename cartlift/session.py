@@ -23,19 +23,22 @@ DEFAULT_CONF = {
 
 
 def build_session(master: str | None = "local[8]", app: str = "cartlift",
-                  shuffle_partitions: int = 8, driver_memory: str = "8g",
+                  shuffle_partitions: int | None = None, driver_memory: str = "8g",
                   extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the settings the engine relies on.
 
-    On a cluster pass ``master=None`` and let spark-submit decide; only local
-    mode pins the driver to the loopback address.
+    On a cluster pass ``master=None`` and let spark-submit decide: memory,
+    shuffle partitions and addresses are set for a local master only (8
+    shuffle partitions unless given).
     """
     builder = SparkSession.builder.appName(app)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if master is not None:
         builder = builder.master(master)
         if master.startswith("local"):
+            conf.setdefault("spark.sql.shuffle.partitions", "8")
             conf["spark.driver.host"] = "127.0.0.1"
             conf["spark.driver.bindAddress"] = "127.0.0.1"
             conf["spark.driver.memory"] = driver_memory

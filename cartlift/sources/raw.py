@@ -56,12 +56,10 @@ TRAIN_CSV_SCHEMA = T.StructType([
 
 
 def parse_timestamp(col: Column | str) -> Column:
-    """Text or timestamp to TIMESTAMP_NTZ; unparsable text becomes NULL.
-
-    ``to_timestamp`` raises under ANSI mode; ``try_to_timestamp`` does not.
-    """
+    """Text to TIMESTAMP_NTZ as it is written, in whatever session zone;
+    unparsable text becomes NULL (a plain cast would raise under ANSI mode)."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.try_to_timestamp(c.cast("string")).cast("timestamp_ntz")
+    return c.cast("string").try_cast("timestamp_ntz")
 
 
 def _timestamp_col(df: DataFrame, name: str) -> Column:

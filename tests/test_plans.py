@@ -1,7 +1,6 @@
 """Plan guards: pruning and pushdown reach the scans; customer-grain
 rankings never collapse into one partition."""
 
-from cartlift.operators import product
 from cartlift.operators.features import customer_features
 from cartlift.sources.fixtures import fixture_tables
 
@@ -22,13 +21,12 @@ def test_feature_scans_are_pruned_and_filtered(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_rfm_in_scale_mode_has_no_single_partition(spark):
-    from cartlift.plans.context import Context
-    c = Context(spark, SF)
-    plan = _plan(product.rfm_scores(c.features, {"rows_per_bucket": 100}))
-    assert "SinglePartition" not in plan
-    windows = [line for line in plan.splitlines() if "Window [" in line]
-    assert len(windows) == 3 and all("windowspecdefinition(_bucket" in w for w in windows)
+def test_rankings_have_no_window_over_all_rows(spark):
+    """As registered: no switch by size, every window has a partition."""
+    from cartlift.plans.catalog import QUERIES
+    for name in ("rfm_scores", "train_test_split_exact", "uplift_deciles", "qini_curve"):
+        plan = _plan(QUERIES[name](spark, SF))
+        assert all("windowspecdefinition(_bucket" in line for line in plan.splitlines() if "Window [" in line), name
 
 
 def test_no_registered_query_plans_a_cross_join(spark):

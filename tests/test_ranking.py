@@ -74,14 +74,50 @@ def test_exact_quantiles_match_numpy(spark):
     pdf = pd.DataFrame({"id": np.arange(len(vals)), "x": vals, "g": np.arange(len(vals)) % 2})
     df = spark.createDataFrame(pdf)
     probs = [0.0, 0.1, 0.25, 0.5, 0.7, 0.9, 1.0]
-    got = exact_quantiles(df, "x", probs, tie_col="id", rows_per_bucket=100).toPandas().sort_values("prob")
+    got = exact_quantiles(df, "x", probs, rows_per_bucket=100).toPandas().sort_values("prob")
     assert np.allclose(got.value.to_numpy(), np.quantile(vals, probs), rtol=0, atol=1e-12)
-    grp = exact_quantiles(df, "x", [0.5], group_cols=["g"], tie_col="id", rows_per_bucket=100).toPandas()
+    grp = exact_quantiles(df, "x", [0.5], group_cols=["g"], rows_per_bucket=100).toPandas()
     for g in (0, 1):
         assert abs(grp[grp.g == g].value.iloc[0] - np.median(vals[pdf.g == g])) < 1e-12
 
 
 def test_exact_quantiles_empty(spark):
     df = spark.createDataFrame([(1, None)], "id long, x double")
-    got = exact_quantiles(df, "x", [0.5], tie_col="id").collect()
+    got = exact_quantiles(df, "x", [0.5]).collect()
     assert len(got) == 1 and got[0]["value"] is None
+
+
+@pytest.mark.parametrize("tie", [None, "id"])
+def test_value_held_by_two_thirds_is_split(spark, tie):
+    """One value in 2/3 of the rows, three distinct values: no bucket holds it
+    whole, with or without an id."""
+    from cartlift.operators import ranking
+    df = spark.range(30_000).select("id", F.when(F.col("id") % 3 > 0, 7.0).otherwise(F.col("id") % 2).alias("v"))
+    placed = ranking._placed(df, [("v", False)], tie, (), None, 1000)
+    most = placed.groupBy("_bucket").count().agg(F.max("count")).first()[0]
+    assert placed.select("_bucket").distinct().count() >= 25 and most < 3000
+    got = exact_quantiles(df, "v", [0.1, 0.2, 0.5, 0.9], rows_per_bucket=1000).orderBy("prob").collect()
+    ref = np.quantile(df.toPandas().v, [0.1, 0.2, 0.5, 0.9])
+    assert np.allclose([r["value"] for r in got], ref)
+
+
+def test_quantiles_count_values_before_sorting(spark):
+    """A hot value reaches the range shuffle once per group, not once per row."""
+    df = spark.range(50_000).select(F.lit("g").alias("g"), F.lit(1.5).alias("v"))
+    got = exact_quantiles(df, "v", [0.5], group_cols=["g"]).collect()
+    assert [(r["g"], r["prob"], r["value"]) for r in got] == [("g", 0.5, 1.5)]
+
+
+def test_thousand_buckets(spark):
+    df = _frame(spark, n=4000)
+    got = global_rank(df, [("v", True)], tie_col="id", rows_per_bucket=4)
+    ref = df.withColumn("rn", F.row_number().over(Window.orderBy(F.col("v").desc(), "id")))
+    assert got.join(ref, "id").where(F.col("rank") != F.col("rn")).count() == 0
+
+
+def test_small_inputs_take_several_buckets(spark):
+    from cartlift.operators import ranking
+    assert ranking.choose_buckets(10, 8) == 8 and ranking.choose_buckets(10_000_000_000, 8) == 10_000
+    placed = ranking._placed(_frame(spark, n=500), [("v", False)], "id", (), None, ranking.ROWS_PER_BUCKET)
+    assert placed.select("_bucket").distinct().count() > 1
+    assert global_rank(spark.createDataFrame([], "id long, v double"), [("v", False)], tie_col="id").count() == 0
