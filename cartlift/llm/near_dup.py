@@ -70,16 +70,17 @@ class Signer:
     def __init__(self, bands: int = BANDS, rows: int = ROWS, bits: int = BITS):
         self.bands, self.rows, self.bits = bands, rows, bits
         rng = np.random.default_rng(20240229)
-        self.factors = rng.integers(1, 2 ** 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.factors = rng.integers(0, 2 ** 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.salts = rng.integers(0, 2 ** 63, bands * rows, dtype=np.uint64)
 
     def samples(self, shingles: np.ndarray) -> np.ndarray:
-        out = np.full(len(self.factors), np.iinfo(np.uint64).max)
-        for at in range(0, len(shingles), 4096):
-            part = shingles[at:at + 4096]
-            for i, f in enumerate(self.factors):
-                out[i] = min(out[i], (part * f).min())
-        return out
+        """Least value of each of the sample functions (odd multiples modulo
+        2**32 of the shingles' hashes), some hundred shingles at a time."""
+        short = (shingles >> np.uint64(32)).astype(np.uint32)
+        out = np.full(len(self.factors), np.iinfo(np.uint32).max)
+        for at in range(0, len(short), 512):
+            np.minimum(out, np.multiply.outer(short[at:at + 512], self.factors).min(axis=0), out=out)
+        return out.astype(np.uint64)
 
     def keys(self, samples: np.ndarray) -> np.ndarray:
         s = (samples ^ self.salts).reshape(self.bands, self.rows)
