@@ -31,12 +31,14 @@ class AnalysisConfig:
     learner_min_leaf: int = 30
     learner_subset: str = "0.8"
     seed: int = 42
+    events_reference_end: str | None = None  # event time before which the stream's reference slice lies
     rank_kw: dict = field(default_factory=dict)
 
     @classmethod
     def fixture(cls) -> "AnalysisConfig":
-        """The test fixtures measure the outcome over 180 days (FIXTURES.md)."""
-        return cls(window_days=180)
+        """The test fixtures measure the outcome over 180 days (FIXTURES.md);
+        their first week of events is the reference slice."""
+        return cls(window_days=180, events_reference_end="2024-01-08")
 
     def with_(self, **kw) -> "AnalysisConfig":
         return replace(self, **kw)

@@ -393,12 +393,9 @@ from pyspark.sql import functions as _F  # noqa: E402
 
 from cartlift.streaming import jobs as stream  # noqa: E402
 
-EVENTS_REFERENCE_END = "2024-01-08"  # fixture: first week of events is the reference slice
-
-
 def _events(c: Context) -> tuple[DataFrame, DataFrame]:
     ev = c.spark.read.parquet(f"{c.sf_dir.rstrip('/')}/events.parquet")
-    cut = _F.expr(f"timestamp_ntz'{EVENTS_REFERENCE_END}'")
+    cut = _F.expr(f"timestamp_ntz'{c.config.events_reference_end}'")
     return ev.where(_F.col("ts") < cut), ev.where(_F.col("ts") >= cut)
 
 
@@ -411,9 +408,9 @@ def stream_arm_rates(c: Context) -> DataFrame:
 
 @query
 def stream_srm(c: Context) -> DataFrame:
-    """E-2: SRM chi-square per daily window."""
+    """E-2: SRM chi-square of the distinct users of each daily window."""
     ev = c.spark.read.parquet(f"{c.sf_dir.rstrip('/')}/events.parquet")
-    return stream.window_srm(stream.windowed_arm_counts(ev))
+    return stream.window_srm(stream.window_users(ev))
 
 
 @query

@@ -6,12 +6,10 @@ exploration slice at arrival.  Each duty is written once as a transformation
 that works on a batch *or* a streaming DataFrame:
 
 * E-1 :func:`windowed_bins` - per event-time window, counts per PSI bin of an
-  incoming score against fixed reference edges; PSI per window is computed
-  from those counts (:func:`windowed_psi`, or per micro-batch in
-  :func:`psi_batch_writer`).
-* E-2 :func:`windowed_arm_counts` - per window and arm: events and
-  purchases (SRM chi-square and purchase rate per window via
-  :func:`window_srm`).
+  incoming score against fixed reference edges; PSI per window
+  (:func:`windowed_psi`) is written by the stream itself.
+* E-2 :func:`windowed_arm_counts` - per window and arm: events, purchases and
+  rate; :func:`window_srm` - SRM over the distinct users of each window.
 * E-3 :func:`assign_at_arrival` - stateless keyed-hash epsilon-greedy action.
 * E-4 :func:`aa_test` - the control arm split in two keyed halves; their
   "effect" must be null.
@@ -19,12 +17,14 @@ that works on a batch *or* a streaming DataFrame:
 Streams use a watermark on event time; rows later than the watermark are
 dropped from window state.  Watermarks need TIMESTAMP (not NTZ) event time,
 so the stream casts NTZ to TIMESTAMP under the session time zone (UTC).
-State and progress live under ``<spark.checkpoint.dir>/streams/<name>``.
+State and progress live under ``<spark.checkpoint.dir>/streams/<name>``;
+results go to Parquet files, nothing is kept on the driver, and a stopped
+query goes on from its checkpoint without loss or doubles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,11 +63,20 @@ def windowed_arm_counts(events: DataFrame, size: str = "1 day", ts: str = "ts")
                     (F.col("n_purchases") / F.col("n_events")).alias("purchase_rate")))
 
 
-def window_srm(arm_counts: DataFrame, ratio: float = 0.5, alpha: float = 0.001) -> DataFrame:
-    """E-2: SRM chi-square of event counts per window (batch over window counts)."""
-    w = arm_counts.groupBy("window_start").agg(
-        F.sum(F.when(F.col(ARM) == 1, F.col("n_events")).otherwise(0)).cast("bigint").alias("n_treat"),
-        F.sum(F.when(F.col(ARM) == 0, F.col("n_events")).otherwise(0)).cast("bigint").alias("n_control"))
+def window_users(events: DataFrame, size: str = "1 day", ts: str = "ts") -> DataFrame:
+    """E-2: each user once per window, with the arm.  The arm belongs to the
+    user, so a user's events are not independent draws of it."""
+    return (with_arm(events).groupBy(_window(ts, size).alias("window"), "user_id", ARM)
+            .agg(F.count(F.lit(1)).alias("n_events"))
+            .select(F.col("window.start").alias("window_start"), "user_id", ARM))
+
+
+def window_srm(users: DataFrame, ratio: float = 0.5, alpha: float = 0.001) -> DataFrame:
+    """E-2: SRM chi-square of distinct users per window (input: :func:`window_users`)."""
+    one = F.lit(1).cast("bigint")
+    w = users.groupBy("window_start").agg(
+        F.coalesce(F.sum(F.when(F.col(ARM) == 1, one)), F.lit(0)).cast("bigint").alias("n_treat"),
+        F.coalesce(F.sum(F.when(F.col(ARM) == 0, one)), F.lit(0)).cast("bigint").alias("n_control"))
     n = F.col("n_treat") + F.col("n_control")
     et, ec = n * F.lit(ratio), n * F.lit(1.0 - ratio)
     chi2 = F.pow(F.col("n_treat") - et, 2) / et + F.pow(F.col("n_control") - ec, 2) / ec
@@ -159,29 +168,58 @@ def stream_checkpoint(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
 
 
-def start_arm_counts(spark: SparkSession, stream: DataFrame, sink_table: str, size: str = "1 day",
+def _start(writer, spark: SparkSession, name: str, available_now: bool):
+    writer = writer.queryName(name).option("checkpointLocation", stream_checkpoint(spark, name))
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def _to_files(df: DataFrame, spark: SparkSession, name: str, path: str, available_now: bool):
+    """Append to Parquet files; the sink's commit log makes a restart exact."""
+    return _start(df.writeStream.outputMode("append").format("parquet").option("path", path), spark, name, available_now)
+
+
+def batch_writer(path: str, transform) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: ``transform`` of a micro-batch, written under
+    ``path/batch=<id>``.  A batch that is run again replaces its own folder."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        transform(batch).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+    return write
+
+
+def start_arm_counts(spark: SparkSession, stream: DataFrame, name: str, path: str, size: str = "1 day",
                      watermark: str = "1 hour", available_now: bool = True):
-    """E-2 as a running query: append finalized (window, arm) counts to a memory table."""
-    agg = windowed_arm_counts(stream.withWatermark("ts", watermark), size)
-    w = (agg.writeStream.outputMode("append").format("memory").queryName(sink_table)
-         .option("checkpointLocation", stream_checkpoint(spark, sink_table)))
-    return (w.trigger(availableNow=True) if available_now else w).start()
+    """E-2 as a running query: finalized (window, arm) events and rates to files."""
+    return _to_files(windowed_arm_counts(stream.withWatermark("ts", watermark), size), spark, name, path, available_now)
+
+
+def start_srm(spark: SparkSession, stream: DataFrame, name: str, path: str, size: str = "1 day",
+              watermark: str = "1 hour", ratio: float = 0.5, alpha: float = 0.001, available_now: bool = True):
+    """E-2 as a running query: SRM of distinct users for each finalized window.
+
+    All rows of a window are emitted by the micro-batch in which the watermark
+    passes it, so each window is judged once and whole."""
+    users = window_users(stream.withWatermark("ts", watermark), size)
+    write = batch_writer(path, lambda b: window_srm(b, ratio, alpha))
+    return _start(users.writeStream.outputMode("append").foreachBatch(write), spark, name, available_now)
+
+
+def start_psi(spark: SparkSession, stream: DataFrame, edges: Sequence[float], ref_shares: DataFrame, name: str,
+              path: str, size: str = "1 day", watermark: str = "1 hour", available_now: bool = True):
+    """E-1 as a running query: PSI and its flag for each finalized window.
+    ``ref_shares`` has one row per bin; it is read once, here."""
+    rows = [(r["bin"], r["e"]) for r in ref_shares.collect()]
+    counts = windowed_bins(stream.withWatermark("ts", watermark), edges, size=size)
+    bins = len(edges) + 1
 
+    def score(batch: DataFrame) -> DataFrame:
+        return windowed_psi(batch, batch.sparkSession.createDataFrame(rows, "bin int, e double"), bins)
 
-def start_bin_counts(spark: SparkSession, stream: DataFrame, edges: Sequence[float], sink_table: str,
-                     size: str = "1 day", watermark: str = "1 hour", available_now: bool = True):
-    """E-1 as a running query: finalized (window, bin) counts to a memory table;
-    PSI per window is :func:`windowed_psi` over that table."""
-    agg = windowed_bins(stream.withWatermark("ts", watermark), edges, size=size)
-    w = (agg.writeStream.outputMode("append").format("memory").queryName(sink_table)
-         .option("checkpointLocation", stream_checkpoint(spark, sink_table)))
-    return (w.trigger(availableNow=True) if available_now else w).start()
+    writer = counts.writeStream.outputMode("append").foreachBatch(batch_writer(path, score))
+    return _start(writer, spark, name, available_now)
 
 
-def start_assignment(spark: SparkSession, stream: DataFrame, cutoff: float, sink_table: str,
+def start_assignment(spark: SparkSession, stream: DataFrame, cutoff: float, name: str, path: str,
                      epsilon: float = 0.05, cycle: str = "0", available_now: bool = True):
-    """E-3 as a running query: stateless append of (event_id, user_id, action)."""
+    """E-3 as a running query: stateless append of (event_id, user_id, action) to files."""
     out = assign_at_arrival(stream, cutoff, epsilon, cycle).select("event_id", "user_id", "action")
-    w = (out.writeStream.outputMode("append").format("memory").queryName(sink_table)
-         .option("checkpointLocation", stream_checkpoint(spark, sink_table)))
-    return (w.trigger(availableNow=True) if available_now else w).start()
+    return _to_files(out, spark, name, path, available_now)

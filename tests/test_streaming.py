@@ -10,69 +10,90 @@ from cartlift.streaming import jobs
 EVENTS = "/root/testdata/sf0.01/events.parquet"
 
 
-def _write(df: pd.DataFrame, path: str, mtime: int) -> None:
+DAYS = [("2024-01-01", "2024-01-09"), ("2024-01-09", "2024-01-11"), ("2024-01-11", "2024-01-13")]
+
+
+def _events() -> pd.DataFrame:
+    ev = pq.read_table(EVENTS).to_pandas()
+    ev["ts"] = ev["ts"].astype("datetime64[us]")
+    return ev
+
+
+def _write(df: pd.DataFrame, src, k: int) -> None:
+    path = str(src / f"events-{k}.parquet")
     df.to_parquet(path, index=False)
+    mtime = int(time.time()) - 1000 + 20 * k
     os.utime(path, (mtime, mtime))
 
 
-def _rows(spark, table):
-    return {tuple(r) for r in spark.sql(f"select * from {table}").collect()}
+def _batch(spark, ev: pd.DataFrame):
+    return spark.createDataFrame(ev).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-def test_stream_arm_counts_match_batch_and_drop_late_rows(spark, tmp_path):
-    ev = pq.read_table(EVENTS).to_pandas()
-    ev["ts"] = ev["ts"].astype("datetime64[us]")
-    early = ev[ev.ts < "2024-01-11"]
-    newer = ev[(ev.ts >= "2024-01-11") & (ev.ts < "2024-01-13")]
+def _rows(df, *cols):
+    return sorted(tuple(str(v)[:10] if c == "window_start" else round(v, 9) if isinstance(v, float) else v
+                        for c, v in zip(cols, r)) for r in df.select(*cols).collect())
+
+
+def _run(spark, start, src, ev):
+    """Run to the end, stop, add a file, go on from the checkpoint; twice."""
+    for k, (lo, hi) in enumerate(DAYS):
+        _write(ev[(ev.ts >= lo) & (ev.ts < hi)], src, k)
+        q = start(jobs.event_stream(spark, str(src), max_files_per_trigger=1))
+        q.awaitTermination()
+        assert q.exception() is None
+
+
+def test_arm_counts_restart_and_drop_late_rows(spark, tmp_path):
+    ev, src, out = _events(), tmp_path / "src", str(tmp_path / "out")
+    src.mkdir()
+
+    def start(s):
+        return jobs.start_arm_counts(spark, s, f"arm_counts_{tmp_path.name}", out)
+    _run(spark, start, src, ev)
     late = ev[(ev.ts >= "2024-01-03") & (ev.ts < "2024-01-04")].head(50)
-    src = tmp_path / "src"
+    _write(late, src, 9)
+    start(jobs.event_stream(spark, str(src))).awaitTermination()
+    cols = ("window_start", "treatment_flg", "n_events", "n_purchases")
+    got = _rows(spark.read.parquet(out), *cols)
+    want = _rows(jobs.windowed_arm_counts(_batch(spark, ev[ev.ts < DAYS[-1][1]])), *cols)
+    # every window once; the last day waits for the watermark, day 3's late rows changed nothing
+    assert got == [r for r in want if r[0] <= "2024-01-11"] and any(r[0] == "2024-01-03" for r in got)
+
+
+def test_srm_stream_counts_users_and_survives_restarts(spark, tmp_path):
+    ev, src, out = _events(), tmp_path / "src", str(tmp_path / "out")
     src.mkdir()
-    now = int(time.time())
-    _write(early, str(src / "events-1.parquet"), now - 100)
-    _write(newer, str(src / "events-2.parquet"), now - 60)
-    _write(late, str(src / "events-3.parquet"), now - 30)
-    stream = jobs.event_stream(spark, str(src), max_files_per_trigger=1)
-    q = jobs.start_arm_counts(spark, stream, "arm_counts_test")
-    q.awaitTermination()
-    got = spark.sql("select * from arm_counts_test")
-    # one file per micro-batch; the third batch filters against the watermark
-    # reached after the first (~2024-01-10 23:00), so its day-3 rows are late
-    # and dropped; windows up to day 11 are finalized, day 12 waits
-    on_time = pd.concat([early, newer])
-    batch = jobs.windowed_arm_counts(spark.createDataFrame(on_time).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
-    b = {(str(r.window_start)[:10], r.treatment_flg, r.n_events, r.n_purchases) for r in batch.collect()}
-    s = {(str(r.window_start)[:10], r.treatment_flg, r.n_events, r.n_purchases) for r in got.collect()}
-    assert s == {x for x in b if x[0] <= "2024-01-11"}
-    assert any(x[0] == "2024-01-03" for x in s)
-
-
-def test_stream_psi_and_assignment_match_batch(spark, tmp_path):
-    ev = pq.read_table(EVENTS).to_pandas()
-    ev["ts"] = ev["ts"].astype("datetime64[us]")
-    ref = spark.createDataFrame(ev[ev.ts < "2024-01-08"])
+    _run(spark, lambda s: jobs.start_srm(spark, s, f"srm_{tmp_path.name}", out), src, ev)
+    cols = ("window_start", "n_treat", "n_control", "chi2", "srm_ok")
+    got = _rows(spark.read.parquet(out), *cols)
+    want = _rows(jobs.window_srm(jobs.window_users(_batch(spark, ev[ev.ts < DAYS[-1][1]]))), *cols)
+    assert got == [r for r in want if r[0] <= "2024-01-11"] and got
+    day = ev[(ev.ts >= "2024-01-02") & (ev.ts < "2024-01-03")]
+    assert sum(next(r for r in got if r[0] == "2024-01-02")[1:3]) == day.user_id.nunique() < len(day)
+
+
+def test_psi_stream_survives_restarts(spark, tmp_path):
+    ev, src, out = _events(), tmp_path / "src", str(tmp_path / "out")
+    src.mkdir()
+    ref = _batch(spark, ev[ev.ts < "2024-01-08"])
     edges = jobs.reference_edges(ref, "value")
     assert len(edges) == 9 and edges == sorted(edges)
-    cur = ev[ev.ts >= "2024-01-08"]
-    src = tmp_path / "src"
-    src.mkdir()
-    _write(cur, str(src / "events-1.parquet"), int(time.time()) - 10)
-    q = jobs.start_bin_counts(spark, jobs.event_stream(spark, str(src)), edges, "bins_test")
-    q.awaitTermination()
     shares = jobs.reference_shares(ref, edges)
-    psi_stream = jobs.windowed_psi(spark.sql("select * from bins_test"), shares)
-    batch_cur = spark.createDataFrame(cur).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    psi_batch = jobs.windowed_psi(jobs.windowed_bins(batch_cur, edges), shares)
-    s = {(str(r.window_start)[:10], round(r.psi, 9)) for r in psi_stream.collect()}
-    b = {(str(r.window_start)[:10], round(r.psi, 9)) for r in psi_batch.collect()}
-    assert s and s <= b and len(b - s) == 1  # the last day awaits the watermark
-
-    q = jobs.start_assignment(spark, jobs.event_stream(spark, str(src)), edges[6], "assign_test")
-    q.awaitTermination()
-    s = _rows(spark, "assign_test")
-    b = {tuple(r) for r in jobs.assign_at_arrival(batch_cur, edges[6]).select("event_id", "user_id", "action").collect()}
-    assert s == b
-    actions = {x[2] for x in s}
-    assert actions <= {"explore_treat", "explore_control", "exploit_treat", "exploit_skip"}
+    _run(spark, lambda s: jobs.start_psi(spark, s, edges, shares, f"psi_{tmp_path.name}", out), src, ev)
+    cols = ("window_start", "psi", "flag")
+    want = _rows(jobs.windowed_psi(jobs.windowed_bins(_batch(spark, ev[ev.ts < DAYS[-1][1]]), edges), shares), *cols)
+    assert _rows(spark.read.parquet(out), *cols) == [r for r in want if r[0] <= "2024-01-11"]
+
+
+def test_assignment_stream_survives_restarts(spark, tmp_path):
+    ev, src, out = _events(), tmp_path / "src", str(tmp_path / "out")
+    src.mkdir()
+    _run(spark, lambda s: jobs.start_assignment(spark, s, 50.0, f"assign_{tmp_path.name}", out), src, ev)
+    cols = ("event_id", "user_id", "action")
+    got = _rows(spark.read.parquet(out), *cols)
+    assert got == _rows(jobs.assign_at_arrival(_batch(spark, ev[ev.ts < DAYS[-1][1]]), 50.0), *cols)
+    assert {r[2] for r in got} <= {"explore_treat", "explore_control", "exploit_treat", "exploit_skip"}
 
 
 def test_aa_test_is_null_effect(spark):
