@@ -25,20 +25,30 @@ class AnalysisConfig:
     psi_bins: int = 10
     period_salt: str = "period"
     learner: str = "gbt"            # gbt | rf | logistic
-    learner_iters: int = 25
-    learner_step: float = 0.2
+    learner_iters: int = 500        # boosting rounds and step of the original analysis
+    learner_step: float = 0.05
     learner_depth: int = 3
     learner_min_leaf: int = 30
     learner_subset: str = "0.8"
     seed: int = 42
+    sample_frac: float | None = None        # keep this share of the experiment customers
+    sample_salt: str = "sample"
+    null_future_dates: bool = False         # blank card dates after the reference time (leak-safe)
+    approximate_breadth: bool = False       # sketches instead of exact distinct counts
+    approximate_medians: bool = False       # sketches instead of exact medians in the regression
+    key_features: tuple[str, ...] = ("recency_days", "n_tx", "spend_total")  # watched for drift besides the score
+    unit_value: float = 1.0                 # money view of the policy: value of a response, cost of a send
+    unit_cost: float = 0.01
     events_reference_end: str | None = None  # event time before which the stream's reference slice lies
     rank_kw: dict = field(default_factory=dict)
 
     @classmethod
     def fixture(cls) -> "AnalysisConfig":
         """The test fixtures measure the outcome over 180 days (FIXTURES.md);
-        their first week of events is the reference slice."""
-        return cls(window_days=180, events_reference_end="2024-01-08")
+        their first week of events is the reference slice.  Learners take 25
+        rounds at step 0.2 there, a 20th of the default work; the benchmark
+        says so."""
+        return cls(window_days=180, events_reference_end="2024-01-08", learner_iters=25, learner_step=0.2)
 
     def with_(self, **kw) -> "AnalysisConfig":
         return replace(self, **kw)

@@ -130,3 +130,18 @@ def decile_concentration(deciles: DataFrame) -> DataFrame:
     overall = F.try_divide(F.col("_num"), F.col("_den").cast("double"))
     return a.select("top20_uplift_pp", overall.alias("overall_uplift_pp"),
                     F.try_divide(F.col("top20_uplift_pp"), overall).alias("concentration"))
+
+
+def learner_evaluation(scored: DataFrame, score_cols: tuple[str, ...] = ("s_score", "t_score"),
+                       k: float = 0.30, rank_kw: dict | None = None) -> DataFrame:
+    """Qini AUC, uplift AUC and uplift within the top k% of each score, side by
+    side on one scored table (one row per score)."""
+    from cartlift.operators.policy import targeting_policy, uplift_at_k
+    rows = []
+    for c in score_cols:
+        qini = first_value(normalized_auc(scored, c, "qini", rank_kw), "qini_auc")
+        auuc = first_value(normalized_auc(scored, c, "uplift", rank_kw), "uplift_auc")
+        top = first_value(uplift_at_k(targeting_policy(scored, c, k, rank_kw), k), "uplift_at_k")
+        rows.append((c, qini, auuc, top))
+    return scored.sparkSession.createDataFrame(
+        rows, "score_col string, qini_auc double, uplift_auc double, uplift_at_k double")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,16 +62,20 @@ def _base_learner(cfg: AnalysisConfig, features_col: str = "features"):
 
 
 def _prep_stages(feature_cols: Sequence[str], extra: Sequence[str] = ()) -> list:
-    """Median imputation (O-54) plus 0/1 missing indicators, then assembly."""
-    imp_out = [f"_imp_{c}" for c in feature_cols]
-    imputer = Imputer(inputCols=list(feature_cols), outputCols=imp_out, strategy="median")
-    assembler = VectorAssembler(inputCols=[*extra, *imp_out, *[f"_na_{c}" for c in feature_cols]],
-                                outputCol="features", handleInvalid="keep")
-    return [imputer, assembler]
+    """Assembly of the filled features and their 0/1 missing indicators (O-54)."""
+    return [VectorAssembler(inputCols=[*extra, *feature_cols, *[f"_na_{c}" for c in feature_cols]],
+                            outputCol="features", handleInvalid="keep")]
 
 
-def _with_indicators(df: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
-    cols = [F.col(c).cast("double").alias(c) for c in feature_cols]
+def exact_fills(train: DataFrame, feature_cols: Sequence[str]) -> dict[str, float]:
+    """Exact medians of the training rows, for the columns that have NULLs
+    (O-54): found once and shared by the three fits and by scoring."""
+    from cartlift.operators.ols import impute_medians
+    return {c: v for c, v in impute_medians(train, feature_cols).items() if v is not None}
+
+
+def _with_indicators(df: DataFrame, feature_cols: Sequence[str], fills: dict[str, float]) -> DataFrame:
+    cols = [F.coalesce(F.col(c).cast("double"), F.lit(float(fills.get(c, 0.0)))).alias(c) for c in feature_cols]
     ind = [F.col(c).isNull().cast("double").alias(f"_na_{c}") for c in feature_cols]
     others = [c for c in df.columns
               if c not in feature_cols and not c.startswith("_na_") and c != "_label"]
@@ -85,32 +89,34 @@ def _score(df: DataFrame, model: PipelineModel, name: str) -> DataFrame:
     return out.drop(*[c for c in out.columns if c not in before and c != name])
 
 
-def fit_s_model(train: DataFrame, feature_cols: Sequence[str], cfg: AnalysisConfig) -> PipelineModel:
+def fit_s_model(train: DataFrame, feature_cols: Sequence[str], cfg: AnalysisConfig,
+                fills: dict[str, float]) -> PipelineModel:
     """S-learner: one model with the arm as a feature (O-55)."""
-    tr = _with_indicators(train, feature_cols).withColumn("_arm", F.col(ARM).cast("double"))
+    tr = _with_indicators(train, feature_cols, fills).withColumn("_arm", F.col(ARM).cast("double"))
     return Pipeline(stages=[*_prep_stages(feature_cols, extra=["_arm"]), _base_learner(cfg)]).fit(tr)
 
 
 def fit_arm_model(train: DataFrame, feature_cols: Sequence[str], cfg: AnalysisConfig,
-                  arm: int) -> PipelineModel:
+                  arm: int, fills: dict[str, float]) -> PipelineModel:
     """T-learner half: a model fitted on one arm only (O-56)."""
-    tr = _with_indicators(train, feature_cols).where(F.col(ARM) == arm)
+    tr = _with_indicators(train, feature_cols, fills).where(F.col(ARM) == arm)
     return Pipeline(stages=[*_prep_stages(feature_cols), _base_learner(cfg)]).fit(tr)
 
 
-def score_s(test: DataFrame, model: PipelineModel, feature_cols: Sequence[str]) -> DataFrame:
+def score_s(test: DataFrame, model: PipelineModel, feature_cols: Sequence[str],
+            fills: dict[str, float]) -> DataFrame:
     """s_score = p(x, 1) - p(x, 0); both counterfactual predictions are appended
     to the same frame, so scoring adds no shuffle."""
-    te = _with_indicators(test, feature_cols)
+    te = _with_indicators(test, feature_cols, fills)
     te = _score(te.withColumn("_arm", F.lit(1.0)), model, "_p1")
     te = _score(te.withColumn("_arm", F.lit(0.0)), model, "_p0")
     return te.withColumn("s_score", F.col("_p1") - F.col("_p0")).drop("_p1", "_p0", "_arm")
 
 
 def score_t(test: DataFrame, treated: PipelineModel, control: PipelineModel,
-            feature_cols: Sequence[str]) -> DataFrame:
+            feature_cols: Sequence[str], fills: dict[str, float]) -> DataFrame:
     """t_score = p_treated(x) - p_control(x)."""
-    te = _with_indicators(test, feature_cols)
+    te = _with_indicators(test, feature_cols, fills)
     te = _score(te, treated, "_pt")
     te = _score(te, control, "_pc")
     return te.withColumn("t_score", F.col("_pt") - F.col("_pc")).drop("_pt", "_pc")
@@ -118,13 +124,15 @@ def score_t(test: DataFrame, treated: PipelineModel, control: PipelineModel,
 
 def s_learner(train: DataFrame, test: DataFrame, feature_cols: Sequence[str],
               cfg: AnalysisConfig) -> DataFrame:
-    return score_s(test, fit_s_model(train, feature_cols, cfg), feature_cols)
+    fills = exact_fills(train, feature_cols)
+    return score_s(test, fit_s_model(train, feature_cols, cfg, fills), feature_cols, fills)
 
 
 def t_learner(train: DataFrame, test: DataFrame, feature_cols: Sequence[str],
               cfg: AnalysisConfig) -> DataFrame:
-    return score_t(test, fit_arm_model(train, feature_cols, cfg, 1),
-                   fit_arm_model(train, feature_cols, cfg, 0), feature_cols)
+    fills = exact_fills(train, feature_cols)
+    return score_t(test, fit_arm_model(train, feature_cols, cfg, 1, fills),
+                   fit_arm_model(train, feature_cols, cfg, 0, fills), feature_cols, fills)
 
 
 def uplift_scores(segmented: DataFrame, feature_cols: Sequence[str], cfg: AnalysisConfig,
@@ -152,6 +160,7 @@ def uplift_scores(segmented: DataFrame, feature_cols: Sequence[str], cfg: Analys
         seg_df = segmented() if callable(segmented) else segmented
         fit_df = split_of(seg_df, ["rfm_segment"])
     train = fit_df.where(F.col("split") == "train")
+    fills = exact_fills(train, feature_cols)
     sc = train.sparkSession.sparkContext
 
     def in_pool(fit):
@@ -161,13 +170,13 @@ def uplift_scores(segmented: DataFrame, feature_cols: Sequence[str], cfg: Analys
             return fit()
         return run
 
-    fits = [in_pool(lambda: fit_s_model(train, feature_cols, cfg)),
-            in_pool(lambda: fit_arm_model(train, feature_cols, cfg, 1)),
-            in_pool(lambda: fit_arm_model(train, feature_cols, cfg, 0))]
+    fits = [in_pool(lambda: fit_s_model(train, feature_cols, cfg, fills)),
+            in_pool(lambda: fit_arm_model(train, feature_cols, cfg, 1, fills)),
+            in_pool(lambda: fit_arm_model(train, feature_cols, cfg, 0, fills))]
     with ThreadPoolExecutor(max_workers=3) as pool:
         s_model, t_model, c_model = [f.result() for f in [pool.submit(fn) for fn in fits]]
     seg_df = segmented() if callable(segmented) else segmented
     test = split_of(seg_df, ["rfm_segment"]).where(F.col("split") == "test")
-    scored = score_s(test, s_model, feature_cols)
-    scored = score_t(scored, t_model, c_model, feature_cols)
+    scored = score_s(test, s_model, feature_cols, fills)
+    scored = score_t(scored, t_model, c_model, feature_cols, fills)
     return scored.select(ID, ARM, OUTCOME, "rfm_segment", "split", "s_score", "t_score")

@@ -372,9 +372,27 @@ def explore_revalidation(c: Context) -> DataFrame:
                                                            k.cycle, k.rank_kw))
 
 
+@query
+def learner_evaluation(c: Context) -> DataFrame:
+    """O-59/O-60/O-64: Qini, AUUC and uplift@30% of the S- and the T-learner."""
+    return cur.learner_evaluation(c.scored_model, k=c.config.k_percent, rank_kw=c.config.rank_kw)
+
+
+@query
+def score_evaluation(c: Context) -> DataFrame:
+    """O-59/O-60/O-64: the same evaluation of the fixed score, which SQL can follow."""
+    return cur.learner_evaluation(c.scored_fixed, ("score",), c.config.k_percent, c.config.rank_kw)
+
+
+@query
+def scored_rows(c: Context) -> DataFrame:
+    """O-52/O-57: what the scored table holds besides the scores."""
+    return c.scored_model.select("client_id", "treatment_flg", "target", "rfm_segment", "split")
+
+
 @query
 def model_policy_readout(c: Context) -> DataFrame:
-    """O-61..O-68 on the T-learner score: decile table joined with policy value."""
+    """O-61..O-68 on the T-learner score: policy value, guardrails and decile concentration in one row."""
     k = c.config
     t = pol.targeting_policy(c.scored_model, "t_score", k.k_percent, k.rank_kw)
     parts = [pol.policy_value(t, k.k_percent), pol.policy_guardrails(t),

@@ -20,7 +20,8 @@ from cartlift.operators import curves, effects, monitoring, policy, product, val
 from cartlift.operators.features import customer_features, feature_names
 from cartlift.operators.readout import launch_readout
 from cartlift.operators.uplift import uplift_scores
-from cartlift.session import materialize
+from cartlift.session import drop_tables, materialize, written_tables
+from cartlift.sources.raw import load_tables, sample_customers, sampled_purchases, write_tables
 
 
 class Run:
@@ -59,7 +60,8 @@ class Run:
     # product analytics
     def features(self) -> DataFrame:
         return self._get("customer_features", lambda: materialize(customer_features(
-            self.t["train"], self.t["clients"], self.t["purchases"], self.as_of, self.gender_cats)))
+            self.t["train"], self.t["clients"], self.t["purchases"], self.as_of, self.gender_cats,
+            self.cfg.null_future_dates, self.cfg.approximate_breadth)))
 
     def segmented(self) -> DataFrame:
         return self._get("segmented", lambda: materialize(
@@ -74,30 +76,47 @@ class Run:
             uplift_scores(seg, self.feature_cols(), c, fit_source=self.features())))
         targeted = lambda: self._get("targeted", lambda: policy.targeting_policy(
             scored(), self.score_col, c.k_percent, c.rank_kw))
-        assigned = lambda: monitoring.epsilon_assignment(
-            scored(), self.score_col, c.epsilon, c.k_percent, c.cycle, c.rank_kw)
+        assigned = lambda: self._get("assigned", lambda: monitoring.epsilon_assignment(
+            scored(), self.score_col, c.epsilon, c.k_percent, c.cycle, c.rank_kw))
+        deciles = lambda: self._get("deciles", lambda: materialize(curves.decile_table(
+            scored(), self.score_col, c.rank_kw)))
+        retention = lambda: self._get("retention", lambda: materialize(
+            product.cohort_retention(self.t["purchases"])))
         return {
             "customer_features": self.features,
             "core_metrics": lambda: product.core_metrics(self.features(), c.rank_kw),
-            "cohort_retention": lambda: product.cohort_retention(self.t["purchases"]),
+            "cohort_retention": retention,
+            "cohort_matrix": lambda: product.cohort_matrix(retention()),
             "segment_sizes": lambda: product.segment_sizes(seg()),
             "experiment_design": lambda: validity.experiment_design(
                 self.features(), c.window_days, c.mde, c.alpha, c.power),
+            "split_counts": lambda: validity.split_counts(self.t["train"]),
             "srm": lambda: validity.srm_test(self.t["train"], c.srm_ratio, c.srm_alpha),
             "covariate_balance": lambda: validity.covariate_balance(
                 self.features(), self.feature_cols(), c.smd_threshold),
+            "balance_worst5": lambda: validity.worst_balance(validity.covariate_balance(
+                self.features(), self.feature_cols(), c.smd_threshold)),
             "arm_rates": lambda: validity.arm_rates(self.features()),
             "ate_by_segment": lambda: effects.ate_by_group(seg(), "rfm_segment", product.SEGMENTS, c.ci_z),
-            "launch_readout": lambda: launch_readout(seg(), feature_names(seg()), c),
+            "launch_readout": lambda: launch_readout(seg(), feature_names(seg()), c, c.approximate_medians),
             "uplift_scores": scored,
-            "uplift_deciles": lambda: curves.decile_table(scored(), self.score_col, c.rank_kw),
+            "learner_evaluation": lambda: curves.learner_evaluation(scored(), k=c.k_percent, rank_kw=c.rank_kw),
+            "uplift_deciles": deciles,
+            "decile_concentration": lambda: curves.decile_concentration(deciles()),
             "qini_auc": lambda: curves.normalized_auc(scored(), self.score_col, "qini", c.rank_kw),
             "uplift_auc": lambda: curves.normalized_auc(scored(), self.score_col, "uplift", c.rank_kw),
             "policy_value": lambda: policy.policy_value(targeted(), c.k_percent),
+            "uplift_at_k": lambda: policy.uplift_at_k(targeted(), c.k_percent),
+            "policy_economics": lambda: policy.policy_economics(
+                policy.policy_value(targeted(), c.k_percent), c.unit_value, c.unit_cost),
             "policy_guardrails": lambda: policy.policy_guardrails(targeted()),
-            "psi_drift": lambda: monitoring.psi(monitoring.period_halves(scored(), c.period_salt),
-                                                [self.score_col], bins=c.psi_bins, rank_kw=c.rank_kw),
+            "psi_drift": lambda: monitoring.psi(
+                monitoring.period_halves(scored().join(self.features().select("client_id", *c.key_features), "client_id"),
+                                         c.period_salt),
+                [self.score_col, *c.key_features], bins=c.psi_bins, rank_kw=c.rank_kw),
             "epsilon_buckets": lambda: monitoring.epsilon_buckets(assigned()),
+            "explore_share": lambda: monitoring.explore_share(assigned()),
+            "explore_revalidation": lambda: monitoring.explore_revalidation(assigned()),
         }
 
 
@@ -108,6 +127,31 @@ def run(spark: SparkSession, tables: dict[str, DataFrame], config: AnalysisConfi
     return {name: build() for name, build in r.outputs().items()}
 
 
+def run_from_paths(spark: SparkSession, paths: dict[str, str], out: str, config: AnalysisConfig | None = None,
+                   fmt: str = "parquet", **kw) -> list[str]:
+    """From source files to written result tables; returns the tables' names.
+
+    Reads ``train``, ``clients`` and ``purchases`` from ``paths``, keeps a
+    keyed sample of the customers if ``sample_frac`` is set, writes every
+    output under ``out/<name>`` and drops the intermediate tables.
+    """
+    config = config or AnalysisConfig()
+    mark = written_tables()
+    try:
+        train, clients, purchases = load_tables(spark, paths, fmt)
+        if config.sample_frac is not None:
+            train = sample_customers(train, config.sample_frac, config.sample_salt)
+            purchases = sampled_purchases(purchases, train)
+        r = Run(spark, {"train": train, "clients": clients, "purchases": purchases}, config, **kw)
+        names = []
+        for name, build in r.outputs().items():
+            write_tables({name: build()}, out)
+            names.append(name)
+        return names
+    finally:
+        drop_tables(spark, mark)
+
+
 def timed_run(spark: SparkSession, tables: dict[str, DataFrame], config: AnalysisConfig | None = None,
               jobs: dict[str, int] | None = None, parallel: int = 1, **kw) -> dict[str, float]:
     """Run every output to completion and return wall seconds per output.

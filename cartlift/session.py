@@ -102,4 +102,25 @@ def materialize(df, name: str | None = None):
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/tables/{name or 'table'}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _written.append(path)
     return spark.read.parquet(path)
+
+
+_written: list[str] = []  # folders of materialised tables, in the order of writing
+
+
+def written_tables() -> int:
+    """A mark for :func:`drop_tables`: how many tables were materialised so far."""
+    return len(_written)
+
+
+def drop_tables(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables that :func:`materialize` wrote after the mark; frames
+    that read them must not be used any more.  Returns their number."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    gone = _written[since:]
+    del _written[since:]
+    for p in gone:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(gone)

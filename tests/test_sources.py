@@ -90,3 +90,65 @@ def test_pipeline_run_builds_every_output(spark):
     assert out["launch_readout"].first().decision in ("LAUNCH", "HOLD")
     assert out["uplift_deciles"].count() == 10
     assert out["customer_features"].count() == 112
+
+
+def test_run_from_paths_to_written_tables(spark, tmp_path):
+    """Source files in, every result table out, no intermediate table left."""
+    import os
+
+    from cartlift.config import AnalysisConfig
+    from cartlift.plans.pipeline import Run, run_from_paths
+    from cartlift.session import ensure_checkpoint_dir
+    from cartlift.sources.fixtures import fixture_tables
+    from cartlift.sources.raw import sample_customers
+
+    tables = fixture_tables(spark, "/root/testdata/sf0.01")
+    paths = {}
+    for name in ("train", "clients", "purchases"):
+        paths[name] = str(tmp_path / name)
+        tables[name].write.parquet(paths[name])
+    folder = ensure_checkpoint_dir(spark).replace("file:", "") + "/tables"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    cfg = AnalysisConfig.fixture().with_(sample_frac=0.3, null_future_dates=True, approximate_breadth=True,
+                                         approximate_medians=True, learner="logistic")
+    out = str(tmp_path / "out")
+    names = run_from_paths(spark, paths, out, cfg)
+    assert set(names) == set(Run(spark, tables, cfg).outputs())
+    got = {n: spark.read.parquet(f"{out}/{n}") for n in names}
+    assert all(df.count() >= 1 for df in got.values())
+    kept = sample_customers(tables["train"], 0.3).count()
+    assert got["customer_features"].count() == kept < tables["train"].count()
+    assert {r["feature"] for r in got["psi_drift"].collect()} == {"t_score", *cfg.key_features}
+    assert [r["score_col"] for r in got["learner_evaluation"].orderBy("score_col").collect()] == ["s_score", "t_score"]
+    assert set(os.listdir(folder)) == before
+
+
+def test_text_times_keep_their_wall_clock(spark):
+    """Text times in a daylight-saving gap stay as written; junk becomes NULL."""
+    from cartlift.sources.raw import parse_timestamp
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.createDataFrame([("2023-03-12 02:30:00",), ("2019-01-07 00:00:01",), ("soon",), (None,)], "t string")
+        got = [r[0] for r in df.select(parse_timestamp("t").cast("string")).collect()]
+        assert got == ["2023-03-12 02:30:00", "2019-01-07 00:00:01", None, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_cluster_session_leaves_shuffle_partitions_alone(spark):
+    from cartlift.session import build_session
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "37")
+        assert build_session(master=None).conf.get("spark.sql.shuffle.partitions") == "37"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_categories_come_from_the_joined_customers(spark):
+    """A category found only outside the experiment adds no column."""
+    from cartlift.operators.features import gender_categories
+    train = spark.createDataFrame([("c1", 1, 0), ("c2", 0, 1)], "client_id string, target int, treatment_flg int")
+    clients = spark.createDataFrame([("c1", "M"), ("c2", "F"), ("c3", "A"), ("c1x", None)], "client_id string, gender string")
+    assert gender_categories(train, clients) == ["F", "M"]
