@@ -49,7 +49,8 @@ def main() -> None:
                       "queries": {k: round(v, 3) for k, v in times.items()},
                       "sf": float(m.group(1)) if m else sf_dir,
                       "warmup_sec": round(warmup, 3), "cpus": cpus, "driver_threads": parallel, "land_sources": land,
-                      "spark_jobs": sum(jobs.values())}))
+                      "spark_jobs": sum(jobs.values()), "learner_rounds": AnalysisConfig.fixture().learner_iters,
+                      "learner_rounds_default": AnalysisConfig().learner_iters}))
     spark.stop()
 
 

@@ -7,7 +7,8 @@ runs the engine's operators on them; results pass through :func:`present`
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,11 +18,32 @@ from cartlift.plans.context import Context
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+_shared: dict | None = None
+
+
+@contextmanager
+def shared_contexts() -> Iterator[None]:
+    """Within this block queries over one directory share their customer and
+    scored tables instead of building them anew (used by tests)."""
+    global _shared
+    _shared = {}
+    try:
+        yield
+    finally:
+        _shared = None
+
+
+def _context(spark: SparkSession, sf_dir: str) -> Context:
+    if _shared is None:
+        return Context(spark, sf_dir)
+    return _shared.setdefault(sf_dir, Context(spark, sf_dir))
+
+
 def query(fn: Callable[[Context], DataFrame]):
     name = fn.__name__
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return present(fn(Context(spark, sf_dir)))
+        return present(fn(_context(spark, sf_dir)))
 
     run.__name__ = name
     run.__doc__ = fn.__doc__
@@ -144,7 +166,7 @@ from cartlift.operators.features import feature_names  # noqa: E402
 def experiment_design(c: Context) -> DataFrame:
     """O-28..O-30: base rate, Cohen's h, required and achievable sizes."""
     k = c.config
-    return val.experiment_design(c.features, k.window_days, k.mde, k.alpha, k.power)
+    return val.experiment_design(c.features_once, k.window_days, k.mde, k.alpha, k.power)
 
 
 @query
@@ -207,7 +229,7 @@ def two_proportion_z(c: Context) -> DataFrame:
 @query
 def ate_cuped(c: Context) -> DataFrame:
     """O-40..O-42: CUPED-adjusted effect."""
-    return eff.ate_cuped(c.features, c.config.window_days)
+    return eff.ate_cuped(c.features_once, c.config.window_days)
 
 
 @query

@@ -42,6 +42,12 @@ class Context:
         """Customer table, checkpointed: read by many later jobs."""
         return materialize(self.features_lazy())
 
+    @property
+    def features_once(self) -> DataFrame:
+        """The customer table for a single aggregate: read as it is if it was
+        written already, else left lazy, so that only the needed columns are built."""
+        return self.__dict__.get("features") or self.features_lazy()
+
     @cached_property
     def segmented(self) -> DataFrame:
         from cartlift.operators.product import attach_segments

@@ -30,10 +30,8 @@ def test_rankings_have_no_window_over_all_rows(spark):
 
 
 def test_no_registered_query_plans_a_cross_join(spark):
-    import __spark_entry__ as E
-    slow = {"uplift_scores", "model_policy_readout", "launch_readout", "ate_adjusted"}
-    for name, fn in E.queries().items():
-        if name in slow:
-            continue
-        plan = _plan(fn(spark, "/root/testdata/sf0.001"))
+    from cartlift.plans.catalog import QUERIES, shared_contexts
+    with shared_contexts():
+        plans = {name: _plan(fn(spark, "/root/testdata/sf0.001")) for name, fn in QUERIES.items()}
+    for name, plan in plans.items():
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
