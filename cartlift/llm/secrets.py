@@ -113,13 +113,13 @@ def ownership(candidates: DataFrame) -> DataFrame:
 def classified(found: DataFrame, repo_col: str, max_owners: int) -> DataFrame:
     """Spans with ownership counts and ``status`` (owned, copied or other).
 
-    ``found`` must be written already: columns ``rid``, ``repo_col``, ``__spans``.
+    ``found`` must be written already: columns ``__rid``, ``repo_col``, ``__spans``.
     """
-    flat = (found.select("rid", F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"),
+    flat = (found.select("__rid", F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"),
                          F.explode("__spans").alias("s"))
-            .select("rid", "repo", owner_of(F.col("repo")).alias("owner"), "s.*",
+            .select("__rid", "repo", owner_of(F.col("repo")).alias("owner"), "s.*",
                     F.sha2(F.col("s.value").cast("binary"), 256).alias("value_hash")))
-    counts = ownership(flat.select("rid", "repo", "owner", "value_hash").distinct())
+    counts = ownership(flat.select("__rid", "repo", "owner", "value_hash").distinct())
     random_like = F.udf(lambda v: looks_random(v), "boolean")  # on candidates only, a few rows per thousand documents
     return (flat.join(counts, "value_hash")
             .withColumn("status", F.when(F.col("n_owners") > max_owners, F.lit("copied"))
@@ -132,19 +132,19 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (kind, start, end, value_start, value_hash, status, n_owners, n_repos, n_docs), where an
     owned value has a second entry of kind ``owned`` over the value alone.
     Documents without findings have an empty array."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"),
+    rows = docs.select(F.monotonically_increasing_id().alias("__rid"), F.col(id_col).alias("id"),
                        F.col(repo_col).alias("repo"), F.col(text_col).cast("string").alias("text"))
     found = materialize(with_spans(rows).drop("text"), "secret_spans")
     marked = classified(found, "repo", max_owners)
     fields = ["kind", "start", "end", "value_start", "value_hash", "status", "n_owners", "n_repos", "n_docs"]
-    base = marked.where("kind <> 'generic'").select("rid", *fields)
+    base = marked.where("kind <> 'generic'").select("__rid", *fields)
     owned = (marked.where("status = 'owned'")
              .withColumn("start", F.col("value_start")).withColumn("end", F.col("start") + F.char_length("value"))
-             .withColumn("kind", F.lit("owned")).select("rid", *fields).distinct())
-    per_doc = base.unionByName(owned).groupBy("rid").agg(F.collect_list(F.struct(*fields)).alias("findings"))
-    some = found.where(F.size("__spans") > 0).select("rid", "id").join(per_doc, "rid", "left")
+             .withColumn("kind", F.lit("owned")).select("__rid", *fields).distinct())
+    per_doc = base.unionByName(owned).groupBy("__rid").agg(F.collect_list(F.struct(*fields)).alias("findings"))
+    some = found.where(F.size("__spans") > 0).select("__rid", "id").join(per_doc, "__rid", "left")
     none = found.where(F.size("__spans") == 0).select(
-        "rid", "id", F.lit(None).cast(per_doc.schema["findings"].dataType).alias("findings"))
+        "__rid", "id", F.lit(None).cast(per_doc.schema["findings"].dataType).alias("findings"))
     return some.unionByName(none).select(
         F.col("id").alias(id_col),
         F.coalesce("findings", F.array().cast(per_doc.schema["findings"].dataType)).alias("findings"))
@@ -200,13 +200,13 @@ def redact(docs: DataFrame, text_col: str = "text", repo_col: str = "source", n_
     counts reveal by ``[SECRET]``.  Documents without findings pass unchanged."""
     scanned = with_spans(docs, text_col)
     clean = scanned.where(F.size("__spans") == 0).drop("__spans")
-    dirty = materialize(scanned.where(F.size("__spans") > 0).withColumn("rid", F.monotonically_increasing_id()),
+    dirty = materialize(scanned.where(F.size("__spans") > 0).withColumn("__rid", F.monotonically_increasing_id()),
                         "secret_rows")
     marked = classified(dirty, repo_col, max_owners).where("kind <> 'generic' or status = 'owned'")
-    cuts = marked.groupBy("rid").agg(F.collect_list(F.struct(
+    cuts = marked.groupBy("__rid").agg(F.collect_list(F.struct(
         F.col("value_start").alias("s"), (F.col("value_start") + F.char_length("value")).alias("e"),
         F.when(F.col("status") == "copied", F.lit("EXAMPLE")).otherwise(F.lit("SECRET")).alias("label"))).alias("__cuts"))
-    joined = dirty.drop("__spans").join(cuts, "rid", "left").drop("rid")
+    joined = dirty.drop("__spans").join(cuts, "__rid", "left").drop("__rid")
     apply = F.udf(lambda t, cs: redact_text(t, [(c["s"], c["e"], c["label"]) for c in cs]) if cs else t, "string")
     fixed = joined.withColumn(text_col, apply(text_col, "__cuts")).drop("__cuts")
     if n_chars_col and n_chars_col in docs.columns:
