@@ -78,7 +78,7 @@ def test_family_without_a_centre(spark):
 
 
 def test_blocks_find_what_hubs_miss(spark, monkeypatch):
-    """Small blocks and one partner a round give the same pairs in the end."""
+    """Families compared in many small blocks give the same links."""
     monkeypatch.setattr(N, "BLOCK", 8)
     rng = np.random.default_rng(6)
     rows = []
