@@ -32,7 +32,7 @@ def test_ols_hc1_matches_numpy(spark):
     df = spark.createDataFrame(pdf.astype({"x1": "float64"})).repartition(5)
     cols = ["treatment_flg", "x1", "x2", "x3", "zero"]
     mom = ols.column_moments(df, cols)
-    fill = ols.impute_medians(df, cols, tie_col="client_id", moments=mom)
+    fill = ols.impute_medians(df, cols, moments=mom)
     assert abs(fill["x1"] - np.nanmedian(x1_obs)) < 1e-12
     res = ols.ols_hc1(df, "target", cols, fill, moments=mom)
     X = np.column_stack([np.ones(n), arm, np.where(np.isnan(x1_obs), np.nanmedian(x1_obs), x1_obs), x2, x3, const])
