@@ -12,10 +12,11 @@ away) is dropped; all others are confirmed on the full sets.
 Buckets never emit all pairs.  Each bucket links its members to one hub, a
 different random one in each band; pairs are confirmed in rounds, and a pair
 whose documents are in one component already is skipped.  What hubs can't show
-is then closed exactly: in buckets whose other members still lie in several
-components, members are compared by sketch, block by block; first each
-member's best partner in another component is confirmed, then all partners
-that are still in other components and within the sketch bound, each pair once.
+is then closed exactly, in two parts.  Nodes joined by pairs within the sketch
+bound, confirmed or not, are a *family*; families that hold several components
+are compared whole, block by block, and the tasks confirm on full sets and give
+only links that join components.  Members of one bucket but of different
+families are compared by sketch, and the few pairs within the bound confirmed.
 
 With 48 bands of 5 samples a pair at similarity 0.8 shares no band with
 probability 5e-9.  Defined cases: null text counts as empty; a document without
@@ -213,65 +214,100 @@ def merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return materialize(known.unionByName(new), "labels")
 
 
-def open_members(buckets: DataFrame, labels: DataFrame | None, nodes: DataFrame) -> DataFrame:
+def blocks_of(members: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Members (``key``, ``m`` members in all) dealt into blocks of about
+    BLOCK; a row for each pair of blocks (i, j) that a member's block is in."""
+    dealt = members.withColumn("of", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn(
+        "at", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
+    return dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select(
+        key, F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "at", "node", *columns)
+
+
+def within_bound(t: pa.Table, left: np.ndarray, right: np.ndarray, group: str, percent: int, limit: int):
+    """Index pairs (and XOR counts) whose sketches and sizes allow the
+    threshold and whose ``group`` differs, some rows of ``left`` at a time."""
+    comp, n = t.column(group).to_numpy(), t.column("n").to_numpy()
+    sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+    for s in range(0, len(left), 32):
+        l = left[s:s + 32]
+        diff = np.zeros((len(l), len(right)), np.int64)
+        for word in range(sk.shape[1]):
+            diff += np.bitwise_count(sk[l, word][:, None] ^ sk[right, word][None, :])
+        ok = (diff <= limit) & (comp[l][:, None] != comp[right][None, :])
+        ok &= 100 * np.minimum(n[l][:, None], n[right][None, :]) >= percent * np.maximum(n[l][:, None], n[right][None, :])
+        x, y = np.nonzero(ok)
+        if len(x):
+            yield l[x], right[y], diff[x, y]
+
+
+def family_links(families: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, width: int,
+                 percent: int, limit: int) -> DataFrame:
+    """Links between different components of one family, confirmed on full
+    sets; of a pair of blocks only links that join something."""
+    named = families.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = (named.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
+             .where("lo <> hi").select("family", "m"))
+    members = (named.join(mixed, "family").join(nodes.select("node", "n", "sketch"), "node").join(texts, "node"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        at, node, comp = (t.column(c).to_numpy() for c in ("at", "node", "comp"))
+        hashes, sets, joined = WordHashes(limit=150_000), {}, {}
+
+        def root(c: int) -> int:
+            while joined.get(c, c) != c:
+                c = joined[c]
+            return c
+
+        def own(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingle_set(texts_[k].as_py(), width, hashes)
+            return sets[k]
+
+        texts_, links = t.column("text"), []
+        for x, y, diff in within_bound(t, np.flatnonzero(at == i), np.flatnonzero(at == j), "comp", percent, limit):
+            for k in np.argsort(diff, kind="stable").tolist():  # the likeliest links first
+                a, b = int(x[k]), int(y[k])
+                ca, cb = root(int(comp[a])), root(int(comp[b]))
+                if ca != cb and similar(own(a), own(b), percent):
+                    joined[max(ca, cb)] = min(ca, cb)
+                    links.append((int(node[a]), int(node[b])))
+        return pa.table({"a": pa.array([l[0] for l in links], pa.int64()), "b": pa.array([l[1] for l in links], pa.int64())})
+
+    return (blocks_of(members, "family", "comp", "n", "sketch", "text").groupBy("family", "i", "j")
+            .applyInArrow(compare, "a long, b long"))
+
+
+def open_members(buckets: DataFrame, families: DataFrame, nodes: DataFrame) -> DataFrame:
     """Members, without the hub, of buckets whose members other than the hub
-    lie in several components, with component, size, band keys and sketch."""
+    lie in several families, with family, size, band keys and sketch."""
     rest = buckets.where((F.col("node") != F.col("hub")) & (F.col("m") >= 3)).select("key", "band", "node")
-    if labels is None:
-        named = rest.withColumn("comp", F.col("node"))
-    else:
-        named = rest.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = (named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
+    named = rest.join(families, "node", "left").withColumn("family", F.coalesce("family", "node"))
+    mixed = (named.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi"), F.count(F.lit(1)).alias("m"))
              .where("lo <> hi").select("key", "m"))
     return named.join(mixed, "key").join(nodes.select("node", "n", "keys", "sketch"), "node")
 
 
-def block_pairs(members: DataFrame, percent: int, limit: int, best: int | None) -> DataFrame:
-    """Pairs of members of one bucket but different components whose sketches
-    allow the threshold; of each member its ``best`` partners in a pair of
-    blocks, or all (None).  A pair is given by the first band it shares only.
-
-    A bucket of more than BLOCK members is dealt into blocks, and each pair of
-    blocks is compared by one task, so no task ever holds a whole large bucket.
-    """
-    blocks = members.withColumn("of", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn(
-        "at", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
-    placed = blocks.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select(
-        "key", "band", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "at",
-        "node", "comp", "n", "keys", "sketch")
-
+def block_pairs(members: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Pairs of members of one bucket but different families whose sketches
+    allow the threshold, each by the first band that both share only."""
     def compare(t: pa.Table) -> pa.Table:
         i, j, band = t.column("i")[0].as_py(), t.column("j")[0].as_py(), t.column("band")[0].as_py()
         at, node = t.column("at").to_numpy(), t.column("node").to_numpy()
-        comp, n = t.column("comp").to_numpy(), t.column("n").to_numpy()
-        sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(t.num_rows, -1)
         keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.int64).reshape(t.num_rows, -1)
-        left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
         one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for s in range(0, len(left), 32):
-            l = left[s:s + 32]
-            diff = np.zeros((len(l), len(right)), np.int64)
-            for word in range(sk.shape[1]):
-                diff += np.bitwise_count(sk[l, word][:, None] ^ sk[right, word][None, :])
-            ok = (diff <= limit) & (comp[l][:, None] != comp[right][None, :])
-            ok &= 100 * np.minimum(n[l][:, None], n[right][None, :]) >= percent * np.maximum(n[l][:, None], n[right][None, :])
-            x, y = np.nonzero(ok)
-            if best is not None and len(x):
-                order = np.lexsort((diff[x, y], x))
-                x, y = x[order], y[order]
-                first = np.searchsorted(x, x)
-                near = np.arange(len(x)) - first < best
-                x, y = x[near], y[near]
-            for c in range(0, len(x), 4096):  # the first band that both share must be this bucket's
-                a, b = l[x[c:c + 4096]], right[y[c:c + 4096]]
-                own = (keys[a] == keys[b]).argmax(1) == band
-                one.append(node[a[own]])
-                two.append(node[b[own]])
+        for x, y, _ in within_bound(t, np.flatnonzero(at == i), np.flatnonzero(at == j), "family", percent, limit):
+            for c in range(0, len(x), 4096):
+                a, b = x[c:c + 4096], y[c:c + 4096]
+                first = (keys[a] == keys[b]).argmax(1) == band
+                one.append(node[a[first]])
+                two.append(node[b[first]])
         a, b = np.concatenate(one), np.concatenate(two)
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
         return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
-    return placed.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+    return (blocks_of(members, "key", "band", "family", "n", "keys", "sketch").groupBy("key", "i", "j")
+            .applyInArrow(compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
@@ -300,16 +336,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     labels = None
     for lo, hi in ((0, 4), (4, 16), (16, bands)):
-        pairs = apart(stars.where(F.col("band").between(lo, hi - 1)).select("a", "b"), labels)
+        # written once: the confirmation reads the pairs several times
+        pairs = materialize(apart(stars.where(F.col("band").between(lo, hi - 1)).select("a", "b"), labels), "pairs")
         links = materialize(confirm(pairs, texts, width, percent), "links")
         labels = merge(labels, links)
-    tested = stars.select("a", "b")
-    for best in (1, None):
-        found = materialize(block_pairs(open_members(buckets, labels, nodes), percent, limit, best).distinct()
-                            .join(tested, ["a", "b"], "left_anti"), "block_pairs")
-        links = materialize(confirm(found, texts, width, percent), "links")
-        labels = merge(labels, links)
-        tested = tested.unionByName(found)
+    families = connected_components(stars).withColumnRenamed("comp", "family")
+    labels = merge(labels, materialize(family_links(families, labels, nodes, texts, width, percent, limit), "links"))
+    found = materialize(block_pairs(open_members(buckets, families, nodes), percent, limit).distinct()
+                        .join(stars.select("a", "b"), ["a", "b"], "left_anti"), "block_pairs")
+    labels = merge(labels, materialize(confirm(found, texts, width, percent), "links"))
 
     named = nodes.select("digest", "node", "min_id").join(labels, "node", "left").withColumn(
         "comp", F.coalesce("comp", "node"))
