@@ -244,7 +244,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             _, _, h1, h2, _ = open_windows(Windows(unpack(payload)[1], window, hashes), replies)
             yield _sent(bundle, *by_block(h1, window_blocks), h1, h2)
 
-    known = held.drop("n_words").join(anchors.withColumnRenamed("replies", "anchors"), "bundle", "left")
+    # answers grow with the corpus like the bundles: both sides are dealt by bundle at every size
+    known = held.drop("n_words").hint("shuffle_merge").join(anchors.withColumnRenamed("replies", "anchors"), "bundle", "left")
     windows = materialize(_per_bundle(answer(known.mapInArrow(send_windows, sent), 12)), "windows_seen")
 
     fields = [T.StructField(id_col, id_type), T.StructField("n_words", T.LongType()),
@@ -273,7 +274,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                  pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                  pa.array(kept, pa.string())], names=[f.name for f in fields])
 
-    ready = known.join(windows.withColumnRenamed("replies", "windows"), "bundle", "left")
+    ready = known.hint("shuffle_merge").join(windows.withColumnRenamed("replies", "windows"), "bundle", "left")
     return ready.select("payload", "anchors", "windows").mapInArrow(finish, T.StructType(fields))
 
 
