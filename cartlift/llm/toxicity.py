@@ -120,11 +120,12 @@ def regularised_fit(y: np.ndarray, feats: list[np.ndarray], swaps: list[tuple[li
     n_pos, n_neg = int((y == 1).sum()), int((y == 0).sum())
     if not n_pos or not n_neg:
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), start)
-    flat = np.concatenate(feats).astype(np.int64)
-    row = np.repeat(np.arange(len(y)), [len(f) for f in feats])
+    flat = np.concatenate(feats)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(f) for f in feats])
     ids, inv = np.unique(flat, return_inverse=True)
-    df1 = np.bincount(inv, weights=(y[row] == 1), minlength=len(ids))
-    df0 = np.bincount(inv, weights=(y[row] == 0), minlength=len(ids))
+    df1 = np.bincount(inv[y[row] == 1], minlength=len(ids))
+    df0 = np.bincount(inv, minlength=len(ids)) - df1
+    del inv
     expect = (df1 + df0) * n_pos / len(y)
     chi = (df1 - expect) ** 2 / np.maximum(expect, 1e-9)
     chi[df1 + df0 < min_docs] = -1
@@ -132,7 +133,7 @@ def regularised_fit(y: np.ndarray, feats: list[np.ndarray], swaps: list[tuple[li
     keep[np.argsort(-chi, kind="stable")[:max_features]] = True
     keep &= chi > 0
     named = Counter(i for s in swaps for side in s for i in side)
-    index = np.union1d(ids[keep], np.array(sorted(named), dtype=np.int64))
+    index = np.union1d(ids[keep].astype(np.int64), np.array(sorted(named), dtype=np.int64))
     pos = np.searchsorted(index, flat)
     ok = (pos < len(index)) & (index[np.minimum(pos, len(index) - 1)] == flat)
     col, row = pos[ok], row[ok]
@@ -155,7 +156,7 @@ def regularised_fit(y: np.ndarray, feats: list[np.ndarray], swaps: list[tuple[li
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic",
-        terms: tuple[str, ...] = IDENTITY_TERMS, max_toxic: int = 4000, max_other: int = 8000) -> ToxicityModel:
+        terms: tuple[str, ...] = IDENTITY_TERMS, max_toxic: int = 1500, max_other: int = 3000) -> ToxicityModel:
     """Fit on rows of ``docs`` and ``labels`` that may be learnt from."""
     known = labels.where(F.col(label_col).isin(0, 1))
     share = known.agg(F.avg(F.col(label_col).cast("double"))).first()[0]
