@@ -18,7 +18,8 @@ language, so the model, which is broadcast, has at most
 ``languages x 2 x chars_per_lang x (alphabet + 2)`` 32-bit cells.
 
 Defined cases: null text or text without a letter gives ``und`` with score 0;
-without any labelled row every text is ``und``; ties go to the first language
+without any labelled row every text is ``und``; ``und`` may be a learnt label
+too, so only the flag of ``identify`` tells whether a text has a letter; ties go to the first language
 in alphabetical order; equal ids are scored row by row; other columns are
 ignored.
 """
@@ -135,11 +136,13 @@ def phrase_counts(lanes: np.ndarray, table: np.ndarray, pad: int) -> np.ndarray:
     return count + 1  # the phrase still open
 
 
-def classify(texts: list[str | None], model: LanguageModel, table: np.ndarray) -> list[tuple[str, float]]:
-    """(language, score) of each text; score = runner-up's phrases / both languages' phrases."""
+def classify(texts: list[str | None], model: LanguageModel, table: np.ndarray) -> list[tuple[str, float, bool]]:
+    """(language, score, has a letter) of each text; score = runner-up's phrases / both languages' phrases."""
     codes = [encode(t, table, model.unknown) if t else np.zeros(0, table.dtype) for t in texts]
     some = [i for i, c in enumerate(codes) if len(c) and c.any()]
-    out = [(UNDETERMINED, 0.0)] * len(texts)
+    out = [(UNDETERMINED, 0.0, False)] * len(texts)
+    for i in some:
+        out[i] = (UNDETERMINED, 0.0, True)
     langs = sorted(model.tables)
     if not some or not langs:
         return out
@@ -156,7 +159,7 @@ def classify(texts: list[str | None], model: LanguageModel, table: np.ndarray) -
     best = np.take_along_axis(phrases, order[:1], 0)[0]
     second = np.take_along_axis(phrases, order[1:2], 0)[0] if len(langs) > 1 else best * 0 + 1
     for j, i in enumerate(some):
-        out[i] = (langs[order[0, j]], float(second[j] / (second[j] + best[j])))
+        out[i] = (langs[order[0, j]], float(second[j] / (second[j] + best[j])), True)
     return out
 
 
@@ -189,22 +192,25 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", pred_col: str = "lang_pred",
-             score_col: str = "score") -> DataFrame:
-    """All rows and columns, with the predicted language and its score appended."""
+             score_col: str = "score", letter_col: str | None = None) -> DataFrame:
+    """All rows and columns, with the predicted language and its score appended,
+    and as ``letter_col``, if named, whether the text has a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(pred_col, T.StringType()),
-                           T.StructField(score_col, T.DoubleType())])
+                           T.StructField(score_col, T.DoubleType()),
+                           *([T.StructField(letter_col, T.BooleanType())] if letter_col else [])])
 
     def run(batches):
         own = shared.value
         table = code_table(own)
         for b in batches:
-            found: list[tuple[str, float]] = []
+            found: list[tuple[str, float, bool]] = []
             for rows in row_chunks([b], [text_col], 2_000_000):
                 found += classify([r[0] for r in rows], own, table)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([f[0] for f in found], pa.string()),
-                 pa.array([f[1] for f in found], pa.float64())],
-                names=[*b.schema.names, pred_col, score_col])
+                 pa.array([f[1] for f in found], pa.float64()),
+                 *([pa.array([f[2] for f in found], pa.bool_())] if letter_col else [])],
+                names=schema.names)
 
     return docs.mapInArrow(run, schema)

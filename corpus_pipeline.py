@@ -24,11 +24,13 @@ SEQUENCE_TOKENS = 2048
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; a missing ``lang`` is filled in.
-    Rejected (``und``): null texts and texts without a letter."""
-    found = langid.identify(docs, langid.fit(docs), pred_col="__pred", score_col="__score")
-    return (found.where(F.col("__pred") != langid.UNDETERMINED)
-            .withColumn("lang", F.coalesce("lang", "__pred")).select(*docs.columns))
+    """Documents with a letter; a missing ``lang`` is filled in, or stays null
+    if no row is labelled.  Rejected: null texts and texts without a letter."""
+    model = langid.fit(docs)
+    found = langid.identify(docs, model, pred_col="__pred", score_col="__score", letter_col="__letter").where("__letter")
+    if model.tables:
+        found = found.withColumn("lang", F.coalesce("lang", "__pred"))
+    return found.select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-from edge_tables import edge_docs, empty_docs, with_clashes
+from edge_tables import SCHEMA, edge_docs, empty_docs, with_clashes
 from test_near_dup import brute as near_brute
 from test_packing import check_packing
 from test_secrets import base_spans
@@ -54,3 +54,15 @@ def test_edges(spark):
             docs = P.materialize(out, name).select(*docs.columns)
     kept = {r["doc_id"] for r in docs.collect()}
     assert kept == {2, 6, 7, 8, 11, 13, 14, 15, None}  # 12 repeats 11, 9 repeats 8
+
+
+def test_language_stage_rejects_by_letters_only(spark):
+    """Neither a corpus without labels nor the label ``und`` loses a text with a letter."""
+    rows = [(1, "one plain text", "a"), (2, "another text", "b"), (3, None, "a"), (4, "12 !?", "b"), (5, "été", "a")]
+
+    def kept(langs):
+        docs = spark.createDataFrame([(i, t, langs.get(i), s, 1) for i, t, s in rows], SCHEMA)
+        return {r["doc_id"]: r["lang"] for r in P.language_stage(spark, docs, SF001).collect()}
+    assert kept({}) == {1: None, 2: None, 5: None}
+    assert kept({1: "und"}) == {1: "und", 2: "und", 5: "und"}
+    assert kept({1: "en", 2: "und"}).keys() == {1, 2, 5}
