@@ -45,10 +45,9 @@ class AnalysisConfig:
     @classmethod
     def fixture(cls) -> "AnalysisConfig":
         """The test fixtures measure the outcome over 180 days (FIXTURES.md);
-        their first week of events is the reference slice.  Learners take 25
-        rounds at step 0.2 there, a 20th of the default work; the benchmark
-        says so."""
-        return cls(window_days=180, events_reference_end="2024-01-08", learner_iters=25, learner_step=0.2)
+        their first week of events is the reference slice.  Learners do the
+        default work."""
+        return cls(window_days=180, events_reference_end="2024-01-08")
 
     def with_(self, **kw) -> "AnalysisConfig":
         return replace(self, **kw)

@@ -59,3 +59,12 @@ def test_planted_uplift_is_ranked(spark):
            .toPandas().set_index("decile").sort_index())
     assert dec.heavy.iloc[-3:].mean() > dec.heavy.iloc[:3].mean()
     assert dec.up.iloc[-3:].mean() > dec.up.iloc[:3].mean()
+
+
+def test_registered_learners_do_the_default_work(spark):
+    """Queries, bench and scale bench boost as long as the original analysis."""
+    from cartlift.config import AnalysisConfig
+    from cartlift.plans.context import Context
+    own, full = Context(spark, SF001).config, AnalysisConfig()
+    assert (own.learner, own.learner_iters, own.learner_step) == (full.learner, 500, 0.05)
+    assert AnalysisConfig.fixture() == own and (full.learner_iters, full.learner_step) == (500, 0.05)
