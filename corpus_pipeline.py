@@ -40,9 +40,15 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at 0.8 over 5-word shingles: that with
-    the smallest doc_id.  Rows without an id can't be told apart and stay."""
-    kept = near_duplicates(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    the smallest doc_id, of equal ids the first row; null ids come last.  Rows
+    are told apart by a number that is written once, so ids may repeat."""
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "near_rows")
+    groups = near_duplicates(rows, id_col="__row", width=5, percent=80).select(
+        "__row", F.col("component_id").alias("__group"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"))
+    kept = (groups.join(rows.select("__row", "doc_id"), "__row").groupBy("__group").agg(first.alias("__first"))
+            .select(F.col("__first.__row").alias("__row")))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,16 @@ def test_language_stage_rejects_by_letters_only(spark):
     assert kept({}) == {1: None, 2: None, 5: None}
     assert kept({1: "und"}) == {1: "und", 2: "und", 5: "und"}
     assert kept({1: "en", 2: "und"}).keys() == {1, 2, 5}
+
+
+def test_near_stage_tells_rows_under_one_id_apart(spark):
+    """Near copies under a repeated or null id leave one document of a group."""
+    def text(word, last):
+        return " ".join(f"{word}{i}" for i in range(60)) + f" {last}"
+    rows = [(1, text("a", "x")), (1, text("a", "y")), (2, text("a", "z")), (4, text("b", "x")), (1, text("b", "y")),
+            (3, text("c", "x")), (3, text("a", "w")), (None, text("d", "x")), (None, text("d", "y")),
+            (None, text("b", "z")), (None, "lone text"), (9, "another")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).repartition(3)
+    got = P.near_stage(spark, docs, SF001).collect()
+    assert sorted((r["text"][0], r["doc_id"] or 0) for r in got) == [
+        ("a", 1), ("a", 9), ("b", 1), ("c", 3), ("d", 0), ("l", 0)]
