@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from cartlift.llm import bpe, langid, quality, toxicity
 from cartlift.llm.common import LOWER, UPPER, crc_mod, read_table
 from cartlift.llm.exact_dedup import exact_dedup
+from cartlift.llm.importance import resample
+from cartlift.llm.line_dedup import line_dedup
 from cartlift.llm.near_dup import near_duplicates
 from cartlift.llm.packing import pack
 from cartlift.llm.secrets import digest_spans, scan_secrets
@@ -153,3 +155,76 @@ with d as (
 select d.doc_id, len(ws) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
 from d left join kept using (doc_id)
 """
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document against the benchmark's words; a tenth is drawn."""
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_importance_resampling"] = rf"""
+with recursive tab as (
+  -- CRC-32 byte table: eight shifts of each byte value
+  select list(c order by b) as t from (
+    select b, list_reduce(list_prepend(b, range(8)),
+                          lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+    from (select unnest(range(256)) as b))
+), d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents
+), b as (
+  select regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark
+), dw as (select doc_id, unnest(ws) as w from d
+), bw as (select unnest(ws) as w from b
+), words as (
+  select w, xor(list_reduce(
+      list_prepend(4294967295, list_transform(range(octet_length(encode(w))),
+                   lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::bigint)),
+      lambda c, x: xor(c >> 8, tab.t[1 + (xor(c, x) & 255)])), 4294967295) % 10000 as bucket
+  from (select w from dw union select w from bw), tab
+), s as (select bucket, count(*) as s from dw join words using (w) group by bucket
+), t as (select bucket, count(*) as t from bw join words using (w) group by bucket
+), total as (select (select count(*) from dw)::double as ss, (select count(*) from bw)::double as tt
+), gain as (
+  select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * (ss + 10000)
+                                 / ((coalesce(s, 0) + 1)::double * (tt + 10000))))::bigint as g
+  from s full join t using (bucket), total
+), weighed as (
+  select doc_id, count(*) as n, sum(g)::bigint as weight from dw join words using (w) join gain using (bucket) group by doc_id
+), scored as (
+  select d.doc_id, coalesce(n, 0) as n_features, coalesce(weight, 0)::bigint as weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln(
+           (('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::bigint + 0.5::double) / 4294967296::double))))::bigint as score
+  from d left join weighed using (doc_id)
+), ranked as (
+  select *, row_number() over (order by score desc, doc_id) as r, count(*) over () as total from scored where n_features >= 20
+)
+select s.doc_id, s.n_features, s.weight, s.score, case when r <= total * 10 // 100 then r end as rank
+from scored s left join ranked using (doc_id)
+"""
+
+
+@query
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that three or more of them share."""
+    return line_dedup(read_table(spark, sf_dir, "documents"), min_chars=20, min_docs=3, keep="largest").select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op13_line_dedup"] = rf"""
+with d as (
+  select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents
+), l as (
+  select doc_id, pos, line, trim(translate(line, '{UPPER}', '{LOWER}'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as key
+  from (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as pos from d)
+), common as (
+  select key, max(doc_id) as holder from l where length(key) >= 20 group by key having count(distinct doc_id) >= 3
+), marked as (
+  select l.*, coalesce(l.doc_id <> c.holder, false) as gone from l left join common c using (key)
+)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from marked group by doc_id
+"""
