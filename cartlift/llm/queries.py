@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cartlift.llm import bpe, langid, quality, toxicity
 from cartlift.llm.common import LOWER, UPPER, crc_mod, read_table
+from cartlift.llm.conversations import damage_turns, repair_readout
 from cartlift.llm.exact_dedup import exact_dedup
 from cartlift.llm.importance import resample
 from cartlift.llm.line_dedup import line_dedup
@@ -157,6 +158,13 @@ from d left join kept using (doc_id)
 """
 
 
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every conversation after the planted damage."""
+    turns = read_table(spark, sf_dir, "conversations")
+    return repair_readout(damage_turns(turns), turns)
+
+
 @query
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document against the benchmark's words; a tenth is drawn."""
