@@ -10,13 +10,16 @@ whose count is above what the threshold allows (``z`` standard deviations
 away) is dropped; all others are confirmed on the full sets.
 
 Buckets never emit all pairs.  Each bucket links its members to one hub, a
-different random one in each band; pairs are confirmed in rounds, and a pair
-whose documents are in one component already is skipped.  What hubs can't show
-is then closed exactly, in two parts.  Nodes joined by pairs within the sketch
-bound, confirmed or not, are a *family*; families that hold several components
-are compared whole, block by block, and the tasks confirm on full sets and give
-only links that join components.  Members of one bucket but of different
-families are compared by sketch, and the few pairs within the bound confirmed.
+different random one in each band.  Bands are taken in rounds, few at first,
+and components are contracted between them: a later round makes a pair only
+where member and hub lie in different components still, so a large group costs
+the first round's pairs and little more.  What hubs can't show
+is then closed exactly, in two parts.  Nodes joined by links or by pairs within
+the sketch bound, confirmed or not, are a *family*; families that hold several
+components are compared whole, block by block, and the tasks confirm on full
+sets and give only links that join components.  Members of one bucket but of
+different families are compared by sketch, and the few pairs within the bound
+confirmed.
 
 With 48 bands of 5 samples a pair at similarity 0.8 shares no band with
 probability 5e-9.  Defined cases: null text counts as empty; a document without
@@ -40,6 +43,8 @@ from cartlift.llm.common import WordHashes, materialize, mix64, row_chunks
 from cartlift.llm.components import connected_components
 
 BANDS, ROWS, BITS = 48, 5, 1024
+ROUNDS = (4, 16)     # bands up to which the first rounds go; one more takes the rest
+SALTS = 8            # parts that a mixed bucket's members are dealt into
 BLOCK = 512          # members of a bucket that are compared at a time
 TEXTS = 128          # documents that are confirmed against one other in a group
 
@@ -147,22 +152,21 @@ def band_rows(nodes: DataFrame) -> DataFrame:
 
 
 def sketch_filter(pairs: DataFrame, nodes: DataFrame, percent: int, limit: int) -> DataFrame:
-    """Pairs (a, b, band) whose sizes and sketches allow the threshold."""
+    """Pairs (a, b) whose sizes and sketches allow the threshold."""
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(b.num_rows, -1)
-            y = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(b.num_rows, -1)
+            x = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(b.num_rows, -1)
+            y = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(b.num_rows, -1)
             ok = np.bitwise_count(x ^ y).sum(1) <= limit
-            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok)) for i in range(3)],
-                                             names=["a", "b", "band"])
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok)) for i in range(2)], names=["a", "b"])
 
     own = nodes.select("node", "n", "sketch")
     wide = (pairs.join(own.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
             .join(own.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
             .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-    return wide.select("a", "b", "band", "sa", "sb").mapInArrow(run, "a long, b long, band int")
+    return wide.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -188,14 +192,22 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return heads.unionByName(others).groupBy("a", "chunk").applyInArrow(check, "a long, b long")
 
 
-def apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs whose documents aren't in one component yet."""
+def star_pairs(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) of a bucket's hub and its members in other components.
+    Buckets within one component make none; the members of a mixed one are
+    dealt to SALTS tasks, and its hub is sent to each."""
+    def pair(df: DataFrame) -> DataFrame:
+        return df.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
     if labels is None:
-        return pairs
-    la = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
-    lb = labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-    return (pairs.join(la, "a", "left").join(lb, "b", "left")
-            .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb"))
+        return pair(buckets.where("node <> hub"))
+    named = (buckets.select("key", "node", "hub").join(labels, "node", "left")
+             .withColumn("comp", F.coalesce("comp", "node")))
+    hubs = (named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                     F.max(F.when(F.col("node") == F.col("hub"), F.col("comp"))).alias("hub_comp"))
+            .where("lo <> hi").select("key", "hub_comp", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    dealt = named.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    return pair(dealt.join(hubs, ["key", "salt"]).where("comp <> hub_comp"))
 
 
 def merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -324,23 +336,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.xxhash64("node", "key").alias("h"), "node")).alias("hub")).where("m >= 2")
         .select("key", "m", F.col("hub.node").alias("hub")))
     buckets = materialize(keyed.join(hubs, "key"), "buckets")
-    stars = (buckets.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"),
-                                                 "band").groupBy("a", "b").agg(F.min("band").alias("band")))
-    stars = materialize(sketch_filter(stars, nodes, percent, limit), "stars")
-
-    # texts of the nodes that occur in a pair or may in a later one
-    wanted = (stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node")))
-              .unionByName(buckets.where("m >= 3").select("node")).distinct())
+    # texts of the nodes that share a bucket with another
+    wanted = buckets.select("node").distinct()
     texts = materialize(_texts(docs, nodes.join(wanted, "node").select("node", "min_id", "digest"),
                                id_col, text_col, width), "texts")
 
-    labels = None
-    for lo, hi in ((0, 4), (4, 16), (16, bands)):
+    labels, stars, lo = None, None, 0
+    for hi in (*ROUNDS, bands):
         # written once: the confirmation reads the pairs several times
-        pairs = materialize(apart(stars.where(F.col("band").between(lo, hi - 1)).select("a", "b"), labels), "pairs")
-        links = materialize(confirm(pairs, texts, width, percent), "links")
-        labels = merge(labels, links)
-    families = connected_components(stars).withColumnRenamed("comp", "family")
+        pairs = materialize(sketch_filter(star_pairs(buckets.where((F.col("band") >= lo) & (F.col("band") < hi)), labels),
+                                          nodes, percent, limit), "pairs")
+        labels = merge(labels, materialize(confirm(pairs, texts, width, percent), "links"))
+        stars, lo = pairs if stars is None else stars.unionByName(pairs), hi
+    families = merge(labels, stars).withColumnRenamed("comp", "family")
     labels = merge(labels, materialize(family_links(families, labels, nodes, texts, width, percent, limit), "links"))
     found = materialize(block_pairs(open_members(buckets, families, nodes), percent, limit).distinct()
                         .join(stars.select("a", "b"), ["a", "b"], "left_anti"), "block_pairs")
