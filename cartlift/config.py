@@ -24,12 +24,17 @@ class AnalysisConfig:
     cycle: str = "0"
     psi_bins: int = 10
     period_salt: str = "period"
-    learner: str = "gbt"            # gbt | rf | logistic
+    learner: str = "committee"      # committee (trees fitted in tasks) | gbt | rf | logistic (spark.ml, all rows)
     learner_iters: int = 500        # boosting rounds and step of the original analysis
     learner_step: float = 0.05
     learner_depth: int = 3
     learner_min_leaf: int = 30
     learner_subset: str = "0.8"
+    learner_l2: float = 1.0
+    learner_folds: int = 5          # cross-fitting folds; 1 scores the test split alone
+    fold_salt: str = "fold"
+    member_rows: int = 65_536       # committee: rows of a member, and members of a model; a model of more
+    members: int = 16               # than their product reads a keyed sample of that many rows
     seed: int = 42
     sample_frac: float | None = None        # keep this share of the experiment customers
     sample_salt: str = "sample"

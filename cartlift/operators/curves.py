@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartlift.functions.hashing import keyed_uniform
 from cartlift.functions.scalars import first_value
 from cartlift.operators.ranking import decile_from_rank, global_cumsum, global_rank
 from cartlift.sources.raw import ARM, ID, OUTCOME
@@ -145,3 +146,47 @@ def learner_evaluation(scored: DataFrame, score_cols: tuple[str, ...] = ("s_scor
         rows.append((c, qini, auuc, top))
     return scored.sparkSession.createDataFrame(
         rows, "score_col string, qini_auc double, uplift_auc double, uplift_at_k double")
+
+
+def qini_jackknife(scored: DataFrame, score_col: str, kind: str = "qini", groups: int = 20, salt: str = "jackknife",
+                   rank_kw: dict | None = None) -> DataFrame:
+    """Normalised AUC of the whole table and its delete-a-group jackknife error.
+
+    Customers are dealt to ``groups`` keyed groups; replicate g leaves group g
+    out.  All replicates are curves of one grouped running sum: each row is in
+    ``groups - 1`` replicates and the whole, but rows meet as counts per
+    (replicate, score).  One row: auc, se, z, groups.
+    """
+    whole = -1
+    y, t = F.col(OUTCOME).cast("double"), F.col(ARM).cast("double")
+    dealt = scored.withColumn("_g", F.floor(keyed_uniform(ID, salt) * F.lit(groups)).cast("int"))
+    rows = (dealt.select(F.explode(F.sequence(F.lit(whole), F.lit(groups - 1))).alias("rep"), "_g",
+                         F.col(score_col).cast("double").alias("score"), y.alias("y"), t.alias("t"))
+            .where("rep <> _g"))
+    sums = [F.count(F.lit(1)).cast("double").alias("g_n"), F.sum("t").alias("g_nt"),
+            F.sum(F.col("y") * F.col("t")).alias("g_yt"), F.sum(F.col("y") * (1 - F.col("t"))).alias("g_yc")]
+    totals = rows.groupBy("rep").agg(*sums, F.sum((1 - F.col("y")) * F.col("t")).alias("g_tn")).select(
+        "rep", (F.col("g_n") * curve_value(kind, F.col("g_n"), F.col("g_nt"), F.col("g_yt"), F.col("g_yc")) / 2).alias("rnd"),
+        (F.col("g_yc") > F.col("g_tn")).alias("use_y"))
+    if kind == "qini":
+        best = F.col("y") * F.col("t") - F.col("y") * (1 - F.col("t"))
+    else:  # which perfect order applies depends on the replicate's totals (groups + 1 rows)
+        rows = rows.join(F.broadcast(totals.select("rep", "use_y")), "rep")
+        best = 2 * (F.col("y") == F.col("t")).cast("double") + F.when(F.col("use_y"), F.col("y")).otherwise(F.col("t"))
+    meas = {f"c_{m}": F.col(f"g_{m}") for m in ("n", "nt", "yt", "yc")}
+
+    def areas(score: Column, name: str) -> DataFrame:
+        per_score = rows.groupBy("rep", score.alias("score")).agg(*sums)
+        c = global_cumsum(per_score, [("score", True)], meas, tie_col="score", group_cols=["rep"], **(rank_kw or {}))
+        incl = curve_value(kind, F.col("c_n"), F.col("c_nt"), F.col("c_yt"), F.col("c_yc"))
+        excl = curve_value(kind, F.col("c_n") - F.col("g_n"), F.col("c_nt") - F.col("g_nt"),
+                           F.col("c_yt") - F.col("g_yt"), F.col("c_yc") - F.col("g_yc"))
+        return c.groupBy("rep").agg(F.sum(F.col("g_n") * (incl + excl) / 2).alias(name))
+
+    reps = (areas(F.col("score"), "actual").join(areas(best, "perfect"), "rep").join(totals, "rep")
+            .select("rep", F.try_divide(F.col("actual") - F.col("rnd"), F.col("perfect") - F.col("rnd")).alias("auc")))
+    left_out = F.when(F.col("rep") != whole, F.col("auc"))
+    k = F.count(left_out)
+    se = F.sqrt((k - 1) * F.var_pop(left_out))
+    out = reps.agg(F.max(F.when(F.col("rep") == whole, F.col("auc"))).alias("auc"), se.alias("se"), k.alias("groups"))
+    return out.select(F.lit(kind).alias("kind"), "auc", "se", F.try_divide(F.col("auc"), F.col("se")).alias("z"), "groups")

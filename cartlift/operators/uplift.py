@@ -1,8 +1,15 @@
 """Heterogeneous effects: keyed split and S-/T-learner uplift scores (O-52..O-57).
 
-Learners are ``spark.ml`` pipelines (median ``Imputer`` fitted on the train
-split + missing indicators, ``VectorAssembler``, ``GBTClassifier``), so
-training is distributed; scores are ``p(y | x, treated) - p(y | x, control)``.
+Scores are ``p(y | x, treated) - p(y | x, control)``.  By default they are
+*cross-fitted*: customers are dealt to keyed-hash folds, the models of a fold
+are fitted without it and score it alone, so every customer has a score of
+models that never saw them and evaluation can use all customers.  The test
+split alone (O-52) can be scored instead.
+
+The default learner is a committee of boosted trees fitted in tasks
+(:mod:`cartlift.operators.boosting`), all models in one shuffle.  ``spark.ml``
+learners that read all rows in distributed passes (``GBTClassifier``, random
+forest, logistic regression) are the pluggable alternatives.
 """
 
 from __future__ import annotations
@@ -15,6 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartlift.config import AnalysisConfig
 from cartlift.functions.hashing import keyed_uniform
@@ -43,9 +51,9 @@ def train_test_split(df: DataFrame, test_share: float = 0.3, salt: str = "split"
 
 
 def _base_learner(cfg: AnalysisConfig, features_col: str = "features"):
-    """Base classifier (O-53): boosted depth-limited trees by default (no L2 term
-    exists in Spark GBT); ``rf`` (all trees grown level by level in the same
-    passes) and ``logistic`` are the pluggable alternatives."""
+    """``spark.ml`` base classifier (O-53): boosted depth-limited trees (no L2
+    term exists there), a random forest (all trees grown level by level in the
+    same passes) or logistic regression."""
     if cfg.learner == "rf":
         return RandomForestClassifier(featuresCol=features_col, labelCol="_label", maxDepth=cfg.learner_depth,
                                       numTrees=cfg.learner_iters, minInstancesPerNode=cfg.learner_min_leaf,
@@ -61,6 +69,23 @@ def _base_learner(cfg: AnalysisConfig, features_col: str = "features"):
                          featureSubsetStrategy=cfg.learner_subset, seed=cfg.seed)
 
 
+def missing_bounds(train: DataFrame, feature_cols: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """(below all values, above all values) of each feature that has NULLs in ``train``."""
+    row = train.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in feature_cols for n, f in (("lo", F.min), ("hi", F.max))],
+                    *[F.count(c).alias(f"n_{c}") for c in feature_cols], F.count(F.lit(1)).alias("_all")).first()
+    return {c: ((row[f"lo_{c}"] or 0.0) - 1.0, (row[f"hi_{c}"] or 0.0) + 1.0)
+            for c in feature_cols if row[f"n_{c}"] < row["_all"]}
+
+
+def with_missing_sides(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
+    """Nullable features twice, for tree learners that can't read NULLs (O-54):
+    ``<c>`` with missing above and ``<c>_lo`` with missing below every value, so
+    a tree chooses the side of missing values by the copy that it splits."""
+    x = {c: F.col(c).cast("double") for c in bounds}
+    return df.withColumns({k: v for c, (lo, hi) in bounds.items() for k, v in
+                           ((f"{c}_lo", F.coalesce(x[c], F.lit(lo))), (c, F.coalesce(x[c], F.lit(hi))))})
+
+
 def _prep_stages(feature_cols: Sequence[str], extra: Sequence[str] = ()) -> list:
     """Assembly of the filled features and their 0/1 missing indicators (O-54)."""
     return [VectorAssembler(inputCols=[*extra, *feature_cols, *[f"_na_{c}" for c in feature_cols]],
@@ -135,9 +160,139 @@ def t_learner(train: DataFrame, test: DataFrame, feature_cols: Sequence[str],
                    fit_arm_model(train, feature_cols, cfg, 0, fills), feature_cols, fills)
 
 
+# ---------------------------------------------------------------- committees fitted in tasks
+
+FOLD = "fold"
+
+
+def with_folds(df: DataFrame, folds: int, salt: str = "fold") -> DataFrame:
+    """Keyed-hash fold 0..folds-1 of each customer."""
+    return df.withColumn(FOLD, F.floor(keyed_uniform(ID, salt) * F.lit(folds)).cast("int"))
+
+
+def _vector(feature_cols: Sequence[str]):
+    """Features as one array, NULL and NaN alike as NULL."""
+    return F.array(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in feature_cols])
+
+
+def fit_committees(df: DataFrame, feature_cols: Sequence[str], cfg: AnalysisConfig,
+                   scored_folds: Sequence[int]) -> DataFrame:
+    """S- and T-learner models of each fold in ``scored_folds``, fitted on the
+    rows of all other folds: (model, fold, member, trees), ``model`` being ``s``
+    (arm as last feature), ``t`` or ``c``.  One shuffle brings each member its rows."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from cartlift.operators.boosting import boost
+    counts = {(r[FOLD], r[ARM]): r["count"] for r in df.groupBy(FOLD, ARM).count().collect()}  # folds x arms
+    u = keyed_uniform(ID, "member")
+    places = []
+    for f in scored_folds:
+        for model, arms in (("s", (0, 1)), ("t", (1,)), ("c", (0,))):
+            n = sum(k for (fold, arm), k in counts.items() if fold != f and arm in arms)
+            member = F.floor(u * F.lit(max(1, -(-n // cfg.member_rows)))).cast("int")
+            places.append(F.when((F.col(FOLD) != f) & F.col(ARM).isin(*arms) & (member < cfg.members),
+                                 F.struct(F.lit(model).alias("model"), F.lit(f).alias("scored"), member.alias("member"))))
+    rows = (df.select(ID, FOLD, F.col(ARM).cast("double").alias("arm"), F.col(OUTCOME).cast("double").alias("y"),
+                      _vector(feature_cols).alias("x"), F.col(ARM))
+            .select(F.col(ID).alias("id"), "arm", "y", "x",
+                    F.explode(F.filter(F.array(*places), lambda p: p.isNotNull())).alias("to"))
+            .select("to.model", F.col("to.scored").alias(FOLD), "to.member", "id", "arm", "y", "x"))
+    settings = dict(rounds=cfg.learner_iters, step=cfg.learner_step, depth=cfg.learner_depth, min_leaf=cfg.learner_min_leaf,
+                    column_share=float(cfg.learner_subset), l2=cfg.learner_l2)
+    width, seed = len(feature_cols), cfg.seed
+
+    def fit(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t.column("id")))  # sums don't depend on the order of arrival
+        x = t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(float)
+        if t.column("model")[0].as_py() == "s":
+            x = np.column_stack([x, t.column("arm").to_numpy()])
+        member = t.column("member")[0].as_py()
+        trees = boost(x, t.column("y").to_numpy(), seed=seed + member, **settings)
+        keys = t.select(["model", FOLD, "member"]).slice(0, 1)
+        return keys.append_column("trees", pa.array([trees.dumps()], pa.binary()))
+
+    return rows.groupBy("model", FOLD, "member").applyInArrow(
+        fit, f"model string, {FOLD} int, member int, trees binary")
+
+
+def score_committees(df: DataFrame, feature_cols: Sequence[str], models: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep`` columns with s_score and t_score; each row meets its own fold's models.
+    The models (3 x folds x members at most, some 50 KB each) are sent to all tasks."""
+    import numpy as np
+    import pyarrow as pa
+
+    from cartlift.operators.boosting import Trees
+    packed = [(r["model"], r[FOLD], r["trees"]) for r in models.orderBy("model", FOLD, "member").collect()]
+    sent = df.sparkSession.sparkContext.broadcast(packed)
+    width, names = len(feature_cols), list(keep)
+    out = T.StructType([*[df.schema[c] for c in names], T.StructField("s_score", T.DoubleType()),
+                        T.StructField("t_score", T.DoubleType())])
+
+    def run(batches):
+        committees: dict = {}
+        for model, fold, data in sent.value:
+            committees.setdefault((model, fold), []).append(Trees.loads(data))
+
+        def mean(model: str, fold: int, x):
+            own = committees.get((model, fold))
+            return sum(t.probability(x) for t in own) / len(own) if own else np.full(len(x), np.nan)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(float)
+            folds = b.column("_fold").to_numpy()
+            s, t = np.empty(len(x)), np.empty(len(x))
+            for fold in np.unique(folds).tolist():
+                own = folds == fold
+                part = x[own]
+                one, zero = np.ones((len(part), 1)), np.zeros((len(part), 1))
+                s[own] = mean("s", fold, np.hstack([part, one])) - mean("s", fold, np.hstack([part, zero]))
+                t[own] = mean("t", fold, part) - mean("c", fold, part)
+            scores = [pa.array(v, pa.float64(), mask=np.isnan(v)) for v in (s, t)]  # no model: no score
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *scores], names=out.names)
+
+    return df.select(*names, F.col(FOLD).alias("_fold"), _vector(feature_cols).alias("_x")).mapInArrow(run, out)
+
+
+def cross_fit_scores(df: DataFrame, feature_cols: Sequence[str], cfg: AnalysisConfig,
+                     keep: Sequence[str] = (ID, ARM, OUTCOME, "rfm_segment"), fit_source: DataFrame | None = None) -> DataFrame:
+    """Every row scored by committees that were fitted without its fold.
+    ``fit_source`` (the same customers without segments) lets fits start early."""
+    folds = max(2, cfg.learner_folds)
+    source = with_folds(df if fit_source is None else fit_source, folds, cfg.fold_salt)
+    models = fit_committees(source, feature_cols, cfg, range(folds))
+    rows = train_test_split(with_folds(df, folds, cfg.fold_salt), cfg.test_share, cfg.split_salt)
+    return score_committees(rows, feature_cols, models, [*keep, "split", FOLD])
+
+
+def holdout_scores(df: DataFrame, feature_cols: Sequence[str], cfg: AnalysisConfig,
+                   keep: Sequence[str] = (ID, ARM, OUTCOME, "rfm_segment"), fit_source: DataFrame | None = None) -> DataFrame:
+    """The test split scored by committees that were fitted on the train split."""
+    def folded(d: DataFrame) -> DataFrame:
+        return (train_test_split(d, cfg.test_share, cfg.split_salt)
+                .withColumn(FOLD, F.when(F.col("split") == "test", 0).otherwise(1)))
+    models = fit_committees(folded(df if fit_source is None else fit_source), feature_cols, cfg, [0])
+    return score_committees(folded(df).where("split = 'test'"), feature_cols, models, [*keep, "split"])
+
+
 def uplift_scores(segmented: DataFrame, feature_cols: Sequence[str], cfg: AnalysisConfig,
                   fit_source: DataFrame | None = None) -> DataFrame:
-    """Scored test table (client_id, arm, outcome, rfm_segment, split, s_score, t_score) (O-57).
+    """Scored table (client_id, arm, outcome, rfm_segment, split, s_score, t_score) (O-57):
+    all customers with their ``fold`` when cross-fitted, else the test split.
+    ``segmented`` may be a callable, evaluated only when scoring needs it."""
+    if cfg.learner != "committee":
+        return spark_ml_scores(segmented, feature_cols, cfg, fit_source)
+    seg = segmented() if callable(segmented) else segmented
+    score = cross_fit_scores if cfg.learner_folds > 1 else holdout_scores
+    return score(seg, feature_cols, cfg, fit_source=fit_source)
+
+
+def spark_ml_scores(segmented: DataFrame, feature_cols: Sequence[str], cfg: AnalysisConfig,
+                    fit_source: DataFrame | None = None) -> DataFrame:
+    """The test split scored by ``spark.ml`` learners.
 
     ``segmented`` should be a materialised table (the pipeline passes the
     checkpointed customer table): each learner caches its own binned copy of
@@ -151,16 +306,24 @@ def uplift_scores(segmented: DataFrame, feature_cols: Sequence[str], cfg: Analys
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    def split_of(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    def split_of_columns(df: DataFrame, columns: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
         return (train_test_split(df, cfg.test_share, cfg.split_salt)
-                .select(ID, ARM, OUTCOME, *extra, "split", *feature_cols))
+                .select(ID, ARM, OUTCOME, *extra, "split", *columns))
+
+    def split_of(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+        return split_of_columns(df, list(feature_cols), extra)
 
     fit_df = split_of(fit_source) if fit_source is not None else None
     if fit_df is None:
         seg_df = segmented() if callable(segmented) else segmented
         fit_df = split_of(seg_df, ["rfm_segment"])
     train = fit_df.where(F.col("split") == "train")
-    fills = exact_fills(train, feature_cols)
+    sides, given = {}, list(feature_cols)
+    if cfg.learner in ("gbt", "rf"):
+        sides = missing_bounds(train, given)
+        train = with_missing_sides(train, sides)
+        feature_cols = [*given, *[f"{c}_lo" for c in sides]]
+    fills = {} if sides else exact_fills(train, feature_cols)
     sc = train.sparkSession.sparkContext
 
     def in_pool(fit):
@@ -176,7 +339,7 @@ def uplift_scores(segmented: DataFrame, feature_cols: Sequence[str], cfg: Analys
     with ThreadPoolExecutor(max_workers=3) as pool:
         s_model, t_model, c_model = [f.result() for f in [pool.submit(fn) for fn in fits]]
     seg_df = segmented() if callable(segmented) else segmented
-    test = split_of(seg_df, ["rfm_segment"]).where(F.col("split") == "test")
+    test = with_missing_sides(split_of_columns(seg_df, given, ["rfm_segment"]).where(F.col("split") == "test"), sides)
     scored = score_s(test, s_model, feature_cols, fills)
     scored = score_t(scored, t_model, c_model, feature_cols, fills)
     return scored.select(ID, ARM, OUTCOME, "rfm_segment", "split", "s_score", "t_score")

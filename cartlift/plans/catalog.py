@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as _F
 
 from cartlift.plans.present import present
 from cartlift.plans.context import Context
@@ -408,8 +409,43 @@ def score_evaluation(c: Context) -> DataFrame:
 
 @query
 def scored_rows(c: Context) -> DataFrame:
-    """O-52/O-57: what the scored table holds besides the scores."""
-    return c.scored_model.select("client_id", "treatment_flg", "target", "rfm_segment", "split")
+    """O-52/O-57: what the held-out scored table holds besides the scores."""
+    from cartlift.operators.uplift import train_test_split
+    split = train_test_split(c.segmented, c.config.test_share, c.config.split_salt)
+    return split.where("split = 'test'").select("client_id", "treatment_flg", "target", "rfm_segment", "split")
+
+
+@query
+def cross_fit_rows(c: Context) -> DataFrame:
+    """O-52/O-57: what the cross-fitted scored table holds besides the scores."""
+    return c.scored_model.select("client_id", "treatment_flg", "target", "rfm_segment", "split", "fold")
+
+
+@query
+def qini_curve_continuous(c: Context) -> DataFrame:
+    """O-58: Qini curve of a score that hardly repeats (purchase count plus a keyed uniform)."""
+    from cartlift.functions.hashing import keyed_uniform
+    scored = c.scored_fixed.withColumn("score", _F.col("score") + keyed_uniform("client_id", "tie"))
+    return cur.curve_points(scored, "score", "qini", c.config.rank_kw)
+
+
+@query
+def qini_standard_error(c: Context) -> DataFrame:
+    """O-59: Qini AUC of the fixed score with its delete-a-group jackknife error."""
+    return cur.qini_jackknife(c.scored_fixed, "score", rank_kw=c.config.rank_kw)
+
+
+@query
+def learner_standard_errors(c: Context) -> DataFrame:
+    """O-59/O-60: Qini and uplift AUC of both learners with jackknife errors, cross-fitted and held out."""
+    out = None
+    for form, scored in (("cross_fit", c.scored_model), ("holdout", c.scored_holdout)):
+        for score in ("s_score", "t_score"):
+            for kind in ("qini", "uplift"):
+                one = cur.qini_jackknife(scored, score, kind, rank_kw=c.config.rank_kw).select(
+                    _F.lit(form).alias("form"), _F.lit(score).alias("score_col"), "kind", "auc", "se", "z", "groups")
+                out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query
@@ -429,8 +465,6 @@ def model_policy_readout(c: Context) -> DataFrame:
 
 
 # ---------------------------------------------------------------- streaming duties (batch form of the same code)
-from pyspark.sql import functions as _F  # noqa: E402
-
 from cartlift.streaming import jobs as stream  # noqa: E402
 
 def _events(c: Context) -> tuple[DataFrame, DataFrame]:

@@ -67,8 +67,16 @@ class Context:
 
     @cached_property
     def scored_model(self) -> DataFrame:
-        """Test split scored by the T-learner (the pre-specified primary score)."""
+        """All customers with cross-fitted scores (T: the pre-specified primary score)."""
         from cartlift.operators.features import feature_names
         from cartlift.operators.uplift import uplift_scores
         s = self.segmented
         return materialize(uplift_scores(s, feature_names(s), self.config))
+
+    @cached_property
+    def scored_holdout(self) -> DataFrame:
+        """The test split alone, scored by models of the train split."""
+        from cartlift.operators.features import feature_names
+        from cartlift.operators.uplift import holdout_scores
+        s = self.segmented
+        return materialize(holdout_scores(s, feature_names(s), self.config))
