@@ -27,3 +27,10 @@ def duck_keyed_uniform(key_sql: str, salt: str) -> str:
     """The same uniform written in DuckDB SQL (used by the oracles)."""
     return (f"cast(('0x'||substr(md5(cast({key_sql} as varchar)||':{salt}'),1,8)) as bigint)"
             f"/4294967296.0")
+
+
+def salted_uniform(key: Column | str, salt: Column) -> Column:
+    """:func:`keyed_uniform` with a salt that differs from row to row."""
+    key = F.col(key) if isinstance(key, str) else key
+    digest = F.md5(F.concat(key.cast("string"), F.lit(":"), salt))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(_TWO_32)

@@ -509,3 +509,47 @@ def stream_assignment(c: Context) -> DataFrame:
 def aa_test(c: Context) -> DataFrame:
     """E-4: naive effect between two keyed halves of the control arm."""
     return stream.aa_test(c.train)
+
+
+# ---------------------------------------------------------------- decision ledger over two cycles of events
+from cartlift.operators import ledger as led  # noqa: E402
+
+LEDGER_EPSILON = 0.2  # the fixture's users are few: a larger slice than the policy's 5%
+
+
+def _ledger(c: Context) -> DataFrame:
+    ev = c.spark.read.parquet(f"{c.sf_dir.rstrip('/')}/events.parquet")
+    return led.ledger(ev, c.config.events_reference_end, cycles=2, epsilon=LEDGER_EPSILON, k=c.config.k_percent)
+
+
+@query
+def sticky_assignment(c: Context) -> DataFrame:
+    """E-3/O-69d: action of each user's first event in a cycle, which holds for the cycle."""
+    ev = c.spark.read.parquet(f"{c.sf_dir.rstrip('/')}/events.parquet")
+    numbered = led.with_cycle(ev, c.config.events_reference_end, 7).where("cycle >= -1")
+    return led.first_decisions(numbered.where("cycle >= 0"), led.cycle_cutoffs(numbered, c.config.k_percent),
+                               c.config.epsilon).select("user_id", "cycle", "event_id", "action", "p_treat")
+
+
+@query
+def cycle_ledger(c: Context) -> DataFrame:
+    """O-69f: every decision of two cycles with the response of the seven days after it."""
+    return _ledger(c).select("user_id", "cycle", "event_id", "value", "cutoff", "action", "p_treat", "target")
+
+
+@query
+def cycle_rates(c: Context) -> DataFrame:
+    """O-69f: response rate per cycle and action."""
+    return led.ledger_rates(_ledger(c))
+
+
+@query
+def cycle_explore_deciles(c: Context) -> DataFrame:
+    """O-69f/O-62: decile table of the explore slice on the next cycle's outcomes."""
+    return led.explore_deciles(_ledger(c), rank_kw=c.config.rank_kw)
+
+
+@query
+def cycle_weighted_effect(c: Context) -> DataFrame:
+    """O-69f: inverse-propensity effect per cycle and pooled."""
+    return led.weighted_effect(_ledger(c))

@@ -10,7 +10,9 @@ that works on a batch *or* a streaming DataFrame:
   (:func:`windowed_psi`) is written by the stream itself.
 * E-2 :func:`windowed_arm_counts` - per window and arm: events, purchases and
   rate; :func:`window_srm` - SRM over the distinct users of each window.
-* E-3 :func:`assign_at_arrival` - stateless keyed-hash epsilon-greedy action.
+* E-3 :func:`assign_at_arrival` - stateless keyed-hash epsilon-greedy action;
+  :func:`sticky_actions` - the first action of a user in a cycle holds, kept as
+  keyed state with a time to live.
 * E-4 :func:`aa_test` - the control arm split in two keyed halves; their
   "effect" must be null.
 
@@ -145,6 +147,61 @@ def assign_at_arrival(events: DataFrame, cutoff: float, epsilon: float = 0.05, c
     return events.withColumn("action", action)
 
 
+STICKY_SCHEMA = T.StructType([
+    T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("cycle", T.IntegerType()),
+    T.StructField("action", T.StringType()), T.StructField("p_treat", T.DoubleType()),
+    T.StructField("decided_by", T.LongType())])
+
+
+def proposals(events: DataFrame, cutoffs: dict[int, float], start: str, cycle_days: int, epsilon: float,
+              value: str = "value") -> DataFrame:
+    """What each event alone would decide: cycle, action and p_treat; events of
+    cycles without a cutoff are left out.  ``cutoffs`` has one entry per cycle."""
+    from cartlift.operators.ledger import proposed_action, with_cycle
+    ntz = events.withColumn("_ntz", F.col("ts").cast("timestamp_ntz"))
+    numbered = with_cycle(ntz, start, cycle_days, "_ntz").where(F.col("cycle").isin(*cutoffs))
+    known = F.create_map(*[x for c, v in cutoffs.items() for x in (F.lit(int(c)), F.lit(float(v)))])
+    return proposed_action(numbered.withColumn("cutoff", known[F.col("cycle")]), epsilon, value).drop("_ntz")
+
+
+def sticky_actions(events: DataFrame, cutoffs: dict[int, float], start: str, cycle_days: int = 7, epsilon: float = 0.05,
+                   ttl_days: int = 21, keep_cycles: int = 3) -> DataFrame:
+    """E-3 for a user: every event carries the action that the user's first event
+    of the cycle decided (``decided_by``), whatever its own value says.
+
+    State is one record per user with the actions of its newest ``keep_cycles``
+    cycles; a user without events for ``ttl_days`` is dropped.  Of events that
+    arrive in one micro-batch the earliest decides; an event that arrives later
+    never changes an action that was already given.  A user's events of one
+    micro-batch are read in Arrow batches, only their keys are held.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    ttl_ms = ttl_days * 86_400_000
+    state_schema = "cycles array<int>, actions array<string>, p_treats array<double>, decided array<bigint>"
+
+    def decide(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = {c: (a, p, e) for c, a, p, e in zip(*state.get)} if state.exists else {}
+        arrived = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        for cycle, action, p_treat, event in arrived[["cycle", "action", "p_treat", "event_id"]].itertuples(index=False):
+            held.setdefault(int(cycle), (action, float(p_treat), int(event)))
+        given = [held[int(c)] for c in arrived["cycle"]]
+        kept = sorted(held)[-keep_cycles:]
+        state.update((kept, [held[c][0] for c in kept], [held[c][1] for c in kept], [held[c][2] for c in kept]))
+        state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame({"event_id": arrived["event_id"].to_numpy(), "user_id": key[0], "cycle": arrived["cycle"].to_numpy(),
+                            "action": [g[0] for g in given], "p_treat": [g[1] for g in given],
+                            "decided_by": [g[2] for g in given]})
+
+    offered = proposals(events, cutoffs, start, cycle_days, epsilon).where(F.col("user_id").isNotNull()).select(
+        "user_id", "event_id", "ts", "cycle", "action", "p_treat")
+    return offered.groupBy("user_id").applyInPandasWithState(
+        decide, STICKY_SCHEMA, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def aa_test(train: DataFrame, salt: str = "aa") -> DataFrame:
     """E-4: split the never-treated control arm into two keyed halves and run
     the naive effect between them; a randomisation fault shows as an effect."""
@@ -223,3 +280,20 @@ def start_assignment(spark: SparkSession, stream: DataFrame, cutoff: float, name
     """E-3 as a running query: stateless append of (event_id, user_id, action) to files."""
     out = assign_at_arrival(stream, cutoff, epsilon, cycle).select("event_id", "user_id", "action")
     return _to_files(out, spark, name, path, available_now)
+
+
+def start_sticky_assignment(spark: SparkSession, stream: DataFrame, cutoffs: dict[int, float], start: str, name: str,
+                            path: str, cycle_days: int = 7, epsilon: float = 0.05, ttl_days: int = 21,
+                            available_now: bool = True):
+    """E-3 as a running query: sticky actions to files; after a restart users keep their actions.
+
+    A query with processing-time timeouts asks for batches without data for
+    ever, so one that shall end with its input (``available_now``) starts
+    without them; its timeouts are then seen with the next data."""
+    option = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(option)
+    spark.conf.set(option, "false" if available_now else before)  # read when the query starts
+    try:
+        return _to_files(sticky_actions(stream, cutoffs, start, cycle_days, epsilon, ttl_days), spark, name, path, available_now)
+    finally:
+        spark.conf.set(option, before)

@@ -100,3 +100,33 @@ def test_aa_test_is_null_effect(spark):
     from cartlift.sources.fixtures import fixture_train
     r = jobs.aa_test(fixture_train(spark, "/root/testdata/sf0.01")).first()
     assert r.ci_lo < 0 < r.ci_hi
+
+
+def test_sticky_assignment_survives_restarts(spark, tmp_path):
+    """Each user keeps the first action of a cycle through restarts and late files."""
+    from cartlift.operators import ledger as L
+    ev, src, out = _events(), tmp_path / "src", str(tmp_path / "out")
+    src.mkdir()
+    cutoffs = {0: 60.0, 1: 80.0}
+    _run(spark, lambda s: jobs.start_sticky_assignment(spark, s, cutoffs, "2024-01-03", f"sticky_{tmp_path.name}", out,
+                                                       epsilon=0.2), src, ev)
+    got = spark.read.parquet(out).toPandas()
+    seen = ev[(ev.ts >= "2024-01-03") & (ev.ts < DAYS[-1][1])]
+    assert len(got) == len(seen) and set(got.event_id) == set(seen.event_id)
+    assert (got.groupby(["user_id", "cycle"]).action.nunique() == 1).all() and got.cycle.nunique() == 2
+    cut = spark.createDataFrame(list(cutoffs.items()), "cycle int, cutoff double")
+    numbered = L.with_cycle(_batch(spark, seen), "2024-01-03", 7)
+    want = {(r.user_id, r.cycle): (r.action, r.event_id) for r in L.first_decisions(numbered, cut, 0.2).collect()}
+    assert {(r.user_id, r.cycle): (r.action, r.decided_by) for r in got.itertuples()} == want
+    # stateless per-event actions would have flipped for many users
+    alone = jobs.proposals(_batch(spark, seen), cutoffs, "2024-01-03", 7, 0.2).toPandas()
+    assert (alone.groupby(["user_id", "cycle"]).action.nunique() > 1).mean() > 0.3
+    # a late, earlier event doesn't change an action that was given
+    late = ev[(ev.ts >= "2024-01-04") & (ev.ts < "2024-01-05")].head(30).assign(event_id=lambda d: d.event_id + 10_000_000)
+    late["ts"] = pd.Timestamp("2024-01-03 00:00:00")
+    _write(late, src, 9)
+    jobs.start_sticky_assignment(spark, jobs.event_stream(spark, str(src)), cutoffs, "2024-01-03",
+                                 f"sticky_{tmp_path.name}", out, epsilon=0.2).awaitTermination()
+    again = spark.read.parquet(out).toPandas()
+    assert len(again) == len(got) + 30
+    assert {(r.user_id, r.cycle): r.action for r in again.itertuples()} == {k: v[0] for k, v in want.items()}
