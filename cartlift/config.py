@@ -41,6 +41,7 @@ class AnalysisConfig:
     null_future_dates: bool = False         # blank card dates after the reference time (leak-safe)
     approximate_breadth: bool = False       # sketches instead of exact distinct counts
     approximate_medians: bool = False       # sketches instead of exact medians in the regression
+    approximate_cutoffs: bool = False       # quantile sketches instead of exact top-k% cutoffs
     key_features: tuple[str, ...] = ("recency_days", "n_tx", "spend_total")  # watched for drift besides the score
     unit_value: float = 1.0                 # money view of the policy: value of a response, cost of a send
     unit_cost: float = 0.01

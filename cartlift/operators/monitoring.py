@@ -17,6 +17,7 @@ from cartlift.functions.hashing import keyed_uniform
 from cartlift.functions.scalars import double_lit, first_value
 from cartlift.operators.effects import ate_naive
 from cartlift.operators.ranking import exact_quantiles
+from cartlift.operators.sketches import approximate_quantiles
 from cartlift.sources.raw import ID
 
 SHARE_FLOOR = 1e-6
@@ -67,14 +68,16 @@ def psi(df: DataFrame, cols: Sequence[str], period_col: str = "period", referenc
 
 
 def epsilon_assignment(scored: DataFrame, score_col: str, epsilon: float = 0.05, k: float = 0.30,
-                       cycle: str = "0", rank_kw: dict | None = None) -> DataFrame:
+                       cycle: str = "0", rank_kw: dict | None = None, approximate: bool = False) -> DataFrame:
     """Epsilon-greedy actions (O-69d): a keyed random epsilon slice is a mini
     A/B (coin 0.5); the rest get the top-k% policy with the cutoff computed on
-    the exploit rows only.  The cycle id salts both uniforms."""
+    the exploit rows only (from a quantile sketch if ``approximate``).  The cycle id salts both uniforms."""
     explore = keyed_uniform(ID, f"explore:{cycle}") < F.lit(epsilon)
     coin = keyed_uniform(ID, f"coin:{cycle}") < F.lit(0.5)
     marked = scored.withColumn("_explore", explore).withColumn("_coin", coin)
-    q = exact_quantiles(marked.where(~F.col("_explore")), score_col, [1.0 - k], **(rank_kw or {}))
+    exploit = marked.where(~F.col("_explore"))
+    q = (approximate_quantiles(exploit, score_col, [1.0 - k]) if approximate
+         else exact_quantiles(exploit, score_col, [1.0 - k], **(rank_kw or {})))
     marked = marked.withColumn("cutoff", double_lit(first_value(q, "value")))
     action = (F.when(F.col("_explore") & F.col("_coin"), "explore_treat")
               .when(F.col("_explore"), "explore_control")

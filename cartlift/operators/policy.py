@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 
 from cartlift.functions.scalars import double_lit, first_value
 from cartlift.operators.ranking import exact_quantiles
+from cartlift.operators.sketches import approximate_quantiles
 from cartlift.sources.raw import ARM, ID, OUTCOME
 
 
-def score_cutoff(scored: DataFrame, score_col: str, k: float, rank_kw: dict | None = None) -> DataFrame:
-    """One row ``cutoff``: the (1-k) quantile of scores, linear interpolation."""
+def score_cutoff(scored: DataFrame, score_col: str, k: float, rank_kw: dict | None = None,
+                 approximate: bool = False) -> DataFrame:
+    """One row ``cutoff``: the (1-k) quantile of scores, linear interpolation;
+    ``approximate`` takes a quantile sketch's value instead of ranking all scores."""
+    if approximate:
+        return approximate_quantiles(scored, score_col, [1.0 - k]).select(F.col("value").alias("cutoff"))
     q = exact_quantiles(scored, score_col, [1.0 - k], **(rank_kw or {}))
     return q.select(F.col("value").alias("cutoff"))
 
 
 def targeting_policy(scored: DataFrame, score_col: str, k: float = 0.30,
-                     rank_kw: dict | None = None) -> DataFrame:
+                     rank_kw: dict | None = None, approximate: bool = False) -> DataFrame:
     """``targeted`` = score >= cutoff; every tie at the cutoff is included (O-65)."""
-    cut = first_value(score_cutoff(scored, score_col, k, rank_kw), "cutoff")
+    cut = first_value(score_cutoff(scored, score_col, k, rank_kw, approximate), "cutoff")
     return (scored.withColumn("cutoff", double_lit(cut))
             .withColumn("targeted", F.col(score_col) >= F.col("cutoff")))
 

@@ -553,3 +553,48 @@ def cycle_explore_deciles(c: Context) -> DataFrame:
 def cycle_weighted_effect(c: Context) -> DataFrame:
     """O-69f: inverse-propensity effect per cycle and pooled."""
     return led.weighted_effect(_ledger(c))
+
+
+# ---------------------------------------------------------------- drift cube
+from cartlift.operators import drift  # noqa: E402
+
+DRIFT_COLUMNS = ("purchase_sum", "regular_points_received", "trn_sum_from_iss")
+DRIFT_MONTHS = [f"2000-{m:02d}" for m in range(1, 13)]
+
+
+def _drift(c: Context) -> tuple[DataFrame, DataFrame]:
+    """Counts of three line columns in each month of 2000, in the deciles of January."""
+    lines = c.purchases.where(_F.year("transaction_datetime") == 2000)
+    month = _F.substring(_F.col("transaction_datetime").cast("string"), 1, 7)
+    profile = drift.reference_profile(lines.where(month == DRIFT_MONTHS[0]), DRIFT_COLUMNS, rank_kw=c.config.rank_kw)
+    return drift.bin_counts(lines, DRIFT_COLUMNS, month, profile), profile
+
+
+@query
+def drift_cube(c: Context) -> DataFrame:
+    """O-69a/E-1: PSI of three columns in twelve months against the profile of the first."""
+    return drift.psi_against_profile(*_drift(c))
+
+
+@query
+def drift_between_months(c: Context) -> DataFrame:
+    """O-69a: PSI of each month against the month before, from the same counts."""
+    pairs = c.spark.createDataFrame(list(zip(DRIFT_MONTHS[1:], DRIFT_MONTHS)), "period string, reference string")
+    return drift.psi_between(*_drift(c), pairs)
+
+
+@query
+def sketch_cutoff(c: Context) -> DataFrame:
+    """O-65: top-30% cutoff of event values, exact, beside the merged daily
+    sketches': whether the sketch's cutoff keeps twice its 99% rank error."""
+    from cartlift.operators import sketches as sk
+    from cartlift.operators.ranking import exact_quantiles
+    ev = c.spark.read.parquet(f"{c.sf_dir.rstrip('/')}/events.parquet")
+    p = 1.0 - c.config.k_percent
+    daily = sk.daily_sketches(ev, "value", _F.to_date("ts"))
+    got = sk.merged_quantiles(daily, [p]).first()
+    exact = exact_quantiles(ev, "value", [p]).first()["value"]
+    tolerance = 2 * sk.rank_error()
+    check = sk.rank_check(ev, "value", got["value"], p, tolerance)
+    return check.select(_F.lit(daily.count()).alias("days"), "n", _F.lit(exact).alias("cutoff_exact"),
+                        _F.lit(tolerance).alias("rank_tolerance"), "within")

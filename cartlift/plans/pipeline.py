@@ -75,9 +75,9 @@ class Run:
         scored = lambda: self._get("uplift_scores", lambda: materialize(
             uplift_scores(seg, self.feature_cols(), c, fit_source=self.features())))
         targeted = lambda: self._get("targeted", lambda: policy.targeting_policy(
-            scored(), self.score_col, c.k_percent, c.rank_kw))
+            scored(), self.score_col, c.k_percent, c.rank_kw, c.approximate_cutoffs))
         assigned = lambda: self._get("assigned", lambda: monitoring.epsilon_assignment(
-            scored(), self.score_col, c.epsilon, c.k_percent, c.cycle, c.rank_kw))
+            scored(), self.score_col, c.epsilon, c.k_percent, c.cycle, c.rank_kw, c.approximate_cutoffs))
         deciles = lambda: self._get("deciles", lambda: materialize(curves.decile_table(
             scored(), self.score_col, c.rank_kw)))
         retention = lambda: self._get("retention", lambda: materialize(

@@ -275,6 +275,32 @@ def start_psi(spark: SparkSession, stream: DataFrame, edges: Sequence[float], re
     return _start(writer, spark, name, available_now)
 
 
+def start_drift(spark: SparkSession, stream: DataFrame, cols: Sequence[str], profile_path: str, name: str, path: str,
+                size: str = "1 day", available_now: bool = True):
+    """E-1 over key columns as a running query: (feature, version, period, bin)
+    counts of each micro-batch, written under ``path/batch=<id>``.
+
+    Every micro-batch reads the published profiles anew, so new edges count
+    from their ``valid_from`` on under the same checkpoint.  Counts are added up
+    when they are read (:func:`drift_so_far`), so late events still count and the
+    stream itself keeps no state; a repeated batch replaces its folder."""
+    from cartlift.operators import drift
+
+    def count(batch: DataFrame) -> DataFrame:
+        ntz = batch.withColumn("_ntz", F.col("ts").cast("timestamp_ntz"))
+        period = F.window("ts", size)["start"].cast("timestamp_ntz")
+        return drift.bin_counts(ntz, cols, period, drift.read_profiles(batch.sparkSession, profile_path), "_ntz")
+
+    writer = stream.writeStream.outputMode("append").foreachBatch(batch_writer(path, count))
+    return _start(writer, spark, name, available_now)
+
+
+def drift_so_far(spark: SparkSession, path: str, profile_path: str) -> DataFrame:
+    """PSI of every period that the drift stream has seen, against the profile valid then."""
+    from cartlift.operators import drift
+    return drift.psi_against_profile(spark.read.parquet(path).drop("batch"), drift.read_profiles(spark, profile_path))
+
+
 def start_assignment(spark: SparkSession, stream: DataFrame, cutoff: float, name: str, path: str,
                      epsilon: float = 0.05, cycle: str = "0", available_now: bool = True):
     """E-3 as a running query: stateless append of (event_id, user_id, action) to files."""
