@@ -58,6 +58,9 @@ def byte_values() -> dict[str, int]:
     return {c: b for b, c in enumerate(byte_alphabet())}
 
 
+ONE = (1,)
+
+
 class Merges:
     """Vocabulary and merge list, with the facts that the transducer needs.
 
@@ -73,6 +76,14 @@ class Merges:
         self.known: dict[tuple[int, int], bool] = {}
         self.edges: dict[int, tuple[list, list] | None] = {}
         self.lookahead = max((len(self._symbols(a + b)) for a, b in self.rank), default=1)
+        lengths: dict[str, set[int]] = {}
+        for token in vocab:
+            tail = self.suffix if self.suffix and token.endswith(self.suffix) else ""
+            body = token[:len(token) - len(tail)]
+            if len(body) > 1:
+                lengths.setdefault(body[-2:] + tail, set()).add(len(body))
+        # lengths, longest first, of the tokens that end in two given symbols (and the word's end)
+        self.lengths = {k: (*sorted(v, reverse=True), 1) for k, v in lengths.items()}
 
     def _symbols(self, token: str) -> list[str]:
         if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix):
@@ -203,13 +214,16 @@ class Encoder:
         """The same entries for a word from which nothing could be emitted
         early, found on demand from its end, longest tokens first."""
         m = self.merges
-        vocab, known, reach, unset = m.vocab, m.known, m.lookahead, -2
+        vocab, known, lengths, unset = m.vocab, m.known, m.lengths, -2
         n = len(symbols)
         last: list[int | None] = [Merges.START, *[unset] * n]
         start = [0] * (n + 1)
 
         def find(end: int, tail: str) -> int | None:
-            for at in range(max(0, end - reach), end):
+            for size in lengths.get(symbols[end - 2:end] + tail, ONE) if end > 1 else ONE:
+                at = end - size
+                if at < 0:
+                    continue
                 token = vocab.get(symbols[at:end] + tail)
                 if token is None:
                     continue
@@ -320,8 +334,20 @@ class Tokenizer:
         self.remembered = remembered
         self.words: dict[str, tuple[int, ...]] = {}     # of white-space separated pieces
         self.parts: dict[str, tuple[int, ...]] = {}     # of matches of the splitting rule
+        self.shown: dict[tuple[int, ...], tuple[str, str]] = {}  # ids of a word -> their numbers and their text
         self.encoder = Encoder(self.merges)
 
+    def show(self, ids: tuple[int, ...]) -> tuple[str, str]:
+        """Numbers and tokens of a word's ids, each joined by a space; remembered."""
+        known = self.shown.get(ids)
+        if known is None:
+            known = " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids))
+            if len(ids) <= 64:
+                if len(self.shown) >= self.remembered:
+                    self.shown.clear()
+                self.shown[ids] = known
+        return known
+
     @staticmethod
     def _flat(node, key: str) -> list[dict]:
         return [] if not node else node[key] if node["type"] == "Sequence" else [node]
@@ -441,6 +467,37 @@ def digest_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text")
 
 
 def _digest(tok: Tokenizer, text: str | None, block: int = 4096) -> tuple[int, str, str]:
+    return (_digest_bytes if tok.byte_level_decoder else _digest_words)(tok, text, block)
+
+
+def _digest_words(tok: Tokenizer, text: str | None, block: int) -> tuple[int, str, str]:
+    """Without a byte-level decoder tokens are decoded one by one, so numbers
+    and text of a word can be remembered."""
+    ids_sha, text_sha, n, begun = hashlib.sha256(), hashlib.sha256(), 0, False
+    numbers: list[str] = []
+    tokens: list[str] = []
+
+    def flush() -> None:
+        lead = " " if begun else ""
+        ids_sha.update((lead + " ".join(numbers)).encode())
+        text_sha.update((lead + " ".join(tokens)).encode("utf-8", "surrogatepass"))
+
+    for ids in tok.pieces(text):
+        if not ids:
+            continue
+        n += len(ids)
+        number, token = tok.show(ids)
+        numbers.append(number)
+        tokens.append(token)
+        if len(numbers) >= block:
+            flush()
+            begun, numbers, tokens = True, [], []
+    if numbers:
+        flush()
+    return n, ids_sha.hexdigest(), text_sha.hexdigest()
+
+
+def _digest_bytes(tok: Tokenizer, text: str | None, block: int) -> tuple[int, str, str]:
     ids_sha, text_sha, n = hashlib.sha256(), hashlib.sha256(), 0
     decoder = Decoder(tok.tokens, set(tok.added.values()), tok.byte_level_decoder)
     held: list[int] = []
@@ -462,12 +519,27 @@ def _digest(tok: Tokenizer, text: str | None, block: int = 4096) -> tuple[int, s
     return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
 
+_TOKENIZERS: dict[str, Tokenizer] = {}  # of this worker process, by the file's digest
+
+
+def _tokenizer(content: str) -> Tokenizer:
+    """The process's tokenizer for a file: words known from one task serve the
+    next one.  One file at a time is held."""
+    key = hashlib.sha256(content.encode()).hexdigest()
+    if key not in _TOKENIZERS:
+        _TOKENIZERS.clear()
+        _TOKENIZERS[key] = Tokenizer(content)
+    tok = _TOKENIZERS[key]
+    tok.encoder.reset()  # a task that failed may have left a word half read
+    return tok
+
+
 def _with_tokenizer(docs: DataFrame, path: str, col: str, fields: list[T.StructField], fn) -> DataFrame:
     with open(path, encoding="utf-8") as fh:
         shared = docs.sparkSession.sparkContext.broadcast(fh.read())
 
     def run(batches):
-        tok = Tokenizer(shared.value)
+        tok = _tokenizer(shared.value)
         for b in batches:
             parts = [fn(tok, [r[0] for r in rows]) for rows in row_chunks([b], [col])]
             new = [pa.concat_arrays([p[i] for p in parts]) for i in range(len(fields))] if parts else []
