@@ -18,6 +18,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--master", default=None, help="unset: as spark-submit decides")
     p.add_argument("--sample-frac", type=float, default=None)
     p.add_argument("--set", action="append", default=[], metavar="NAME=VALUE", help="any field of AnalysisConfig")
+    p.add_argument("--run-date", default=None, help="publish the outputs as one dated run")
     a = p.parse_args(argv)
     known = {f.name: f for f in fields(AnalysisConfig)}
     given = {}
@@ -27,7 +28,7 @@ def main(argv: list[str] | None = None) -> None:
         given[name] = value == "true" if isinstance(now, bool) else type(now)(value) if now is not None else value
     cfg = AnalysisConfig(sample_frac=a.sample_frac).with_(**given)
     paths = {"train": a.train, "clients": a.clients, "purchases": a.purchases}
-    for name in run_from_paths(build_session(a.master), paths, a.out, cfg, a.format):
+    for name in run_from_paths(build_session(a.master), paths, a.out, cfg, a.format, a.run_date):
         print(f"{a.out.rstrip('/')}/{name}")
 
 

@@ -598,3 +598,43 @@ def sketch_cutoff(c: Context) -> DataFrame:
     check = sk.rank_check(ev, "value", got["value"], p, tolerance)
     return check.select(_F.lit(daily.count()).alias("days"), "n", _F.lit(exact).alias("cutoff_exact"),
                         _F.lit(tolerance).alias("rank_tolerance"), "within")
+
+
+# ---------------------------------------------------------------- landing of text files
+def _landed(c: Context) -> str:
+    """Root of a landing of the purchase lines, written as CSV text with planted
+    faults by transaction: cut and overlong lines, a text amount, a missing
+    client, an unparsable time."""
+    import uuid
+
+    from cartlift.session import ensure_checkpoint_dir
+    from cartlift.sources import landing
+    root = f"{ensure_checkpoint_dir(c.spark).rstrip('/')}/landing-{uuid.uuid4().hex}"
+    fault = _F.col("transaction_id") % 101
+
+    def field(name: str):
+        x = _F.lit("1.0") if name == "product_quantity" else _F.coalesce(_F.col(name).cast("string"), _F.lit(""))
+        bad = {"client_id": (2, ""), "transaction_datetime": (3, "not a date"), "purchase_sum": (1, "n/a")}.get(name)
+        return x if bad is None else _F.when(fault == bad[0], bad[1]).otherwise(x)
+
+    fields = [field(f.name) for f in raw.PURCHASES_CSV_SCHEMA.fields]
+    line = (_F.when(fault == 0, _F.concat_ws(",", *fields[:3])).when(fault == 4, _F.concat_ws(",", *fields, _F.lit("extra")))
+            .otherwise(_F.concat_ws(",", *fields)))
+    c.purchases.select(line.alias("value")).write.text(f"{root}/source")
+    landing.land(c.spark, f"{root}/source", f"{root}/table", raw.PURCHASES_CSV_SCHEMA, ("transaction_datetime",), header=False)
+    return f"{root}/table"
+
+
+@query
+def landed_purchases(c: Context) -> DataFrame:
+    """O-01/O-05: purchase lines landed from text; broken ones are set aside, bad times are NULL."""
+    from cartlift.sources import landing
+    return landing.landed(c.spark, _landed(c), raw.PURCHASES_CSV_SCHEMA).select(
+        "client_id", "transaction_id", "transaction_datetime", "purchase_sum", "product_id", "store_id", "trn_sum_from_red")
+
+
+@query
+def landing_report(c: Context) -> DataFrame:
+    """O-01: lines landed and set aside, by reason."""
+    from cartlift.sources import landing
+    return landing.landing_report(c.spark, _landed(c))

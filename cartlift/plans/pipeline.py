@@ -21,6 +21,7 @@ from cartlift.operators.features import customer_features, feature_names
 from cartlift.operators.readout import launch_readout
 from cartlift.operators.uplift import uplift_scores
 from cartlift.session import drop_tables, materialize, written_tables
+from cartlift.sources.publish import publish_run
 from cartlift.sources.raw import load_tables, sample_customers, sampled_purchases, write_tables
 
 
@@ -128,12 +129,14 @@ def run(spark: SparkSession, tables: dict[str, DataFrame], config: AnalysisConfi
 
 
 def run_from_paths(spark: SparkSession, paths: dict[str, str], out: str, config: AnalysisConfig | None = None,
-                   fmt: str = "parquet", **kw) -> list[str]:
+                   fmt: str = "parquet", run_date: str | None = None, **kw) -> list[str]:
     """From source files to written result tables; returns the tables' names.
 
     Reads ``train``, ``clients`` and ``purchases`` from ``paths``, keeps a
     keyed sample of the customers if ``sample_frac`` is set, writes every
-    output under ``out/<name>`` and drops the intermediate tables.
+    output under ``out/<name>`` and drops the intermediate tables.  With
+    ``run_date`` the outputs are published as one dated run
+    (:mod:`cartlift.sources.publish`): all of them become visible at once.
     """
     config = config or AnalysisConfig()
     mark = written_tables()
@@ -143,6 +146,10 @@ def run_from_paths(spark: SparkSession, paths: dict[str, str], out: str, config:
             train = sample_customers(train, config.sample_frac, config.sample_salt)
             purchases = sampled_purchases(purchases, train)
         r = Run(spark, {"train": train, "clients": clients, "purchases": purchases}, config, **kw)
+        if run_date is not None:
+            outputs = r.outputs()
+            publish_run(spark, outputs, out, run_date)
+            return list(outputs)
         names = []
         for name, build in r.outputs().items():
             write_tables({name: build()}, out)
