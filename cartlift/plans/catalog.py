@@ -638,3 +638,11 @@ def landing_report(c: Context) -> DataFrame:
     """O-01: lines landed and set aside, by reason."""
     from cartlift.sources import landing
     return landing.landing_report(c.spark, _landed(c))
+
+
+@query
+def stream_running_srm(c: Context) -> DataFrame:
+    """E-2: sample-ratio test of the distinct users so far, valid at every daily look."""
+    from cartlift.operators import sequential
+    ev = c.spark.read.parquet(f"{c.sf_dir.rstrip('/')}/events.parquet")
+    return sequential.running_srm(sequential.first_windows(stream.window_users(ev)))

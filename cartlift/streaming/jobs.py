@@ -260,6 +260,26 @@ def start_srm(spark: SparkSession, stream: DataFrame, name: str, path: str, size
     return _start(users.writeStream.outputMode("append").foreachBatch(write), spark, name, available_now)
 
 
+def start_running_srm(spark: SparkSession, stream: DataFrame, name: str, path: str, size: str = "1 day",
+                      available_now: bool = True):
+    """E-2 under continual looks as a running query: new users per window and
+    micro-batch under ``path/batch=<id>``.  State is one key per user of the
+    experiment, kept for good: a user counts once however late it comes back.
+    :func:`running_srm_so_far` adds the counts up and tests them."""
+    from cartlift.operators import sequential
+    users = with_arm(stream.where(F.col("user_id").isNotNull())).dropDuplicates(["user_id"]).select(
+        F.window("ts", size)["start"].alias("window_start"), "user_id", ARM)
+    return _start(users.writeStream.outputMode("append").foreachBatch(batch_writer(path, sequential.arm_counts)),
+                  spark, name, available_now)
+
+
+def running_srm_so_far(spark: SparkSession, path: str, ratio: float = 0.5, alpha: float = 0.001,
+                       tuned_for: float = 1000.0) -> DataFrame:
+    """The running test over all windows that the stream has seen."""
+    from cartlift.operators import sequential
+    return sequential.running_srm(spark.read.parquet(path).drop("batch"), ratio, alpha, tuned_for)
+
+
 def start_psi(spark: SparkSession, stream: DataFrame, edges: Sequence[float], ref_shares: DataFrame, name: str,
               path: str, size: str = "1 day", watermark: str = "1 hour", available_now: bool = True):
     """E-1 as a running query: PSI and its flag for each finalized window.
