@@ -151,15 +151,26 @@ def one_hot(df: DataFrame, col: str, categories: Sequence[str]) -> DataFrame:
 
 def customer_features(train: DataFrame, clients: DataFrame, purchases: DataFrame,
                       as_of=None, gender_cats: Sequence[str] | None = None,
-                      null_future_dates: bool = False, approximate_breadth: bool = False) -> DataFrame:
+                      null_future_dates: bool = False, approximate_breadth: bool = False,
+                      one_scan: bool = False) -> DataFrame:
     """One feature row per experiment customer (O-05..O-16).
 
     Every ``train`` customer is kept; customers without purchases have NULL
     purchase features, customers without a client row have NULL client
     features.  Row order is not defined (ties are broken by id downstream).
+    ``one_scan`` reads the lines once, into a written table of baskets
+    (:mod:`cartlift.operators.state`); otherwise the frame stays lazy.
     """
-    ref = ntz_lit(reference_time_value(purchases, as_of))
-    feats = purchase_features(purchases, ref, approximate_breadth)
+    if one_scan and not approximate_breadth:
+        from cartlift.operators import state
+        from cartlift.session import materialize
+        baskets = materialize(state.basket_rollup(purchases), "baskets")
+        latest = as_of if as_of is not None else first_value(baskets.agg(F.max("tx_time")))
+        ref = ntz_lit(latest)
+        feats = state.features_from_state(state.customer_sums(baskets), state.presence(baskets), ref)
+    else:
+        ref = ntz_lit(reference_time_value(purchases, as_of))
+        feats = purchase_features(purchases, ref, approximate_breadth)
     cl = client_features(clients, ref, null_future_dates)
     df = (train.select(ID, OUTCOME, ARM).join(feats, ID, "left").join(cl, ID, "left"))
     if "gender" in df.columns:

@@ -646,3 +646,16 @@ def stream_running_srm(c: Context) -> DataFrame:
     from cartlift.operators import sequential
     ev = c.spark.read.parquet(f"{c.sf_dir.rstrip('/')}/events.parquet")
     return sequential.running_srm(sequential.first_windows(stream.window_users(ev)))
+
+
+@query
+def merged_purchase_features(c: Context) -> DataFrame:
+    """O-06..O-12: purchase features from the merged states of two halves of the history."""
+    from cartlift.functions.scalars import first_value, ntz_lit
+    from cartlift.operators import state
+    early = _F.col("transaction_datetime") < _F.expr("timestamp_ntz'1998-06-01'")
+    halves = [state.basket_rollup(c.purchases.where(h)) for h in (early, ~early)]
+    sums = state.merge_sums(*[state.customer_sums(h) for h in halves])
+    held = state.merge_presence(*[state.presence(h) for h in halves])
+    latest = ntz_lit(first_value(sums.agg(_F.max("last_tx"))))
+    return state.features_from_state(sums, held, latest)
