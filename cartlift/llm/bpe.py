@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import operator
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -58,7 +59,7 @@ def byte_values() -> dict[str, int]:
     return {c: b for b, c in enumerate(byte_alphabet())}
 
 
-ONE = (1,)
+SHORT = (2, 1)
 
 
 class Merges:
@@ -80,10 +81,10 @@ class Merges:
         for token in vocab:
             tail = self.suffix if self.suffix and token.endswith(self.suffix) else ""
             body = token[:len(token) - len(tail)]
-            if len(body) > 1:
-                lengths.setdefault(body[-2:] + tail, set()).add(len(body))
-        # lengths, longest first, of the tokens that end in two given symbols (and the word's end)
-        self.lengths = {k: (*sorted(v, reverse=True), 1) for k, v in lengths.items()}
+            if len(body) > 2:
+                lengths.setdefault(body[-3:] + tail, set()).add(len(body))
+        # lengths, longest first, of the tokens that may end in three given symbols (and the word's end)
+        self.lengths = {k: (*sorted(v, reverse=True), *SHORT) for k, v in lengths.items()}
 
     def _symbols(self, token: str) -> list[str]:
         if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix):
@@ -144,6 +145,7 @@ class Encoder:
     def __init__(self, merges: Merges):
         self.merges = merges
         self.early = 4 * merges.lookahead
+        self.prefixes: dict[str, tuple[int | None, int]] = {}  # entries of short words' prefixes
         self.reset()
 
     def reset(self) -> None:
@@ -212,44 +214,53 @@ class Encoder:
 
     def word(self, symbols: str) -> list[int]:
         """The same entries for a word from which nothing could be emitted
-        early, found on demand from its end, longest tokens first."""
-        m = self.merges
-        vocab, known, lengths, unset = m.vocab, m.known, m.lengths, -2
-        n = len(symbols)
-        last: list[int | None] = [Merges.START, *[unset] * n]
-        start = [0] * (n + 1)
-
-        def find(end: int, tail: str) -> int | None:
-            for size in lengths.get(symbols[end - 2:end] + tail, ONE) if end > 1 else ONE:
-                at = end - size
-                if at < 0:
-                    continue
-                token = vocab.get(symbols[at:end] + tail)
-                if token is None:
-                    continue
-                before = last[at]
-                if before == unset:
-                    before = find(at, "")
+        early, found on demand from its end, longest tokens first.  An entry
+        belongs to a prefix, whatever follows it, so words share them."""
+        token, start = self._entry(symbols, self.merges.suffix)
+        if token is None:
+            return []
+        out = [token]
+        while start:
+            token, start = self._prefix(symbols[:start])
+            out.append(token)
+        out.reverse()
+        return out
+
+    def _prefix(self, text: str) -> tuple[int | None, int]:
+        """Last token of a prefix and where it starts; remembered."""
+        got = self.prefixes.get(text)
+        if got is None:
+            got = self._entry(text, "")
+            if len(self.prefixes) >= 300_000:
+                self.prefixes.clear()
+            self.prefixes[text] = got
+        return got
+
+    def _entry(self, text: str, tail: str) -> tuple[int | None, int]:
+        m, end = self.merges, len(text)
+        vocab, known, prefixes = m.vocab, m.known, self.prefixes
+        for size in m.lengths.get(text[-3:] + tail, SHORT) if end > 2 else SHORT:
+            at = end - size
+            if at < 0:
+                continue
+            token = vocab.get(text[at:] + tail)
+            if token is None:
+                continue
+            if at:
+                before = (prefixes.get(text[:at]) or self._prefix(text[:at]))[0]
                 if before is None:
                     continue
-                key = (before, token)
-                ok = known.get(key)
-                if ok is None:
-                    if len(known) >= 1_000_000:
-                        known.clear()
-                    ok = known[key] = m.valid(before, token)
-                if ok:
-                    last[end] = token
-                    start[end] = at
-                    return token
-            last[end] = None
-            return None
-
-        out, end = [], n if find(n, m.suffix) is not None else 0
-        while end > 0:
-            out.append(last[end])
-            end = start[end]
-        return out[::-1]
+            else:
+                before = Merges.START
+            key = (before, token)
+            ok = known.get(key)
+            if ok is None:
+                if len(known) >= 1_000_000:
+                    known.clear()
+                ok = known[key] = m.valid(before, token)
+            if ok:
+                return token, at
+        return None, max(0, end - 1)  # a symbol outside the vocabulary: no encoding ends here
 
 
 class Decoder:
@@ -301,6 +312,33 @@ class Decoder:
         return out
 
 
+_COUNT, _NUMBERS, _TEXT = map(operator.itemgetter, range(3))
+
+
+class ShownWords(dict):
+    """word -> (number of ids, ids as text, tokens as text).
+
+    Two generations of at most ``limit`` words: a full one becomes the older
+    one, from which words that occur again come back, so common words stay.
+    """
+
+    def __init__(self, tok: Tokenizer, limit: int):
+        super().__init__()
+        self.tok, self.limit, self.older = tok, limit, {}
+
+    def __missing__(self, word: str) -> tuple[int, str, str]:
+        got = self.older.get(word)
+        if got is None:
+            ids = self.tok._word(word)
+            got = len(ids), " ".join(map(str, ids)), " ".join(map(self.tok.tokens.__getitem__, ids))
+        if len(word) <= 64:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[word] = got
+        return got
+
+
 class Tokenizer:
     """A public tokenizer file (BPE model) behind the transducer."""
 
@@ -331,23 +369,13 @@ class Tokenizer:
                              if self.added else None)
         self.byte_level_decoder = any(s["type"] == "ByteLevel" for s in self._flat(spec.get("decoder"), "decoders"))
         self.alphabet = byte_alphabet()
+        self.symbols = {b: self.alphabet[b] for b in range(256)}
         self.remembered = remembered
         self.words: dict[str, tuple[int, ...]] = {}     # of white-space separated pieces
         self.parts: dict[str, tuple[int, ...]] = {}     # of matches of the splitting rule
-        self.shown: dict[tuple[int, ...], tuple[str, str]] = {}  # ids of a word -> their numbers and their text
+        self.shown = ShownWords(self, remembered)
         self.encoder = Encoder(self.merges)
 
-    def show(self, ids: tuple[int, ...]) -> tuple[str, str]:
-        """Numbers and tokens of a word's ids, each joined by a space; remembered."""
-        known = self.shown.get(ids)
-        if known is None:
-            known = " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids))
-            if len(ids) <= 64:
-                if len(self.shown) >= self.remembered:
-                    self.shown.clear()
-                self.shown[ids] = known
-        return known
-
     @staticmethod
     def _flat(node, key: str) -> list[dict]:
         return [] if not node else node[key] if node["type"] == "Sequence" else [node]
@@ -367,7 +395,7 @@ class Tokenizer:
         if len(part) * 4 > self.encoder.early:
             return tuple(self.stream(part))
         data = part.encode("utf-8", "surrogatepass")
-        return tuple(self.encoder.word("".join(map(self.alphabet.__getitem__, data))))
+        return tuple(self.encoder.word(data.decode("latin-1").translate(self.symbols)))
 
     def _word(self, word: str) -> tuple[int, ...]:
         """Ids of a white-space separated piece of raw text.  White space
@@ -406,19 +434,30 @@ class Tokenizer:
             text = (text.replace("\u03a3", "\u03c3") if not text.isascii() else text).lower()
         return text
 
-    def pieces(self, text: str | None) -> Iterator[tuple[int, ...]]:
-        """Ids of a text, word by word."""
+    def segments(self, text: str | None) -> Iterator[list[str] | int]:
+        """White-space separated words of each stretch of a text, and the ids of the added tokens between."""
         at = 0
         for m in self.special_text.finditer(text) if text and self.special_text else ():
-            yield from self._segment(text[at:m.start()])
-            yield (self.added[m[0]],)
+            yield self._words(text[at:m.start()])
+            yield self.added[m[0]]
             at = m.end()
         if text:
-            yield from self._segment(text[at:] if at else text)
+            yield self._words(text[at:] if at else text)
 
-    def _segment(self, text: str) -> Iterator[tuple[int, ...]]:
-        words = _SPACES.split(text) if _ODD_SPACES.search(text) else text.split()
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        return _SPACES.split(text) if _ODD_SPACES.search(text) else text.split()
+
+    def pieces(self, text: str | None) -> Iterator[tuple[int, ...]]:
+        """Ids of a text, word by word."""
         known = self.words
+        for segment in self.segments(text):
+            if isinstance(segment, int):
+                yield (segment,)
+                continue
+            yield from self._known(segment, known)
+
+    def _known(self, words: list[str], known: dict) -> Iterator[tuple[int, ...]]:
         for w in words:
             ids = known.get(w)
             if ids is None:
@@ -471,29 +510,22 @@ def _digest(tok: Tokenizer, text: str | None, block: int = 4096) -> tuple[int, s
 
 
 def _digest_words(tok: Tokenizer, text: str | None, block: int) -> tuple[int, str, str]:
-    """Without a byte-level decoder tokens are decoded one by one, so numbers
-    and text of a word can be remembered."""
-    ids_sha, text_sha, n, begun = hashlib.sha256(), hashlib.sha256(), 0, False
-    numbers: list[str] = []
-    tokens: list[str] = []
-
-    def flush() -> None:
-        lead = " " if begun else ""
-        ids_sha.update((lead + " ".join(numbers)).encode())
-        text_sha.update((lead + " ".join(tokens)).encode("utf-8", "surrogatepass"))
-
-    for ids in tok.pieces(text):
-        if not ids:
-            continue
-        n += len(ids)
-        number, token = tok.show(ids)
-        numbers.append(number)
-        tokens.append(token)
-        if len(numbers) >= block:
-            flush()
-            begun, numbers, tokens = True, [], []
-    if numbers:
-        flush()
+    """Without a byte-level decoder tokens are decoded one by one, so number,
+    ids and text of a word can be remembered; a block of words is three joins."""
+    ids_sha, text_sha, n = hashlib.sha256(), hashlib.sha256(), 0
+    for segment in tok.segments(text):
+        added = isinstance(segment, int)
+        for at in range(0, 1 if added else len(segment), block):
+            entries = ([(1, str(segment), tok.tokens[segment])] if added
+                       else list(map(tok.shown.__getitem__, segment[at:at + block])))
+            count = list(map(_COUNT, entries))
+            if 0 in count:
+                entries = [e for e in entries if e[0]]
+            if entries:
+                lead = " " if n else ""
+                ids_sha.update((lead + " ".join(map(_NUMBERS, entries))).encode())
+                text_sha.update((lead + " ".join(map(_TEXT, entries))).encode("utf-8", "surrogatepass"))
+                n += sum(count)
     return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
 
