@@ -130,7 +130,8 @@ def cohort_retention(c: Context) -> DataFrame:
 @query
 def cohort_matrix(c: Context) -> DataFrame:
     """O-23: latest 6 cohorts by first 6 offsets."""
-    return prod.cohort_matrix(prod.cohort_retention(c.purchases))
+    from cartlift.session import materialize
+    return prod.cohort_matrix(materialize(prod.cohort_retention(c.purchases), "retention"))  # read twice
 
 
 @query

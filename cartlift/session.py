@@ -88,7 +88,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def materialize(df, name: str | None = None):
+def materialize(df, name: str | None = None, codec: str | None = None):
     """Cut lineage: write ``df`` as a Parquet table in the shared checkpoint
     folder and read it back.
 
@@ -96,12 +96,14 @@ def materialize(df, name: str | None = None):
     split).  Compared with ``Dataset.checkpoint`` the table is columnar, so
     later jobs prune columns and push filters into the scan; a lost executor
     re-reads files instead of re-running the purchase scan and shuffles.
+    ``codec`` names another Parquet compression than the session's.
     """
     import uuid
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/tables/{name or 'table'}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.option("compression", codec) if codec else writer).parquet(path)
     _written.append(path)
     return spark.read.parquet(path)
 

@@ -121,3 +121,15 @@ def test_small_inputs_take_several_buckets(spark):
     placed = ranking._placed(_frame(spark, n=500), [("v", False)], "id", (), None, ranking.ROWS_PER_BUCKET)
     assert placed.select("_bucket").distinct().count() > 1
     assert global_rank(spark.createDataFrame([], "id long, v double"), [("v", False)], tie_col="id").count() == 0
+
+
+def test_ntile_matches_duckdb_for_all_small_sizes(spark):
+    import duckdb
+
+    from cartlift.operators.ranking import ntile_from_rank
+    rows = [(n, r) for n in range(1, 201) for r in range(1, n + 1)]
+    got = {(x.n, x.r): x.t for x in spark.createDataFrame(rows, "n long, r long")
+           .select("n", "r", ntile_from_rank(F.col("r"), F.col("n"), 5).alias("t")).collect()}
+    want = duckdb.sql("""select n, r, ntile(5) over (partition by n order by r) t
+                         from (select unnest(range(1, 201)) n), lateral (select unnest(range(1, n + 1)) r)""").fetchall()
+    assert got == {(n, r): t for n, r, t in want}
