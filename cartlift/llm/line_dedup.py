@@ -48,7 +48,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = materialize(
         docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).select(
             F.monotonically_increasing_id().alias("row"), F.spark_partition_id().alias("run"), "id", "text",
-            line_keys(F.col("text"), min_chars).alias("keys")), "lines")
+            line_keys(F.col("text"), min_chars).alias("keys")), "lines", codec="zstd")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "row") if keep == "smallest" else F.struct("id", "row")
     offered = rows.select("run", order.alias("at"),
                           F.explode(F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))).alias("key"))
