@@ -163,6 +163,7 @@ def t_learner(train: DataFrame, test: DataFrame, feature_cols: Sequence[str],
 # ---------------------------------------------------------------- committees fitted in tasks
 
 FOLD = "fold"
+SCORED_PER_TASK = 20_000
 
 
 def with_folds(df: DataFrame, folds: int, salt: str = "fold") -> DataFrame:
@@ -187,11 +188,13 @@ def fit_committees(df: DataFrame, feature_cols: Sequence[str], cfg: AnalysisConf
     from cartlift.operators.boosting import boost
     counts = {(r[FOLD], r[ARM]): r["count"] for r in df.groupBy(FOLD, ARM).count().collect()}  # folds x arms
     u = keyed_uniform(ID, "member")
-    places = []
+    places, groups = [], 0
     for f in scored_folds:
         for model, arms in (("s", (0, 1)), ("t", (1,)), ("c", (0,))):
             n = sum(k for (fold, arm), k in counts.items() if fold != f and arm in arms)
-            member = F.floor(u * F.lit(max(1, -(-n // cfg.member_rows)))).cast("int")
+            dealt = max(1, -(-n // cfg.member_rows))
+            groups += min(dealt, cfg.members)
+            member = F.floor(u * F.lit(dealt)).cast("int")
             places.append(F.when((F.col(FOLD) != f) & F.col(ARM).isin(*arms) & (member < cfg.members),
                                  F.struct(F.lit(model).alias("model"), F.lit(f).alias("scored"), member.alias("member"))))
     rows = (df.select(ID, FOLD, F.col(ARM).cast("double").alias("arm"), F.col(OUTCOME).cast("double").alias("y"),
@@ -213,7 +216,9 @@ def fit_committees(df: DataFrame, feature_cols: Sequence[str], cfg: AnalysisConf
         keys = t.select(["model", FOLD, "member"]).slice(0, 1)
         return keys.append_column("trees", pa.array([trees.dumps()], pa.binary()))
 
-    return rows.groupBy("model", FOLD, "member").applyInArrow(
+    # a fit is long and its rows are few: partitions go by the number of fits, not by bytes
+    spread = max(1, 4 * groups)
+    return rows.repartition(spread, "model", FOLD, "member").groupBy("model", FOLD, "member").applyInArrow(
         fit, f"model string, {FOLD} int, member int, trees binary")
 
 
@@ -254,7 +259,10 @@ def score_committees(df: DataFrame, feature_cols: Sequence[str], models: DataFra
             scores = [pa.array(v, pa.float64(), mask=np.isnan(v)) for v in (s, t)]  # no model: no score
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *scores], names=out.names)
 
-    return df.select(*names, F.col(FOLD).alias("_fold"), _vector(feature_cols).alias("_x")).mapInArrow(run, out)
+    # a row costs hundreds of tree walks, more than its move: tasks get equal numbers of rows
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // SCORED_PER_TASK))
+    return (df.select(*names, F.col(FOLD).alias("_fold"), _vector(feature_cols).alias("_x"))
+            .repartition(tasks, ID).mapInArrow(run, out))
 
 
 def cross_fit_scores(df: DataFrame, feature_cols: Sequence[str], cfg: AnalysisConfig,
