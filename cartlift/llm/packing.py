@@ -7,13 +7,15 @@ histogram of lengths (the only thing that reaches the driver), and its plan is
 a short list of *patterns*: a filling of one sequence and how often it is used.
 
 Planning is bin completion by branch and bound: take the largest length left,
-enumerate undominated fillings of the rest of its sequence (a filling whose
-pieces could replace those of another one, with no more waste, rules it out),
-use the one of least waste as often as pieces last, and go on.  Its first
-descent is the best-fit solution and the first incumbent.  Alternative
-fillings are then tried in descents that are cut off when the waste so far
-exceeds what a better solution could have; the search ends at the lower bound
-or after ``descents`` descents.
+enumerate the undominated fillings of the rest of its sequence by their waste
+(bit sets of reachable sums keep that enumeration free of dead ends), use one
+as often as pieces last, or less often, and go on; backtrack when the waste so
+far leaves no better solution.  The incumbent is the best-fit solution first,
+then every better one.  Paths are tried in the order of how far they depart
+from the least waste, without an end, so the search is complete: it stops at
+the lower bound, when no path is left, or after ``steps`` steps, a bound on the
+driver's work that does not grow with the corpus.  The plan tells sequences,
+lower bound and whether the optimum is proven; ``pack`` logs all three.
 
 Pieces are then numbered among those of equal length without any sort or
 shuffle by length alone: each written partition numbers its own, the counts
@@ -29,8 +31,10 @@ are ignored.
 from __future__ import annotations
 
 import json
+import logging
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +47,8 @@ from pyspark.sql import types as T
 from cartlift.llm.bpe import byte_values
 from cartlift.llm.common import materialize, row_chunks
 
+LOG = logging.getLogger(__name__)
+
 #: Word pattern of the byte-level vocabulary (a fixed value).
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -126,35 +132,117 @@ class Stock:
                 del self.counts[l]
                 del self.sorted[bisect_right(self.sorted, l) - 1]
 
+    def give_back(self, pattern: dict[int, int], times: int) -> None:
+        for l, k in pattern.items():
+            if l not in self.counts:
+                insort(self.sorted, l)
+            self.counts[l] = self.counts.get(l, 0) + k * times
+
+    def lasts(self, pattern: dict[int, int]) -> int:
+        """How often the pattern can be taken."""
+        return min(self.counts[l] // k for l, k in pattern.items())
+
+
+class Spent(Exception):
+    """The search has used its steps up."""
+
+
+class Budget:
+    def __init__(self, steps: int):
+        self.left = steps
+
+    def spend(self, steps: int = 1) -> None:
+        self.left -= steps
+        if self.left < 0:
+            raise Spent
+
+
+def reachable(lengths: list[int], most: list[int], room: int) -> list[int]:
+    """Bit sets of the sums up to ``room`` that the first 0, 1, 2, ... lengths reach."""
+    keep = (1 << (room + 1)) - 1
+    sums = [1]
+    for l, n in zip(lengths, most):
+        bits, k = sums[-1], 1
+        while n > 0:  # multiplicities 1, 2, 4, ... and the rest
+            k = min(k, n)
+            bits |= bits << (k * l) & keep
+            n -= k
+            k *= 2
+        sums.append(bits)
+    return sums
+
 
-def fillings(stock: Stock, first: int, capacity: int, width: int) -> list[tuple[int, dict[int, int]]]:
-    """Undominated fillings around one piece of length ``first``: (waste, pattern), best first.
+def fillings(stock: Stock, first: int, capacity: int, most_waste: int, want: int,
+             budget: Budget) -> list[tuple[int, dict[int, int]]]:
+    """The ``want`` best undominated fillings around one piece of length ``first``: (waste, pattern).
 
-    Each starts with one of the ``width`` largest lengths that fit and is
-    completed best-fit; a start is skipped when an earlier filling wastes no
-    more and consists of pieces at least as large.
+    They come by waste, then with larger pieces first.  A filling is dominated,
+    and not listed, when a piece left in stock fits its free room, or could take
+    the place of one smaller piece or of two pieces without passing the capacity:
+    what it replaces then fits wherever that piece would have gone.
     """
-    found: list[tuple[int, dict[int, int]]] = []
     room = capacity - first
-    start = stock.largest(room)
-    least = room + 1
-    for _ in range(width):
-        if not start:
-            break
-        pattern, left, nxt = {first: 1}, room, start
-        while nxt:
-            k = min(stock.counts[nxt] - pattern.get(nxt, 0), left // nxt)
-            if k > 0:
-                pattern[nxt] = pattern.get(nxt, 0) + k
-                left -= k * nxt
-            nxt = stock.largest(min(left, nxt - 1))
-        if left < least:
-            found.append((left, pattern))
-            least = left
-        if not least:
-            break
-        start = stock.largest(start - 1)
-    return sorted(found, key=lambda f: f[0]) or [(room, {first: 1})]
+    lengths = stock.sorted[:bisect_right(stock.sorted, room)]
+    own = [stock.counts[l] - (l == first) for l in lengths]
+    lengths, own = [l for l, n in zip(lengths, own) if n], [n for n in own if n]
+    budget.spend(1 + len(lengths) // 8)
+    sums = reachable(lengths, [min(n, room // l) for l, n in zip(lengths, own)], room)
+    used = [0] * len(lengths)
+    found: list[tuple[int, dict[int, int]]] = []
+
+    def spare(low: int, high: int) -> bool:
+        """Whether a length of low..high is in stock and unused."""
+        at = bisect_left(lengths, low)
+        while at < len(lengths) and lengths[at] <= high:
+            if used[at] < own[at]:
+                return True
+            at += 1
+        return False
+
+    def complete(goal: int, waste: int) -> None:
+        """All undominated choices of exactly ``goal`` tokens, by an explicit stack."""
+        chosen: list[int] = []                      # positions in ``lengths``, never rising
+        nxt, left = len(lengths) - 1, goal
+        while True:
+            if left == 0:
+                if not lengths or not spare(1, waste):
+                    pattern = {first: 1}
+                    for at in chosen:
+                        pattern[lengths[at]] = pattern.get(lengths[at], 0) + 1
+                    found.append((waste, pattern))
+                    if len(found) >= want:
+                        return
+                nxt = -1
+            while nxt >= 0:
+                budget.spend()
+                nxt = min(nxt, bisect_right(lengths, left) - 1)
+                if nxt < 0 or not sums[nxt + 1] >> left & 1:
+                    nxt = -1                        # smaller lengths reach no more than these
+                    break
+                l = lengths[nxt]
+                if used[nxt] < own[nxt] and sums[nxt + 1] >> (left - l) & 1 and not spare(l + 1, l + waste) \
+                        and not any(spare(l + lengths[o], l + lengths[o] + waste) for o in set(chosen)):
+                    break
+                nxt -= 1
+            if nxt >= 0:
+                chosen.append(nxt)
+                used[nxt] += 1
+                left -= lengths[nxt]
+                continue
+            if not chosen:
+                return
+            last = chosen.pop()
+            used[last] -= 1
+            left += lengths[last]
+            nxt = last - 1
+
+    for waste in range(min(room, most_waste) + 1):
+        if sums[-1] >> (room - waste) & 1:
+            complete(room - waste, waste)
+            used = [0] * len(lengths)
+            if len(found) >= want:
+                break
+    return found
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -172,47 +260,102 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def descend(counts: dict[int, int], capacity: int, width: int, deviate: dict[int, int],
-            waste_limit: int) -> list[tuple[int, dict[int, int]]] | None:
-    """One descent: patterns with their multiplicities, or None once the waste
-    passes the limit.  ``deviate`` maps a step to the rank of the filling taken there."""
-    stock, out, waste = Stock(counts), [], 0
-    step = 0
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """The best-fit solution, the search's first incumbent: each sequence takes
+    the largest pieces that fit, and is repeated as often as they last."""
+    stock, out = Stock(counts), []
     while stock.sorted:
-        first = stock.sorted[-1]
-        options = fillings(stock, first, capacity, width)
-        left, pattern = options[min(deviate.get(step, 0), len(options) - 1)]
-        times = min(stock.counts[l] // k for l, k in pattern.items())
+        pattern: dict[int, int] = {}
+        left, nxt = capacity, stock.sorted[-1]
+        while nxt:
+            pattern[nxt] = min(stock.counts[nxt], left // nxt)
+            left -= pattern[nxt] * nxt
+            nxt = stock.largest(min(left, nxt - 1))
+        times = stock.lasts(pattern)
         stock.take(pattern, times)
         out.append((times, pattern))
-        step += 1
-        if stock.sorted:  # the last sequence's rest is no waste that a better solution could avoid
-            waste += left * times
-            if waste > waste_limit:
-                return None
     return out
 
 
-def bin_completion(counts: dict[int, int], capacity: int, width: int = 48,
-                   descents: int = 24) -> list[tuple[int, dict[int, int]]]:
-    """Patterns (times, {length: pieces}) that pack all pieces into few sequences."""
+class Plan(NamedTuple):
+    """Patterns (times, {length: pieces}), their sequences, the lower bound, and
+    whether the search has proven that no packing needs fewer."""
+    patterns: list[tuple[int, dict[int, int]]]
+    sequences: int
+    bound: int
+    proven: bool
+
+
+def _options(stock: Stock, capacity: int, waste_left: int, slack: int, budget: Budget) -> tuple[list, bool]:
+    """Up to ``slack`` + 1 ways to go on, (waste, times, pattern), and whether more exist.
+
+    Every filling comes as often as it lasts first, then all again half as
+    often and so on down to once, so that single use is among the ways too."""
+    found = fillings(stock, stock.sorted[-1], capacity, waste_left, slack + 2, budget)
+    ways, times = [], [stock.lasts(p) for _, p in found]
+    while any(times):
+        ways += [(w, t, p) for t, (w, p) in zip(times, found) if t and w * t <= waste_left]
+        times = [t // 2 for t in times]
+    return ways[:slack + 1], len(ways) > slack + 1 or len(found) > slack + 1
+
+
+def improve(counts: dict[int, int], capacity: int, slack: int, limit: int,
+            budget: Budget) -> tuple[list[tuple[int, dict[int, int]]] | None, bool]:
+    """A solution that wastes at most ``limit`` tokens, or None, and whether
+    ways were left out.  Depth first with backtracking; along one path the ranks
+    of the ways taken add up to ``slack`` at most (limited discrepancy)."""
+    stock, cut_off = Stock(counts), False
+    ways, more = _options(stock, capacity, limit, slack, budget)
+    cut_off |= more
+    frames = [(iter(enumerate(ways)), slack)]
+    path: list[tuple[int, int, dict[int, int]]] = []        # one less than frames
+    waste = 0
+    while frames:
+        step = next(frames[-1][0], None)
+        if step is None:
+            frames.pop()
+            if path:
+                left, times, pattern = path.pop()
+                stock.give_back(pattern, times)
+                waste -= left * times
+            continue
+        rank, (left, times, pattern) = step
+        stock.take(pattern, times)
+        waste += left * times
+        path.append((left, times, pattern))
+        if not stock.sorted:
+            return [(t, p) for _, t, p in path], cut_off
+        rest = frames[-1][1] - rank
+        ways, more = _options(stock, capacity, limit - waste, rest, budget)
+        cut_off |= more
+        frames.append((iter(enumerate(ways)), rest))
+    return None, cut_off
+
+
+def bin_completion(counts: dict[int, int], capacity: int, steps: int = 2_000_000) -> Plan:
+    """Patterns that pack all pieces into as few sequences as the search finds in ``steps`` steps."""
     full = counts.get(capacity, 0)
     rest = {l: n for l, n in counts.items() if 0 < l < capacity and n > 0}
     out = [(full, {capacity: 1})] if full else []
     if not rest:
-        return out
+        return Plan(out, full, full, True)
     total = sum(l * n for l, n in rest.items())
     bound = lower_bound(rest, capacity)
-    best = descend(rest, capacity, 1, {}, 1 << 62)         # best fit: the first incumbent
+    best = best_fit(rest, capacity)
     bins = sum(t for t, _ in best)
-    trials = [(width, {})] + [(width, {s: r}) for s in range(descents) for r in (1, 2)]
-    for w, deviate in trials[:descents]:
-        if bins <= bound:
+    budget, slack, proven = Budget(steps), 0, bins == bound
+    while not proven:
+        try:
+            found, cut_off = improve(rest, capacity, slack, (bins - 1) * capacity - total, budget)
+        except Spent:
             break
-        tried = descend(rest, capacity, w, deviate, (bins - 1) * capacity - total)
-        if tried is not None and (n := sum(t for t, _ in tried)) < bins:
-            best, bins = tried, n
-    return out + best
+        if found is not None:
+            best, bins = found, sum(t for t, _ in found)
+            proven = bins == bound
+        else:
+            proven = not cut_off
+            slack = 2 * slack + 1
+    return Plan(out + best, full + bins, full + bound, proven)
 
 
 def allocation(plan: list[tuple[int, dict[int, int]]], capacity: int) -> dict[int, np.ndarray]:
@@ -232,7 +375,7 @@ def allocation(plan: list[tuple[int, dict[int, int]]], capacity: int) -> dict[in
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id",
-         text_col: str = "text", with_ids: bool = False, width: int = 48, descents: int = 24) -> DataFrame:
+         text_col: str = "text", with_ids: bool = False, steps: int = 2_000_000) -> DataFrame:
     """Every piece with its sequence and its offset there."""
     spark = docs.sparkSession
     # written once: partition and place must be the same for every later reader
@@ -241,7 +384,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = spark.sparkContext.broadcast(allocation(bin_completion(histogram, capacity, width, descents), capacity))
+    found = bin_completion(histogram, capacity, steps)
+    LOG.info("%d sequences, lower bound %d, optimum %s", found.sequences, found.bound,
+             "proven" if found.proven else "not proven")
+    plan = spark.sparkContext.broadcast(allocation(found.patterns, capacity))
 
     numbered = pieces.join(offsets, ["part", "length"]).withColumn("number", F.col("place") + F.col("before"))
     kept = [id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]

@@ -82,22 +82,44 @@ def fewest(lengths, capacity):
     return best
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 20), min_size=1, max_size=8))
-def test_plans_pack_everything_and_nearly_optimally(lengths):
-    plan = K.bin_completion(dict(Counter(lengths)), 20)
+def check_plan(plan, counts, capacity):
     used = Counter()
-    for times, pattern in plan:
-        assert sum(l * k for l, k in pattern.items()) <= 20
+    for times, pattern in plan.patterns:
+        assert times > 0 and sum(l * k for l, k in pattern.items()) <= capacity
         for l, k in pattern.items():
             used[l] += k * times
-    assert used == Counter(lengths)
-    n, best = sum(t for t, _ in plan), fewest(lengths, 20)
-    rest = {l: c for l, c in Counter(lengths).items() if l < 20}
-    assert K.lower_bound(rest, 20) + lengths.count(20) <= best <= n <= best + 1
+    assert used == Counter(counts)
+    assert plan.sequences == sum(t for t, _ in plan.patterns) >= plan.bound
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+def test_plans_are_optimal(lengths):
+    plan = K.bin_completion(dict(Counter(lengths)), 20)
+    check_plan(plan, Counter(lengths), 20)
+    assert plan.proven and plan.sequences == fewest(lengths, 20)
 
 
 def test_branching_improves_on_best_fit():
     counts = {6: 2, 5: 2, 4: 2, 3: 2, 2: 2}  # 6+4, 5+5, 3+3+4, 6+2+2 in capacity 10
-    n = sum(t for t, _ in K.bin_completion(counts, 10))
+    n = K.bin_completion(counts, 10).sequences
     assert n == fewest([6, 6, 5, 5, 4, 4, 3, 3, 2, 2], 10) == 4
+
+
+@pytest.mark.parametrize("times", [1, 7, 1000])
+def test_optimum_of_repeated_lengths(times):
+    counts = {l: n * times for l, n in {8: 1, 5: 3, 4: 2, 3: 3}.items()}  # 8+5+4+3 and 5+5+4+3+3
+    plan = K.bin_completion(counts, 20)
+    check_plan(plan, counts, 20)
+    assert plan.sequences == 2 * times and plan.proven
+
+
+def test_search_ends_with_its_steps():
+    rng = np.random.default_rng(0)
+    counts = Counter(rng.integers(300, 900, 600).tolist())
+    plan = K.bin_completion(counts, 2048, steps=1000)
+    check_plan(plan, counts, 2048)
+    assert plan.sequences == sum(t for t, _ in K.best_fit(counts, 2048))
+    longer = K.bin_completion(counts, 2048)
+    check_plan(longer, counts, 2048)
+    assert longer.sequences <= plan.sequences
