@@ -185,7 +185,7 @@ def fillings(stock: Stock, first: int, capacity: int, most_waste: int, want: int
     lengths = stock.sorted[:bisect_right(stock.sorted, room)]
     own = [stock.counts[l] - (l == first) for l in lengths]
     lengths, own = [l for l, n in zip(lengths, own) if n], [n for n in own if n]
-    budget.spend(1 + len(lengths) // 8)
+    budget.spend(50 + len(lengths))  # a step is one test, roughly
     sums = reachable(lengths, [min(n, room // l) for l, n in zip(lengths, own)], room)
     used = [0] * len(lengths)
     found: list[tuple[int, dict[int, int]]] = []
@@ -193,9 +193,11 @@ def fillings(stock: Stock, first: int, capacity: int, most_waste: int, want: int
     def spare(low: int, high: int) -> bool:
         """Whether a length of low..high is in stock and unused."""
         at = bisect_left(lengths, low)
+        budget.spend()
         while at < len(lengths) and lengths[at] <= high:
             if used[at] < own[at]:
                 return True
+            budget.spend()
             at += 1
         return False
 
@@ -332,7 +334,7 @@ def improve(counts: dict[int, int], capacity: int, slack: int, limit: int,
     return None, cut_off
 
 
-def bin_completion(counts: dict[int, int], capacity: int, steps: int = 2_000_000) -> Plan:
+def bin_completion(counts: dict[int, int], capacity: int, steps: int = 10_000_000) -> Plan:
     """Patterns that pack all pieces into as few sequences as the search finds in ``steps`` steps."""
     full = counts.get(capacity, 0)
     rest = {l: n for l, n in counts.items() if 0 < l < capacity and n > 0}
@@ -375,7 +377,7 @@ def allocation(plan: list[tuple[int, dict[int, int]]], capacity: int) -> dict[in
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id",
-         text_col: str = "text", with_ids: bool = False, steps: int = 2_000_000) -> DataFrame:
+         text_col: str = "text", with_ids: bool = False, steps: int = 10_000_000) -> DataFrame:
     """Every piece with its sequence and its offset there."""
     spark = docs.sparkSession
     # written once: partition and place must be the same for every later reader
