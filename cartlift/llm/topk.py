@@ -10,9 +10,13 @@ pruned when
 
     <cq, cr> + |cq| Rr + |cr| Rq + Rq Rr
 
-is below the worst k-th score of the queries under the query node, and leaf
-pairs are scored exactly by one matrix product.  Each pair returns at most k
-rows a query; a window over these takes the final k.
+is below the worst k-th score of the queries under the query node; leaves that
+remain are taken by the bound <q, cr> + |q| Rr of each single query, the most
+promising first, until it falls below that query's own k-th score.  A query
+gets a k-th score before any pruning: from the leaves nearest to its group in
+its own block, which is searched first, and then as a floor in every other
+block.  Each pair returns at most k rows a query, none below that floor; a
+window over these takes the final k.
 
 The components are integers, so scores are exact; the bound is rounded up.
 Products whose sum could pass 2**53 are computed in Python integers.
@@ -36,117 +40,195 @@ from pyspark.sql import functions as F
 from cartlift.llm.common import materialize
 
 FANOUT = 32
-LEAF = 256
+LEAF = 8             # points of a block's leaf
+QUERY_LEAF = 64      # queries that descend a block's tree together
+CELLS = 4_000_000    # vector components gathered at once
+LOWEST, NO_ID = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 class CoverTree:
-    """Points in tree order with nodes (start, end, centre, radius, children)."""
+    """Points in tree order with nodes (start, end, centre, radius, children).
 
-    def __init__(self, points: np.ndarray):
-        self.points = points.astype(np.float64)
+    A node's first child keeps its centre; the others' centres are points of
+    the node, each the farthest from the centres before it."""
+
+    def __init__(self, points: np.ndarray, leaf: int = LEAF):
+        self.points, self.leaf = points.astype(np.float64), leaf
         self.order = np.arange(len(points))
         self.nodes: list[tuple[int, int, np.ndarray, float, list[int]]] = []
         if len(points):
-            self._build(0, len(points))
+            mean = ((self.points - self.points.mean(axis=0)) ** 2).sum(1)
+            self._build(0, len(points), int(np.argmin(mean)))
 
-    def _build(self, start: int, end: int) -> int:
-        own = self.points[self.order[start:end]]
-        centre = own.mean(axis=0)
-        at = int(np.argmin(((own - centre) ** 2).sum(1)))  # the point nearest the mean
-        centre = own[at]
+    def _build(self, start: int, end: int, at: int) -> int:
+        """Node over the places start..end around the point ``at``."""
+        rows = self.order[start:end]
+        own, centre = self.points[rows], self.points[at]
         dist = np.sqrt(((own - centre) ** 2).sum(1))
         radius = float(dist.max())
         here = len(self.nodes)
         self.nodes.append((start, end, centre, radius * (1 + 1e-12), []))
-        if end - start <= LEAF or radius == 0:
-            return here
-        label, near = np.zeros(end - start, np.int64), dist
-        for c in range(1, FANOUT):
-            far = int(np.argmax(near))
-            if near[far] <= radius / 2:
-                break
-            d = np.sqrt(((own - own[far]) ** 2).sum(1))
-            closer = d < near
-            label[closer], near = c, np.minimum(d, near)
-        sizes = np.bincount(label)
-        if sizes.max() == end - start:
+        if end - start <= self.leaf:
             return here
+        centres, label, near = [at], np.zeros(end - start, np.int64), dist
+        if radius == 0:                                  # equal points: leaves of their own
+            label = np.arange(end - start) // self.leaf
+            centres = rows[::self.leaf].tolist()
+            if len(centres) > FANOUT:
+                label, centres = label * FANOUT // len(centres), centres[:FANOUT]
+        else:
+            for c in range(1, FANOUT):
+                far = int(np.argmax(near))
+                if near[far] <= radius / 2:
+                    break
+                d = np.sqrt(((own - own[far]) ** 2).sum(1))
+                closer = d < near
+                label[closer], near = c, np.minimum(d, near)
+                centres.append(int(rows[far]))
         by = np.argsort(label, kind="stable")
-        self.order[start:end] = self.order[start:end][by]
-        at = start
-        for n in sizes[sizes > 0].tolist():
-            self.nodes[here][4].append(self._build(at, at + n))
-            at += n
+        self.order[start:end] = rows[by]
+        at_place = start
+        for c, n in enumerate(np.bincount(label, minlength=len(centres)).tolist()):
+            if n:
+                self.nodes[here][4].append(self._build(at_place, at_place + n, centres[c]))
+                at_place += n
         return here
 
+    def leaves(self) -> list[int]:
+        return [i for i, n in enumerate(self.nodes) if not n[4]]
+
+
+def _exact_in_float(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether all inner products of the rows of a and b are exact in doubles."""
+    return float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1]) < 2.0 ** 53
+
+
+def _clipped(exact: np.ndarray) -> np.ndarray:
+    """Python integers as longs, held to their range."""
+    return np.clip(exact, -2 ** 63, 2 ** 63 - 1).astype(np.int64)
+
 
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Integer inner products of the rows of a and b."""
-    top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if top < 2.0 ** 53:
+    if _exact_in_float(a, b):
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    exact = a.astype(object) @ b.astype(object).T
-    return np.clip(exact, -2 ** 63, 2 ** 63 - 1).astype(np.int64)
+    return _clipped(a.astype(object) @ b.astype(object).T)
 
 
 class Best:
-    """The k best (score, id) of each query so far: score down, id up."""
+    """The k best (score, id) of each query so far: score down, id up.  Only
+    scores of at least ``floor``, a query's k-th score elsewhere, are taken."""
 
-    def __init__(self, n: int, k: int):
+    def __init__(self, n: int, k: int, floor: np.ndarray | None = None):
         self.k = k
-        self.score = np.full((n, k), np.iinfo(np.int64).min)
-        self.id = np.full((n, k), np.iinfo(np.int64).max)
-
-    def offer(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray, skip: np.ndarray | None) -> None:
-        """``score``: rows x candidates; ``skip`` marks pairs that don't count."""
-        worst_s, worst_i = self.score[rows, -1][:, None], self.id[rows, -1][:, None]
-        better = (score > worst_s) | ((score == worst_s) & (ids[None, :] < worst_i))
-        if skip is not None:
-            better &= ~skip
-        r, c = np.nonzero(better)
-        if not len(r):
+        self.score = np.full((n, k), LOWEST)
+        self.id = np.full((n, k), NO_ID)
+        self.floor = np.full(n, LOWEST) if floor is None else floor
+        self.scored = 0     # exact scores taken
+        self.bounded = 0    # inner products taken for bounds
+
+    def worst(self, rows: np.ndarray) -> np.ndarray:
+        return np.maximum(self.score[rows, -1], self.floor[rows])
+
+    def offer(self, row: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Candidates as (query, score, id), each at most once."""
+        held = self.score[row, -1]
+        better = (score >= self.floor[row]) & ((score > held) | ((score == held) & (ids < self.id[row, -1])))
+        row, score, ids = row[better], score[better], ids[better]
+        if not len(row):
             return
-        hit = np.unique(r)
-        who = rows[hit]
-        row = np.concatenate([np.searchsorted(hit, r), np.repeat(np.arange(len(hit)), self.k)])
-        s = np.concatenate([score[r, c], self.score[who].ravel()])
-        i = np.concatenate([ids[c], self.id[who].ravel()])
-        by = np.lexsort((i, -s.astype(np.float64) if np.abs(s).max() < 2 ** 53 else ~s, row))
-        first = np.searchsorted(row[by], np.arange(len(hit)))
-        take = by[(first[:, None] + np.arange(self.k)[None, :])]
+        who = np.unique(row)
+        place = np.concatenate([np.searchsorted(who, row), np.repeat(np.arange(len(who)), self.k)])
+        s = np.concatenate([score, self.score[who].ravel()])
+        i = np.concatenate([ids, self.id[who].ravel()])
+        by = np.lexsort((i, ~s, place))
+        take = by[np.searchsorted(place[by], np.arange(len(who)))[:, None] + np.arange(self.k)[None, :]]
         self.score[who], self.id[who] = s[take], i[take]
 
 
-def dual_search(queries: dict, block: dict, k: int) -> Best:
-    """Top k of each query among the block's points."""
+def dual_search(queries: dict, block: dict, k: int, floor: np.ndarray | None = None) -> Best:
+    """Top k of each query among the block's points, but for those below ``floor``."""
     width = max(queries["points"].shape[1], block["points"].shape[1])
     q, r = _padded(queries["points"], width), _padded(block["points"], width)
     qt, rt = queries["tree"], block["tree"]
-    best = Best(len(q), k)
+    best = Best(len(q), k, floor)
     if not len(q) or not len(r):
         return best
-    tops = {id(t): (np.array([_fit(n[2], width) for n in t.nodes]), np.array([n[3] for n in t.nodes])) for t in (qt, rt)}
-    (qc, qr), (rc, rr) = tops[id(qt)], tops[id(rt)]
-    reach = qc @ rc.T + np.linalg.norm(qc, axis=1)[:, None] * rr[None, :] \
+    qc, rc = (np.array([_fit(n[2], width) for n in t.nodes]) for t in (qt, rt))
+    qr, rr = (np.array([n[3] for n in t.nodes]) for t in (qt, rt))
+    leaf_no = np.array(rt.leaves())
+    leaf_at = {int(n): i for i, n in enumerate(leaf_no)}
+    spans = np.array([rt.nodes[n][:2] for n in leaf_no])
+    members = spans[:, :1] + np.arange((spans[:, 1] - spans[:, 0]).max())[None, :]
+    there = members < spans[:, 1:]
+    members = rt.order[np.where(there, members, 0)]                     # leaf x slot -> point
+    small = _exact_in_float(q, r)
+    qf, rf = (q.astype(np.float64), r.astype(np.float64)) if small else (q.astype(object), r.astype(object))
+    q_real = q.astype(np.float64)
+    norm = np.linalg.norm(q_real, axis=1)
+    inner = qc @ rc.T
+    reach = inner + np.linalg.norm(qc, axis=1)[:, None] * rr[None, :] \
         + np.linalg.norm(rc, axis=1)[None, :] * qr[:, None] + qr[:, None] * rr[None, :]
     reach += np.abs(reach) * 1e-9 + 1  # rounding can only make the bound larger
+    best.bounded += inner.size
+
+    def score_leaves(rows: np.ndarray, leaves: np.ndarray) -> None:
+        """Exact scores of pairs (query, leaf)."""
+        step = max(1, CELLS // (members.shape[1] * max(1, width)))
+        for at in range(0, len(rows), step):
+            row, pts, ok = rows[at:at + step], members[leaves[at:at + step]], there[leaves[at:at + step]]
+            if small:
+                score = np.matmul(rf[pts], qf[row][:, :, None])[:, :, 0].astype(np.int64)
+            else:
+                score = _clipped((rf[pts] * qf[row][:, None, :]).sum(-1))
+            best.scored += int(ok.sum())
+            own = (queries["block"][row] == block["number"])[:, None] & (queries["place"][row][:, None] == pts)
+            ok = ok & ~own
+            best.offer(np.broadcast_to(row[:, None], pts.shape)[ok], score[ok], block["ids"][pts][ok])
+
+    # a k-th score for each query first: from the leaves nearest to its group's centre
+    groups = qt.leaves()
+    seeds = {}
+    n_seeds = min(len(leaf_no), 1 + -(-2 * k // LEAF))
+    for a in groups:
+        rows = qt.order[qt.nodes[a][0]:qt.nodes[a][1]]
+        seeds[a] = np.argsort(-inner[a, leaf_no], kind="stable")[:n_seeds]
+        score_leaves(np.repeat(rows, n_seeds), np.tile(seeds[a], len(rows)))
+    # both trees together: the block's leaves that a group of queries can't do without
+    open_leaves: dict[int, list[int]] = {a: [] for a in groups}
+    limit = [best.worst(qt.order[n[0]:n[1]]).min() for n in qt.nodes]
     stack = [(0, 0)]
     while stack:
         a, b = stack.pop()
-        rows = qt.order[qt.nodes[a][0]:qt.nodes[a][1]]
-        if reach[a, b] < best.score[rows, -1].min():
+        if reach[a, b] < limit[a]:
             continue
         kids_a, kids_b = qt.nodes[a][4], rt.nodes[b][4]
         if not kids_a and not kids_b:
-            cols = rt.order[rt.nodes[b][0]:rt.nodes[b][1]]
-            skip = None
-            if (queries["block"][rows] == block["number"]).any():
-                skip = (queries["block"][rows] == block["number"])[:, None] & \
-                    (queries["place"][rows][:, None] == cols[None, :])
-            best.offer(rows, exact_products(q[rows], r[cols]), block["ids"][cols], skip)
+            open_leaves[a].append(leaf_at[b])
+        else:
+            stack += [(x, y) for x in (kids_a or [a]) for y in (kids_b or [b])]
+    # leaves by the bound of each single query, the most promising first
+    for a in groups:
+        rows = qt.order[qt.nodes[a][0]:qt.nodes[a][1]]
+        left = np.setdiff1d(np.array(open_leaves[a], dtype=np.int64), seeds[a])
+        if not len(left):
             continue
-        pairs = [(x, y) for x in (kids_a or [a]) for y in (kids_b or [b])]
-        stack += sorted(pairs, key=lambda p: reach[p])  # the most promising pair is popped first
+        bound = q_real[rows] @ rc[leaf_no[left]].T
+        best.bounded += bound.size
+        bound += norm[rows][:, None] * rr[leaf_no[left]][None, :]
+        bound += np.abs(bound) * 1e-9 + 1
+        ranked = np.argsort(-bound, axis=1, kind="stable")
+        done, many = 0, 1
+        alive = np.arange(len(rows))
+        while done < len(left) and len(alive):
+            part = ranked[alive, done:done + many]
+            use = bound[alive[:, None], part] >= best.worst(rows[alive])[:, None]
+            alive = alive[use[:, 0]]            # bounds fall along a row: once below, all further ones are
+            part, use = part[use[:, 0]], use[use[:, 0]]
+            i, j = np.nonzero(use)
+            score_leaves(rows[alive[i]], left[part[i, j]])
+            done += many
+            many = min(2 * many, 32)
     return best
 
 
@@ -165,6 +247,15 @@ def _matrix(lists: list) -> np.ndarray:
     return np.array([[*v, *[0] * (width - len(v))] for v in lists], dtype=np.int64)
 
 
+def _rows_found(queries: dict, score: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """The places of ``score`` and ``ids`` (query x k) that hold a candidate, as rows."""
+    who, at = np.nonzero(ids != NO_ID)
+    row = queries["block"][who] * (1 << 32) + queries["place"][who]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(queries["ids"][who], pa.int64()), pa.array(row, pa.int64()), pa.array(ids[who, at], pa.int64()),
+         pa.array(score[who, at], pa.int64())], names=["query_id", "row", "vec_id", "score"])
+
+
 def integer_vectors(vectors: DataFrame, vec_col: str = "embedding", factor: int = 256) -> DataFrame:
     """Rows whose vector counts, with the column ``v`` of floor(factor * x)."""
     ok = F.col(vec_col).isNotNull() & F.forall(
@@ -178,7 +269,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
     """query_id, rank, vec_id and score of the k best candidates of each query.
 
     ``is_query`` is a boolean column over the table; all its rows are queries
-    and every other row of the table is a candidate of each.
+    and every other row of the table is a candidate of each.  Rows without an id
+    are neither queries nor candidates.
     """
     rows = integer_vectors(vectors.withColumn("__query", F.coalesce(is_query, F.lit(False))), vec_col, factor).where(
         F.col(id_col).isNotNull()).select(
@@ -193,7 +285,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
         ids, query = t.column("id").to_numpy(), t.column("query").to_numpy()
         block = {"number": number, "ids": ids, "points": points, "tree": CoverTree(points)}
         at = np.flatnonzero(query)
-        asked = {"ids": ids[at], "points": points[at], "place": at, "block": np.full(len(at), number)}
+        asked = {"number": number, "ids": ids[at], "points": points[at], "place": at,
+                 "block": np.full(len(at), number)}
+        own = dual_search({**asked, "tree": CoverTree(points[at], QUERY_LEAF)}, block, k)
+        asked |= {"score": own.score, "id": own.id}
         return pa.table({"block": pa.array([number], pa.int32()), "index": pa.array([pickle.dumps(block)], pa.binary()),
                          "asked": pa.array([pickle.dumps(asked)], pa.binary())})
 
@@ -211,16 +306,16 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
             for i in range(b.num_rows):
                 block = pickle.loads(b.column(0)[i].as_py())
                 parts = [pickle.loads(p) for p in b.column(1)[i].as_py()]
-                width = max(p["points"].shape[1] for p in parts)
-                qs = {"points": np.concatenate([_padded(p["points"], width) for p in parts]),
-                      **{c: np.concatenate([p[c] for p in parts]) for c in ("ids", "place", "block")}}
-                qs["tree"] = CoverTree(qs["points"])
-                best = dual_search(qs, block, k)
-                who, at = np.nonzero(best.id != np.iinfo(np.int64).max)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qs["ids"][who], pa.int64()), pa.array(qs["block"][who] * (1 << 32) + qs["place"][who], pa.int64()),
-                     pa.array(best.id[who, at], pa.int64()), pa.array(best.score[who, at], pa.int64())],
-                    names=["query_id", "row", "vec_id", "score"])
+                own = [p for p in parts if p["number"] == block["number"]]     # searched when the block was built
+                others = [p for p in parts if p["number"] != block["number"]]
+                yield from (_rows_found(p, p["score"], p["id"]) for p in own)
+                if others:
+                    width = max(p["points"].shape[1] for p in others)
+                    qs = {"points": np.concatenate([_padded(p["points"], width) for p in others]),
+                          **{c: np.concatenate([p[c] for p in others]) for c in ("ids", "place", "block", "score")}}
+                    qs["tree"] = CoverTree(qs["points"], QUERY_LEAF)
+                    best = dual_search(qs, block, k, floor=qs["score"][:, -1])
+                    yield _rows_found(qs, best.score, best.id)
 
     found = pairs.select("index", "parts").mapInArrow(search, "query_id long, row long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id"))

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from oracle_harness import compare
 from pyspark.sql import functions as F
@@ -79,6 +80,27 @@ def test_dual_tree_is_exact_and_prunes(shape):
         assert sum(scored) < 0.7 * s.size
 
 
+def test_given_vectors_are_pruned():
+    """Exact scores taken against all pairs (products with centres, for bounds, come on top)."""
+    table = pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet").dropna()
+    pts = np.floor(256 * np.array(table.embedding.tolist(), dtype=float)).astype(np.int64)
+    ids = table.vec_id.to_numpy()
+    at = np.flatnonzero(ids % 50 == 0)
+    block = {"number": 0, "ids": ids, "points": pts, "tree": K.CoverTree(pts)}
+    asked = {"ids": ids[at], "points": pts[at], "place": at, "block": np.zeros(len(at), np.int64),
+             "tree": K.CoverTree(pts[at], K.QUERY_LEAF)}
+    found = K.dual_search(asked, block, 5)
+    share = found.scored / (len(at) * len(pts))
+    print("scored share", share, "products for bounds", found.bounded / (len(at) * len(pts)))
+    assert share < 0.7
+    score = pts[at] @ pts.T
+    score[np.arange(len(at)), at] = -10 ** 9
+    assert (found.score == -np.sort(-score, axis=1)[:, :5]).all()
+    # with its own k-th scores as floor nothing is lost, and less is scored
+    again = K.dual_search(asked, block, 5, floor=found.score[:, -1])
+    assert (again.score == found.score).all() and (again.id == found.id).all() and again.scored <= found.scored
+
+
 def test_covering_radii_hold():
     pts = np.random.default_rng(3).normal(0, 10, (2000, 5))
     t = K.CoverTree(pts)
