@@ -32,6 +32,12 @@ def ascii_lower(text: Column) -> Column:
         F.translate(text, UPPER, LOWER))
 
 
+def replacing(rows: DataFrame, *names: str | None) -> DataFrame:
+    """The rows without columns of these names (in any case), which are about to be appended."""
+    taken = {n.lower() for n in names if n}
+    return rows.select(*[rows[f"`{c}`"] for c in rows.columns if c.lower() not in taken])
+
+
 def crc_mod(id_col: str, mod: int) -> Column:
     """crc32 of the id's decimal text, modulo ``mod`` (a null id counts as -1, in no fold)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % mod, F.lit(-1)).cast("int")

@@ -3,19 +3,21 @@
 For every language a suffix automaton of a bounded sample of labelled text is
 built; it accepts exactly the substrings of that sample.  A document is parsed
 greedily against each automaton into longest matches (phrases).  The language
-that needs the fewest phrases per letter wins: text of a language decomposes
-into long pieces already seen in it.
+that needs the fewest phrases, normalised by the logarithm of its sample's
+length, wins: text of a language decomposes into long pieces already seen in it.
 
-Texts are folded to lower-case letters, anything else being one separator.
+Texts are folded to lower-case letters, anything else being one separator, and
+read as UTF-8 bytes, so that no alphabet has to be chosen.
 Long texts are parsed in lanes of ``LANE`` symbols, all lanes of a batch one
 symbol per step, so a batch costs a fixed number of array operations per
 symbol position; whole texts are read and lane borders only add phrases, for
 all languages alike.
 
-The sample is bounded by documented parameters: at most ``docs_per_lang``
-documents (lowest hash of the id) and ``chars_per_lang`` symbols for each
-language, so the model, which is broadcast, has at most
-``languages x 2 x chars_per_lang x (alphabet + 2)`` 32-bit cells.
+The sample is bounded by documented parameters: pieces of at most
+``docs_per_lang`` documents (lowest hash of the id), ``chars_per_lang``
+characters for each language, taken from anywhere in a text.  A language's
+automaton has at most twice as many states as its sample has bytes, and a
+column for each byte value that occurs there.
 
 Defined cases: null text or text without a letter gives ``und`` with score 0;
 without any labelled row every text is ``und``; ``und`` may be a learnt label
@@ -26,7 +28,7 @@ ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,10 +37,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartlift.llm.common import row_chunks
+from cartlift.llm.common import materialize, replacing, row_chunks
 
 LANE = 256
 UNDETERMINED = "und"
+_OTHER = re.compile(r"[\W\d_]+")
 
 
 def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
@@ -78,123 +81,121 @@ def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
 
 
 @dataclass
-class LanguageModel:
-    """Alphabet (letters by code, from 1; 0 separates) and one automaton for each language."""
+class Automaton:
+    """Transitions of one language's sample over the byte values that occur in it."""
 
-    letters: list[str] = field(default_factory=list)
-    tables: dict[str, np.ndarray] = field(default_factory=dict)
+    code: np.ndarray    # of each byte value; 0 is the padding of a lane
+    table: np.ndarray   # states x codes, -1: none
+    symbols: int        # length of the sample
+    pad: int
 
-    @property
-    def unknown(self) -> int:
-        return len(self.letters) + 1
+    @classmethod
+    def of(cls, sample: bytes) -> Automaton:
+        seen = sorted(set(sample))
+        code = np.full(256, len(seen), dtype=np.int64)      # a byte that the sample lacks
+        code[seen] = np.arange(len(seen))
+        code[0] = len(seen) + 1
+        return cls(code, suffix_automaton(code[list(sample)].tolist(), len(seen) + 2), len(sample), len(seen) + 1)
 
-    @property
-    def pad(self) -> int:
-        return len(self.letters) + 2
 
-    @property
-    def width(self) -> int:
-        return len(self.letters) + 3
+@dataclass
+class LanguageModel:
+    """One automaton for each language."""
 
+    tables: dict[str, Automaton] = field(default_factory=dict)
 
-def code_table(model: LanguageModel) -> np.ndarray:
-    """Code of each code point of the basic plane (others are looked up one by one)."""
-    code = {c: i + 1 for i, c in enumerate(model.letters)}
-    table = np.zeros(65536, dtype=np.uint8 if model.width < 256 else np.uint16)
-    for cp in range(65536):
-        ch = chr(cp)
-        if ch.isalpha():
-            table[cp] = code.get(ch.lower()[0], model.unknown)
-    return table
 
-
-def encode(text: str, table: np.ndarray, unknown: int) -> np.ndarray:
-    """Symbol codes of a text, runs of non-letters as one separator."""
-    cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    codes = table[np.minimum(cps, 65535)]
-    for i in np.flatnonzero(cps > 65535):
-        codes[i] = unknown if chr(cps[i]).isalpha() else 0
-    if not len(codes):
-        return codes
-    keep = codes != 0
-    keep[1:] |= codes[:-1] != 0
-    return codes[keep]
+def symbols_of(text: str) -> bytes:
+    """UTF-8 of the lower-case letters, any run of other characters as one space."""
+    return _OTHER.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
 
 def phrase_counts(lanes: np.ndarray, table: np.ndarray, pad: int) -> np.ndarray:
-    """Greedy longest-match phrases of each lane (rows: positions, columns: lanes)."""
+    """Greedy longest-match phrases of each lane (rows: positions, columns: lanes).
+    A symbol that the sample lacks is a phrase of its own; padding ends a lane."""
     width = table.shape[1]
     flat = table.ravel()
     root = np.maximum(table[0], 0)
+    unseen = (table[0] < 0) & (np.arange(width) != pad)
     state = np.zeros(lanes.shape[1], dtype=np.int64)
     count = np.zeros(lanes.shape[1], dtype=np.int64)
     for codes in lanes:
         nxt = flat[state * width + codes]
         miss = nxt < 0
-        count += miss & (codes != pad)
+        count += (miss & (state != 0)) + unseen[codes].astype(np.int64)
         state = np.where(miss, root[codes], nxt).astype(np.int64)
-    return count + 1  # the phrase still open
+    return count + (state != 0)  # the phrase still open
+
 
+def classify(texts: list[str | None], model: LanguageModel) -> list[tuple[str, float, bool]]:
+    """(language, score, has a letter) of each text.
 
-def classify(texts: list[str | None], model: LanguageModel, table: np.ndarray) -> list[tuple[str, float, bool]]:
-    """(language, score, has a letter) of each text; score = runner-up's phrases / both languages' phrases."""
-    codes = [encode(t, table, model.unknown) if t else np.zeros(0, table.dtype) for t in texts]
-    some = [i for i, c in enumerate(codes) if len(c) and c.any()]
+    A language's cost is phrases x log2(sample length), the bits that name them
+    by their places in the sample; score = runner-up's cost / both costs.  With
+    a single language the runner-up is the text itself at eight bits a byte."""
     out = [(UNDETERMINED, 0.0, False)] * len(texts)
+    some = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
     for i in some:
         out[i] = (UNDETERMINED, 0.0, True)
     langs = sorted(model.tables)
     if not some or not langs:
         return out
-    n_lanes = [-(-len(codes[i]) // LANE) for i in some]
-    flat = np.full(sum(n_lanes) * LANE, model.pad, dtype=table.dtype)
+    parts = [np.frombuffer(symbols_of(texts[i]), dtype=np.uint8) for i in some]
+    sizes = np.array([len(p) for p in parts])
+    n_lanes = -(-sizes // LANE)
+    flat = np.zeros(n_lanes.sum() * LANE, dtype=np.uint8)
     at = 0
-    for i, n in zip(some, n_lanes):
-        flat[at:at + len(codes[i])] = codes[i]
+    for p, n in zip(parts, n_lanes.tolist()):
+        flat[at:at + len(p)] = p
         at += n * LANE
-    lanes = np.ascontiguousarray(flat.reshape(-1, LANE).T).astype(np.int64)
+    lanes = np.ascontiguousarray(flat.reshape(-1, LANE).T)
     first = np.concatenate([[0], np.cumsum(n_lanes)[:-1]])
-    phrases = np.stack([np.add.reduceat(phrase_counts(lanes, model.tables[l], model.pad), first) for l in langs])
-    order = np.argsort(phrases, axis=0, kind="stable")
-    best = np.take_along_axis(phrases, order[:1], 0)[0]
-    second = np.take_along_axis(phrases, order[1:2], 0)[0] if len(langs) > 1 else best * 0 + 1
+    cost = np.stack([np.add.reduceat(phrase_counts(m.code[lanes], m.table, m.pad), first) * np.log2(m.symbols + 1)
+                     for m in (model.tables[l] for l in langs)])
+    order = np.argsort(cost, axis=0, kind="stable")
+    best = np.take_along_axis(cost, order[:1], 0)[0]
+    second = np.take_along_axis(cost, order[1:2], 0)[0] if len(langs) > 1 else 8.0 * sizes
     for j, i in enumerate(some):
         out[i] = (langs[order[0, j]], float(second[j] / (second[j] + best[j])), True)
     return out
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-        docs_per_lang: int = 200, chars_per_lang: int = 40_000, alphabet: int = 96) -> LanguageModel:
-    """Build the automata from the labelled rows of ``docs`` (rows to learn from only)."""
+        docs_per_lang: int = 200, chars_per_lang: int = 40_000, piece: int = 400) -> LanguageModel:
+    """Build the automata from the labelled rows of ``docs`` (rows to learn from only).
+
+    Each language's sample are ``chars_per_lang // piece`` pieces of ``piece``
+    characters from anywhere in its documents: one of each document first,
+    then second ones and so on, in the order of a hash."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id", "lang"), "id")
-    chosen = (labelled.select("id", "lang").withColumn("place", F.row_number().over(order))
-              .where(F.col("place") <= docs_per_lang))
-    # at most docs_per_lang ids for each language, so the broadcast is bounded
-    sample = (labelled.join(F.broadcast(chosen), ["id", "lang"])
-              .select("lang", "place", F.substring("text", 1, chars_per_lang).alias("text"))
-              .orderBy("lang", "place").collect())
-    seen: Counter = Counter()
+    chosen = (labelled.select("id", "lang").distinct().withColumn("place", F.row_number().over(order))
+              .where(F.col("place") <= docs_per_lang).select(F.col("id").alias("own"), F.col("lang").alias("of"), "place"))
+    # at most docs_per_lang ids for each language, so the broadcast is bounded; of rows that share an id one counts
+    whole = (labelled.join(F.broadcast(chosen), F.col("id").eqNullSafe(F.col("own")) & (F.col("lang") == F.col("of")))
+             .groupBy("lang", "place").agg(F.min("text").alias("text")))
+    whole = materialize(whole, "language_texts")
+    starts = whole.select("lang", "place", F.explode(F.sequence(
+        F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / piece).cast("int"))).alias("at"))
+    in_doc = Window.partitionBy("lang", "place").orderBy(F.xxhash64("place", "at"), "at")
+    in_lang = Window.partitionBy("lang").orderBy("turn", "place")
+    picked = (starts.withColumn("turn", F.row_number().over(in_doc)).withColumn("nth", F.row_number().over(in_lang))
+              .where(F.col("nth") <= max(1, chars_per_lang // piece)))
+    sample = (whole.join(picked, ["lang", "place"])
+              .select("lang", "nth", F.substring("text", F.col("at") * piece + 1, F.lit(piece)).alias("text")).collect())
+    parts: dict[str, list[tuple[int, bytes]]] = {}
     for r in sample:
-        seen.update(c.lower()[0] for c in r["text"] if c.isalpha())
-    model = LanguageModel(sorted(c for c, _ in seen.most_common(alphabet)))
-    table = code_table(model)
-    for lang in sorted({r["lang"] for r in sample}):
-        parts = [encode(r["text"], table, model.unknown) for r in sample if r["lang"] == lang]
-        codes: list[int] = []
-        for p in parts:
-            codes += [0, *p.tolist()]
-            if len(codes) >= chars_per_lang:
-                break
-        model.tables[lang] = suffix_automaton(codes[:chars_per_lang], model.width)
-    return model
+        parts.setdefault(r["lang"], []).append((r["nth"], b" " + symbols_of(r["text"])))
+    return LanguageModel({l: Automaton.of(b"".join(p for _, p in sorted(own))) for l, own in sorted(parts.items())})
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", pred_col: str = "lang_pred",
              score_col: str = "score", letter_col: str | None = None) -> DataFrame:
     """All rows and columns, with the predicted language and its score appended,
-    and as ``letter_col``, if named, whether the text has a letter."""
+    and as ``letter_col``, if named, whether the text has a letter; columns that
+    had these names are replaced."""
+    docs = replacing(docs, pred_col, score_col, letter_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(pred_col, T.StringType()),
                            T.StructField(score_col, T.DoubleType()),
@@ -202,11 +203,10 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", pred
 
     def run(batches):
         own = shared.value
-        table = code_table(own)
         for b in batches:
             found: list[tuple[str, float, bool]] = []
             for rows in row_chunks([b], [text_col], 2_000_000):
-                found += classify([r[0] for r in rows], own, table)
+                found += classify([r[0] for r in rows], own)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([f[0] for f in found], pa.string()),
                  pa.array([f[1] for f in found], pa.float64()),
