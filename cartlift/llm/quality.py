@@ -10,11 +10,13 @@ negatives; where it turns negative on the sample, its gradient is reversed, so
 the scorer can't overfit the positives.  f is linear in text statistics and in
 hashed word shapes; the loss is logistic, so sigmoid(f) estimates P(good).
 
+The class prior, too, comes from positives and unlabelled rows alone.
+
 Fitting takes bounded samples (``max_positives`` and ``max_unlabelled`` rows
 of lowest id hash); scoring reads whole texts of all rows.
 
 Defined cases: a null or empty text has all features 0 and still gets a score;
-without positives or unlabelled rows every score is the prior; rows with null
+without positives or unlabelled rows every score is the prior (0.5 where none is given); rows with null
 ids are scored; other columns pass through unchanged.
 """
 
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartlift.llm.common import row_chunks
+from cartlift.llm.common import replacing, row_chunks
 from cartlift.llm.linear import adam, hash_sample, sigmoid, softplus
 
 SHAPES = 256
@@ -58,7 +60,7 @@ def shape(word: str) -> int:
     """Hashed shape of a word: letter runs as x, X or Xx, digit runs as 9, marks kept."""
     s = _LETTERS.sub(lambda m: "X" if m[0].isupper() and len(m[0]) > 1 else "Xx" if m[0][0].isupper() else "x", word)
     s = re.sub(r"\d+", "9", s)
-    return xxhash.xxh32_intdigest(s[:64].encode("utf-8", "surrogatepass")) % SHAPES
+    return xxhash.xxh32_intdigest(s.encode("utf-8", "surrogatepass")) % SHAPES
 
 
 class Shapes(dict):
@@ -138,30 +140,47 @@ def nn_pu_fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 600,
     return QualityModel(w[:-1], float(w[-1]), mean, scale, prior)
 
 
-def estimate_prior(labels: DataFrame, label_col: str) -> float:
-    """Share of positives among the audited rows, kept off 0 and 1."""
-    p = labels.agg(F.avg((F.col(label_col) == 1).cast("double"))).first()[0]
-    return float(min(0.99, max(0.01, 0.5 if p is None else p)))
+def estimate_prior(pos: np.ndarray, unl: np.ndarray, sure: float = 0.1) -> float:
+    """Share of positives among unlabelled text, from feature rows of both.
+
+    A scorer is fitted on half of the rows to tell positives from unlabelled
+    ones.  On the other half, the part of the unlabelled rows scored above a
+    threshold, over that part of the positives, is an upper bound of the share;
+    its lower envelope over all thresholds, with a margin for what small counts
+    leave open (probability ``sure``), is the estimate, kept off 0 and 1."""
+    if min(len(pos), len(unl)) < 4:
+        return 0.5
+    model = nn_pu_fit(pos[::2], unl[::2], 0.5)
+    p, u = np.sort(model.score(pos[1::2])), np.sort(model.score(unl[1::2]))
+    at = p[: max(1, int(0.95 * len(p)))]                       # thresholds that some positives pass
+    above_p = 1 - np.searchsorted(p, at, side="left") / len(p)
+    above_u = 1 - np.searchsorted(u, at, side="left") / len(u)
+    margin = np.sqrt(np.log(4 / sure) / 2) * (1 / np.sqrt(len(u)) + 1 / np.sqrt(len(p)))
+    best = int(np.argmin((above_u + margin) / above_p))
+    return float(min(0.99, max(0.01, above_u[best] / above_p[best])))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         label_col: str = "quality", prior: float | None = None, max_positives: int = 6000,
         max_unlabelled: int = 10_000) -> QualityModel:
-    """Fit on rows of ``docs`` and ``labels`` that may be learnt from."""
-    known = labels.where(F.col(label_col).isNotNull())
-    prior = estimate_prior(known, label_col) if prior is None else prior
-    picks = (hash_sample(known.where(F.col(label_col) == 1), id_col, max_positives).withColumn("part", F.lit("pos"))
+    """Fit on rows of ``docs`` and ``labels`` that may be learnt from; of the
+    labels only the positive ones are used."""
+    known = labels.where(F.col(label_col) == 1)
+    picks = (hash_sample(known, id_col, max_positives).withColumn("part", F.lit("pos"))
              .unionByName(hash_sample(docs, id_col, max_unlabelled).withColumn("part", F.lit("unl"))))
     # at most max_positives + max_unlabelled ids: the broadcast is bounded
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picks), "id")
-    got = feature_rows(rows.select("part", "text")).collect()
+    got = sorted(feature_rows(rows.select("part", "text")).collect(), key=lambda r: (r["part"], xxhash.xxh64_digest(r["x"])))
     part = {k: np.array([np.frombuffer(r["x"], np.float32) for r in got if r["part"] == k], dtype=np.float64)
             .reshape(-1, WIDTH) for k in ("pos", "unl")}
-    return nn_pu_fit(part["pos"], part["unl"], prior)
+    return nn_pu_fit(part["pos"], part["unl"], estimate_prior(part["pos"], part["unl"]) if prior is None else prior)
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """All rows and columns, with the score (P of good quality) appended."""
+    """All rows and columns, with the score (P of good quality) appended; a
+    column of that name is replaced."""
+    docs = replacing(docs, score_col)
+
     def run(batches):
         shapes = Shapes()
         for b in batches:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartlift.llm.common import row_chunks
+from cartlift.llm.common import replacing, row_chunks
 from cartlift.llm.linear import adam, hash_sample, sigmoid
 
 SPACE = 1 << 30
@@ -173,7 +173,10 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """All rows and columns, with the score (P of toxic) appended.  The model
-    (at most ``max_features`` weights) travels with the task."""
+    (at most ``max_features`` weights) travels with the task.  A column named
+    like the score is replaced."""
+    docs = replacing(docs, score_col)
+
     class Weights(dict):
         """word -> its features that have a weight"""
 

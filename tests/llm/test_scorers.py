@@ -1,7 +1,11 @@
+import sys
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pytest
 from edge_tables import ROWS, edge_docs, empty_docs, with_clashes
+from pyspark.sql import functions as F
 
 from cartlift.llm import langid, quality, toxicity
 from cartlift.llm.queries import QUERIES
@@ -58,10 +62,53 @@ def test_suffix_automaton_accepts_exactly_the_substrings():
 
 
 def test_phrases_are_greedy_longest_matches():
-    model = langid.LanguageModel(list("abc"))
-    table = langid.suffix_automaton([1, 2, 3, 1, 2], model.width)
-    lanes = np.array([[1, 2, 3, 3, 2, 3, 1, model.pad]]).T  # abc | c | bca
-    assert langid.phrase_counts(lanes, table, model.pad).tolist() == [3]
+    m = langid.Automaton.of(b"abcab")
+    lanes = m.code[np.frombuffer(b"abccbca\0", np.uint8)][:, None]  # abc | c | bca
+    assert langid.phrase_counts(lanes, m.table, m.pad).tolist() == [3]
+
+
+def plain_phrases(text, sample):
+    """Greedy longest matches, by looking pieces up in the sample itself."""
+    count, i = 0, 0
+    while i < len(text):
+        n = 1
+        while i + n < len(text) and text[i:i + n + 1] in sample:
+            n += 1
+        i += n
+        count += 1
+    return count
+
+
+def test_predictions_against_plain_parsing(spark):
+    docs = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), chars_per_lang=2000)
+    assert len(model.tables) > 1
+    samples = {l: bytes(walk(m)) for l, m in model.tables.items()}
+    texts = [t[:langid.LANE // 4] for t in docs.text.dropna()[:60]] + ["²", "", None, "7 - 8"]
+    for text, (lang, score, letter) in zip(texts, langid.classify(texts, model)):
+        if not text or not any(c.isalpha() for c in text):
+            assert (lang, score, letter) == ("und", 0.0, False)
+            continue
+        cost = sorted((plain_phrases(langid.symbols_of(text), s) * np.log2(len(s) + 1), l) for l, s in samples.items())
+        assert lang == cost[0][1] and score == pytest.approx(cost[1][0] / (cost[0][0] + cost[1][0]))
+
+
+def walk(m):
+    """The sample, read off its automaton: the one path that visits ``symbols`` states in order of length."""
+    value = {int(c): b for b, c in enumerate(m.code.tolist()) if b and c < m.pad - 1}
+    sys.setrecursionlimit(20_000)
+
+    @lru_cache(None)
+    def longest(state):
+        steps = [(1 + longest(int(t))[0], c) for c, t in enumerate(m.table[state]) if t >= 0]
+        return max(steps) if steps else (0, -1)
+    state, out = 0, []
+    while longest(state)[0]:
+        c = longest(state)[1]
+        out.append(value[c])
+        state = int(m.table[state][c])
+    assert len(out) == m.symbols
+    return out
 
 
 def test_language_edges(spark):
@@ -80,11 +127,37 @@ def test_language_edges(spark):
 
 
 def test_long_text_is_read_whole():
-    model = langid.LanguageModel(list("ab"))
-    model.tables = {"x": langid.suffix_automaton([1] * 50, model.width), "y": langid.suffix_automaton([2] * 50, model.width)}
-    table = langid.code_table(model)
-    assert langid.classify(["a" * 1000 + "b" * 9000, "a" * 9000 + "b" * 1000], model, table)[0][0] == "y"
-    assert langid.classify(["a" * 1000 + "b" * 9000, "a" * 9000 + "b" * 1000], model, table)[1][0] == "x"
+    model = langid.LanguageModel({"x": langid.Automaton.of(b"a" * 50), "y": langid.Automaton.of(b"b" * 50)})
+    assert langid.classify(["a" * 1000 + "b" * 9000, "a" * 9000 + "b" * 1000], model)[0][0] == "y"
+    assert langid.classify(["a" * 1000 + "b" * 9000, "a" * 9000 + "b" * 1000], model)[1][0] == "x"
+
+
+def test_sample_comes_from_all_of_a_text_and_all_documents(spark):
+    docs = spark.createDataFrame([(1, "x", "a" * 60_000 + "q" * 60_000), (2, "x", "zz " * 40), (3, "y", "b" * 500)],
+                                 "doc_id long, lang string, text string")
+    model = langid.fit(docs)
+    lacks = {l: m.pad - 1 for l, m in model.tables.items()}
+    for lang, letters in {"x": b"aqz", "y": b"b"}.items():
+        assert all(model.tables[lang].code[c] < lacks[lang] for c in letters)
+    assert langid.classify(["bbbb"], langid.LanguageModel({"y": model.tables["y"]}))[0][1] > 0.4
+
+
+def test_appended_columns_replace_those_of_the_same_name(spark):
+    docs = with_clashes(edge_docs(spark)).withColumn("SCORE", F.lit("old")).withColumn("lang_pred", F.lit("old"))
+    known = spark.createDataFrame([(1, 1, 1), (6, 0, 0), (8, 1, 1)], "doc_id long, quality int, toxic int")
+    for got in (langid.identify(docs, langid.fit(docs)), quality.score(docs, quality.fit(docs, known)),
+                toxicity.score(docs, toxicity.fit(docs, known))):
+        assert [c.lower() for c in got.columns].count("score") == 1 and got.schema["score"].dataType.typeName() == "double"
+        assert got.count() == len(ROWS)
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.6, 0.9])
+def test_prior_is_estimated_without_negative_labels(prior):
+    rng = np.random.default_rng(4)
+    n = int(3000 * prior)
+    pos = rng.normal(0.4, 0.5, (1500, quality.WIDTH))
+    unl = np.concatenate([rng.normal(0.4, 0.5, (n, quality.WIDTH)), rng.normal(-0.4, 0.5, (3000 - n, quality.WIDTH))])
+    assert abs(quality.estimate_prior(pos, rng.permutation(unl)) - prior) < 0.06
 
 
 def test_non_negative_risk_separates_unlabelled_mixture():
