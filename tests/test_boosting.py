@@ -157,3 +157,52 @@ def test_spark_ml_learners_still_score_the_test_split(spark, learner):
     df = table(spark, 400)
     got = U.uplift_scores(df, ["a", "b"], FAST.with_(learner=learner, learner_iters=3))
     assert {"s_score", "t_score", "split"} <= set(got.columns) and got.count() > 50
+
+
+def plain_walk(t, x):
+    """Every tree of every row, node by node."""
+    inner, out = t.feature.shape[1], []
+    for row in x:
+        leaves = []
+        for k in range(len(t.feature)):
+            node = 0
+            while node < inner:
+                v = row[t.feature[k, node]]
+                left = t.missing_left[k, node] if np.isnan(v) else v <= t.cut[k, node]
+                node = 2 * node + (1 if left else 2)
+            leaves.append(t.leaf[k, node - inner])
+        out.append(1 / (1 + np.exp(-(t.base + np.sum(leaves)))))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("depth", [1, 3, 4])
+def test_probability_is_a_walk_through_every_tree(depth):
+    x, y, _ = planted_missing(1200)
+    x[:3] = [[np.inf, -np.inf], [np.nan, np.nan], [-np.inf, 0.0]]
+    t = boost(x, y, rounds=45, step=0.2, depth=depth, column_share=1.0)
+    p = t.probability(x, rows=500, trees_at_once=7)
+    assert np.allclose(p, plain_walk(t, x), rtol=1e-12) and np.array_equal(p, t.probability(x))
+
+
+def test_rows_are_counted_where_a_small_leaf_would_win():
+    """A pure segment of fewer rows than a leaf may have is the best split of all."""
+    x = np.concatenate([np.zeros(20), np.ones(200), np.full(200, 2.0)])[:, None]
+    y = np.concatenate([np.ones(20), np.zeros(160), np.ones(40), np.zeros(120), np.ones(80)])
+    free, bound = (boost(x, y, rounds=1, depth=1, column_share=1.0, min_leaf=m) for m in (1, 30))
+    assert free.cut[0, 0] == 0.0 and bound.cut[0, 0] == 1.0
+
+
+def test_models_are_fitted_once(spark, tmp_path):
+    df = table(spark, 300)
+    rows = U.with_folds(df, 2)
+    models = U.fit_committees(rows, ["a", "b"], FAST, [0, 1])
+
+    def noted(batches):
+        import uuid
+        for b in batches:
+            for _ in range(b.num_rows):
+                (tmp_path / uuid.uuid4().hex).touch()
+            yield b
+
+    scored = U.score_committees(rows, ["a", "b"], models.mapInArrow(noted, models.schema), ["client_id"])
+    assert scored.count() == 300 and len(list(tmp_path.iterdir())) == 6
