@@ -152,3 +152,30 @@ def test_categories_come_from_the_joined_customers(spark):
     train = spark.createDataFrame([("c1", 1, 0), ("c2", 0, 1)], "client_id string, target int, treatment_flg int")
     clients = spark.createDataFrame([("c1", "M"), ("c2", "F"), ("c3", "A"), ("c1x", None)], "client_id string, gender string")
     assert gender_categories(train, clients) == ["F", "M"]
+
+
+def test_lines_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """More lines than a task should hold: the join's partitions go by the row
+    count, whatever Spark makes of the bytes; the rows stay the same."""
+    from cartlift.sources import fixtures
+    orders = spark.range(1, 3001).select(
+        F.col("id").alias("o_orderkey"), (F.col("id") % 40).alias("o_custkey"),
+        F.expr("timestamp_ntz'1999-05-05'").alias("o_orderdate"), (F.col("id") * 1.5).cast("double").alias("o_totalprice"))
+    lines = spark.range(9000).select(
+        F.when(F.col("id") % 50 != 0, F.col("id") % 3000 + 1).alias("l_orderkey"), (F.col("id") % 7).alias("l_partkey"),
+        (F.col("id") % 3).alias("l_suppkey"), F.lit(2.0).alias("l_extendedprice"), F.lit("R").alias("l_returnflag"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+
+    def held(df):
+        return sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+    few = fixtures.fixture_purchases(spark, str(tmp_path))
+    monkeypatch.setattr(fixtures, "ROWS_PER_TASK", 300)
+    monkeypatch.setattr(fixtures, "LEFT_TO_SPARK", 3000)
+    many = fixtures.fixture_purchases(spark, str(tmp_path))
+    assert many.count() == 8820 and many.exceptAll(few).count() == few.exceptAll(many).count() == 0
+    assert len(held(many)) >= 25 and held(many)[-1] <= 600
+    from cartlift.operators.features import transaction_rollup
+    assert held(transaction_rollup(many))[-1] <= 200  # the rollup runs in the same tasks
+    assert fixtures.join_parts(3000) is None and fixtures.join_parts(3001) == 11
