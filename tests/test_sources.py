@@ -179,3 +179,37 @@ def test_lines_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
     from cartlift.operators.features import transaction_rollup
     assert held(transaction_rollup(many))[-1] <= 200  # the rollup runs in the same tasks
     assert fixtures.join_parts(3000) is None and fixtures.join_parts(3001) == 11
+
+
+def test_distinct_cells_are_dealt_by_their_number(spark):
+    """Counts of distinct products and stores are the same whether Spark merges
+    the partitions or they go by number, with NULLs, repeats and a client without values."""
+    from cartlift.operators.features import breadth_cells, customer_breadth
+    rows = [(i % 31 or None, i % 500, f"p{i % 17}" if i % 5 else None, i % 3 if i % 4 else None) for i in range(4000)]
+    rows += [(77, 1, None, None), (77, 2, None, None), (78, None, "p1", 5), (78, None, "p1", 5)]
+    lines = spark.createDataFrame(rows, "client_id long, transaction_id long, product_id string, store_id long")
+    plain, dealt = customer_breadth(lines), customer_breadth(lines, parts=16)
+    assert dealt.schema == plain.schema and dealt.count() == 33
+    assert {tuple(r) for r in dealt.collect()} == {tuple(r) for r in plain.collect()}
+    cells = breadth_cells(lines, 16)
+    held = [r["count"] for r in cells.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) >= 12 and max(held) < cells.count() / 4
+
+
+def test_many_lines_give_the_same_features_in_dealt_parts(spark, monkeypatch):
+    """Above the bound the customer table's cells and experiment customers are
+    dealt by the number of lines; its rows stay the same."""
+    from cartlift.plans.context import Context
+    from cartlift.plans.present import present
+    from cartlift.sources import fixtures
+    few = Context(spark, "/root/testdata/sf0.001").features_lazy()
+    monkeypatch.setattr(fixtures, "ROWS_PER_TASK", 400)
+    monkeypatch.setattr(fixtures, "LEFT_TO_SPARK", 3000)
+    c = Context(spark, "/root/testdata/sf0.001")
+    many = c.features_lazy()
+    parts = fixtures.join_parts(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count())
+    assert c.line_parts == parts >= 10
+    plan = many._jdf.queryExecution().toString()
+    assert "RepartitionByExpression [client_id" in plan and plan.count(f", {parts}\n") >= 2
+    assert many.schema == few.schema
+    assert {tuple(r) for r in present(many).collect()} == {tuple(r) for r in present(few).collect()}
