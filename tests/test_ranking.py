@@ -133,3 +133,21 @@ def test_ntile_matches_duckdb_for_all_small_sizes(spark):
     want = duckdb.sql("""select n, r, ntile(5) over (partition by n order by r) t
                          from (select unnest(range(1, 201)) n), lateral (select unnest(range(1, n + 1)) r)""").fetchall()
     assert got == {(n, r): t for n, r, t in want}
+
+
+def test_readouts_of_all_scores_run_at_the_same_time(spark, monkeypatch):
+    """The curves of both scores wait for each other here: one after the other they would never meet."""
+    from threading import Barrier
+    from cartlift.operators import curves
+    scored = spark.range(400).select(
+        F.col("id").alias("client_id"), (F.col("id") % 2).cast("int").alias("treatment_flg"), (F.col("id") % 3 == 0).cast("int").alias("target"),
+        (F.col("id") % 37).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"))
+    one_by_one = [tuple(curves.learner_evaluation(scored, (c,)).first()) for c in ("a", "b")]
+    auc, meet = curves.normalized_auc, Barrier(4)
+
+    def waits(*args, **kw):
+        meet.wait(60)
+        return auc(*args, **kw)
+
+    monkeypatch.setattr(curves, "normalized_auc", waits)
+    assert [tuple(r) for r in curves.learner_evaluation(scored, ("a", "b")).collect()] == one_by_one
