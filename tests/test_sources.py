@@ -213,3 +213,42 @@ def test_many_lines_give_the_same_features_in_dealt_parts(spark, monkeypatch):
     assert "RepartitionByExpression [client_id" in plan and plan.count(f", {parts}\n") >= 2
     assert many.schema == few.schema
     assert {tuple(r) for r in present(many).collect()} == {tuple(r) for r in present(few).collect()}
+
+
+def test_many_lines_are_read_for_the_rollup_and_the_breadth_only(spark, tmp_path, monkeypatch):
+    """The reference time of a dealt customer table comes from the written rollup,
+    without a pass of its own over the lines; lines meet hashed orders, unsorted.
+    Null and repeated keys, null times and clients without lines stay as they were."""
+    import datetime as dt
+
+    from cartlift.operators import features as feat
+    from cartlift.sources import fixtures
+    orders = [(k if k % 41 else None, k % 60 if k % 13 else None, 10.0 + k,
+               dt.datetime(1996, 1, 1) + dt.timedelta(days=k) if k % 17 else None) for k in range(1, 900)]
+    orders += [(5, 7, 3.0, dt.datetime(1999, 5, 5)), (5, 7, 3.0, dt.datetime(1999, 5, 5))]
+    lines = [(i % 950 if i % 29 else None, i % 23, i % 5 if i % 3 else None, 1.0 + i, "R" if i % 4 else "N") for i in range(3600)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_extendedprice double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    train = spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(70)], "client_id long, target int, treatment_flg int")
+    clients = spark.createDataFrame([(i, float(i), "F" if i % 2 else None) for i in range(65)], "client_id long, age double, gender string")
+
+    def rows(df):
+        return sorted(repr([round(v, 6) if isinstance(v, float) else v for v in r]) for r in df.collect())
+
+    few = fixtures.fixture_purchases(spark, str(tmp_path))
+    want = rows(feat.customer_features(train, clients, few))
+    fixed = rows(feat.customer_features(train, clients, few, as_of=dt.datetime(2000, 1, 1)))
+    none = rows(feat.customer_features(train, clients, few.where("false")))
+    monkeypatch.setattr(fixtures, "ROWS_PER_TASK", 300)
+    monkeypatch.setattr(fixtures, "LEFT_TO_SPARK", 3000)
+    many = fixtures.fixture_purchases(spark, str(tmp_path))
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert rows(many) == rows(few)
+
+    def no_pass(*a):
+        raise AssertionError("the lines were read for the reference time")
+    monkeypatch.setattr(feat, "reference_time_value", no_pass)
+    assert rows(feat.customer_features(train, clients, many, parts=12)) == want
+    assert rows(feat.customer_features(train, clients, many, as_of=dt.datetime(2000, 1, 1), parts=12)) == fixed
+    assert rows(feat.customer_features(train, clients, many.where("false"), parts=12)) == none
