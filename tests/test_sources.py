@@ -252,3 +252,33 @@ def test_many_lines_are_read_for_the_rollup_and_the_breadth_only(spark, tmp_path
     assert rows(feat.customer_features(train, clients, many, parts=12)) == want
     assert rows(feat.customer_features(train, clients, many, as_of=dt.datetime(2000, 1, 1), parts=12)) == fixed
     assert rows(feat.customer_features(train, clients, many.where("false"), parts=12)) == none
+
+
+def test_many_orders_give_the_same_train_in_dealt_parts(spark, tmp_path, monkeypatch):
+    """Above the bound clients and their orders are dealt by number, not merged by
+    bytes; null, repeated and hot keys, null times and clients without orders stay as they were."""
+    import datetime as dt
+
+    from cartlift.sources import fixtures
+    start = dt.datetime(2000, 9, 1)
+    orders = [(k if k % 41 else None, 7 if k % 3 == 0 else k % 900 if k % 13 else None,
+               start + dt.timedelta(days=k % 400) if k % 17 else None) for k in range(6000)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    clients = [(k if k % 97 else None,) for k in range(1200)] + [(5,), (5,)]
+    spark.createDataFrame(clients, "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+
+    def held(df):
+        return sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+    few = fixtures.fixture_train(spark, str(tmp_path))
+    monkeypatch.setattr(fixtures, "ROWS_PER_TASK", 300)
+    monkeypatch.setattr(fixtures, "LEFT_TO_SPARK", 3000)
+    many = fixtures.fixture_train(spark, str(tmp_path))
+    assert fixtures.client_parts(spark, str(tmp_path)) == 20
+    assert many.schema == few.schema and sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+    assert few.where("target = 1").count() and few.where("target = 0").count()
+    assert len(held(many)) >= 15 and held(many)[-1] <= few.count() / 8
+    # a client with a third of the orders is counted in slices
+    before = F.col("o_orderdate") < F.lit(dt.datetime(2001, 1, 1)).cast("timestamp_ntz")
+    plan = fixtures.dealt_history(spark.read.parquet(f"{tmp_path}/orders.parquet"), before, ~before, 20)._jdf.queryExecution().toString()
+    assert "RepartitionByExpression [client_id" in plan and "slice" in plan
