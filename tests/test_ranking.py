@@ -151,3 +151,23 @@ def test_readouts_of_all_scores_run_at_the_same_time(spark, monkeypatch):
 
     monkeypatch.setattr(curves, "normalized_auc", waits)
     assert [tuple(r) for r in curves.learner_evaluation(scored, ("a", "b")).collect()] == one_by_one
+
+
+def test_running_sums_of_many_rows_are_dealt_by_their_number(spark):
+    """Spark merges the buckets of the window by compressed bytes, which grew to
+    12 million rows a task; above a bucket's rows they are dealt by number."""
+    n = 20_000
+    df = spark.range(n).select((F.col("id") % 3).cast("string").alias("g"), (F.col("id") * 7919 % n).alias("v"))
+
+    def sums(rows_per_bucket):
+        return global_cumsum(df, [("v", False)], {"upto": F.lit(1)}, tie_col="v", group_cols=["g"],
+                             rows_per_bucket=rows_per_bucket)
+
+    many, few = sums(1000), sums(n)
+    held = [r["count"] for r in many.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) >= 12 and max(held) <= 6000
+    assert {tuple(r) for r in many.collect()} == {tuple(r) for r in few.collect()}
+    assert {(r["g"], r["upto"]) for r in many.groupBy("g").agg(F.max("upto").alias("upto")).collect()} == {
+        ("0", 6667), ("1", 6667), ("2", 6666)}
+    plain = sorted(r["v"] for r in df.where("g = '1'").collect())
+    assert exact_quantiles(df, "v", [0.5], ["g"], rows_per_bucket=1000).where("g = '1'").first()["value"] == plain[3333]
