@@ -1,4 +1,5 @@
 import math
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -116,3 +117,48 @@ def test_large_integers_stay_exact():
     assert K.exact_products(a, a)[0, 0] == 2 ** 63 - 1  # clipped: a long can't hold 2**80
     b = np.array([[2 ** 30, 1]])
     assert K.exact_products(b, b)[0, 0] == 2 ** 60 + 1
+
+
+def test_a_tree_travels_without_its_points():
+    """What blocks and query groups are written and sent as: node centres are numbers of points."""
+    pts = np.random.default_rng(4).integers(-99, 99, (3000, 64))
+    tree = K.CoverTree(pts)
+    data = pickle.dumps(tree)
+    assert len(data) < pts.nbytes / 8
+    block = {"number": 0, "ids": np.arange(3000), "points": pts, "tree": tree}
+    asked = {"ids": np.arange(9), "points": pts[:9], "place": np.arange(9), "block": np.zeros(9, np.int64), "tree": K.CoverTree(pts[:9])}
+    found, again = K.dual_search(asked, block, 5), K.dual_search(asked, {**block, "tree": pickle.loads(data)}, 5)
+    assert (found.score == again.score).all() and (found.id == again.id).all()
+
+
+def test_queries_in_several_batches(spark, monkeypatch):
+    """Blocks of a task share one list of the k best; queries are sent batch by batch."""
+    rng = np.random.default_rng(5)
+    rows = [(i % 290, rng.integers(-3, 3, 3).astype(float).tolist()) for i in range(300)]  # repeated ids, many ties
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    monkeypatch.setattr(K, "BATCH_CELLS", 9)
+    monkeypatch.setattr(K, "BLOCKS_PER_TASK", 2)
+    sent = []
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, v: sent.append(v) or broadcast(self, v))
+    assert got(K.top_k(docs, F.col("vec_id") % 50 == 0, block_rows=20, group_queries=2)) == brute(rows, 5)
+    assert len(sent) > 1
+
+
+def test_a_further_block_goes_on_from_the_best_of_others():
+    rng = np.random.default_rng(6)
+    pts = rng.integers(-50, 50, (900, 6))
+    ids = np.arange(900)
+    blocks = [{"number": b, "ids": ids[b::3], "points": pts[b::3], "tree": K.CoverTree(pts[b::3])} for b in range(3)]
+    asked = {"ids": ids[:99], "points": pts[:99], "place": ids[:99] // 3, "block": ids[:99] % 3, "tree": K.CoverTree(pts[:99])}
+    best = K.Best(99, 5)
+    for b in blocks:
+        own = asked["block"] == b["number"]
+        before = best.score[own].copy()
+        K.dual_search(asked, b, 5, best=best, skip=own)
+        assert (best.score[own] == before).all()
+        K.dual_search(asked, b, 5, best=best, skip=~own)
+    score = pts[:99] @ pts.T
+    score[np.arange(99), np.arange(99)] = -10 ** 9
+    for i in range(99):
+        assert list(zip((-best.score[i]).tolist(), best.id[i].tolist())) == sorted(zip((-score[i]).tolist(), ids.tolist()))[:5]
